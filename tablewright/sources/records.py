@@ -1,0 +1,66 @@
+"""Logical records of text files whose quoted cells may hold the record separator.
+
+A reader that keeps such a cell together by taking the whole file in one task does not scale to one large file. Here
+the file stays split: quotes are counted per piece, the totals of the earlier blocks tell whether a piece begins
+inside a quoted cell, and only pieces that do are joined to the one they continue.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+_BLOCK = ["file", "block"]
+
+
+def text_pieces(spark: SparkSession, path, separator: str = "\n", encoding: str | None = None) -> DataFrame:
+    """``(file, block, place, value)``: the pieces between separators, in file order within each block."""
+    reader = spark.read.option("lineSep", separator)
+    if encoding:
+        reader = reader.option("encoding", encoding)
+    return reader.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+        "value",
+    )
+
+
+def quote_count(text: Column, quote: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(quote), F.lit("")))
+
+
+def logical_records(pieces: DataFrame, separator: str, quote: str, quotes: Column | None = None) -> DataFrame:
+    """``(file, first_in_file, value)``: pieces joined until their quotes are balanced.
+
+    ``quotes`` overrides how quotes are counted in ``value``.
+    """
+    counted = pieces.withColumn("quotes", quotes if quotes is not None else quote_count(F.col("value"), quote))
+    inside = Window.partitionBy(*_BLOCK).orderBy("place")
+    before_row = inside.rowsBetween(Window.unboundedPreceding, -1)
+    before_block = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+
+    # One row per input block; a file of a terabyte has some thousands of them.
+    totals = counted.groupBy(*_BLOCK).agg(F.sum("quotes").alias("total"))
+    openings = totals.select(*_BLOCK, F.coalesce(F.sum("total").over(before_block), F.lit(0)).alias("opened"))
+    rows = counted.select(
+        "*",
+        F.coalesce(F.sum("quotes").over(before_row), F.lit(0)).alias("earlier"),
+        F.row_number().over(inside).alias("number"),
+    ).join(openings, _BLOCK)
+    starts = rows.withColumn("is_start", (F.col("earlier") + F.col("opened")) % 2 == 0)
+    position = F.struct("block", "place")
+    upto_row = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = starts.withColumn("start", F.last(F.when(F.col("is_start"), position), ignorenulls=True).over(upto_row))
+
+    # A record may begin in an earlier block: carry the last start across blocks.
+    last_starts = starts.groupBy(*_BLOCK).agg(F.max(F.when(F.col("is_start"), position)).alias("last_start"))
+    carried = last_starts.select(*_BLOCK, F.last("last_start", ignorenulls=True).over(before_block).alias("carry"))
+    keyed = marked.join(carried, _BLOCK).select(
+        "file", F.coalesce("start", "carry").alias("start"), position.alias("position"), "value",
+        ((F.col("block") == 0) & (F.col("number") == 1)).alias("first_in_file"),
+    )
+    # A group is one record of the file.
+    return keyed.groupBy("file", "start").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("position", "value")))["value"], separator).alias("value"),
+        F.bool_or("first_in_file").alias("first_in_file"),
+    ).select("file", "first_in_file", "value")
