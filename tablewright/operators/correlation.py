@@ -44,36 +44,41 @@ def _pass(centred: DataFrame, names: Sequence[str], pairs: Sequence[tuple[int, i
         sums.setdefault(key, value)
         return F.col(key)
 
-    entries = []
-    for i, j in pairs:
-        a, b = F.col(f"c{i}"), F.col(f"c{j}")
-
-        def own(x: Column, k: int, other: Column, partner: int, square: bool) -> Column:
-            power = x * x if square else x
-            if complete[partner]:
-                return total(f"{'q' if square else 's'}_{k}", F.sum(power))
-            return total(f"{'q' if square else 's'}_{k}_{partner}", F.sum(F.when(other.isNotNull(), power)))
-
-        n = total(f"n_{i}_{j}", F.count(a + b)).cast("double")
-        sa, sb = own(a, i, b, j, False), own(b, j, a, i, False)
-        qa, qb = own(a, i, b, j, True), own(b, j, a, i, True)
-        cov = total(f"p_{i}_{j}", F.sum(a * b)) - F.try_divide(sa * sb, n)
-        # Rounding leaves a constant column with a spread of almost nothing: compare with its own size.
-        va, vb = qa - F.try_divide(sa * sa, n), qb - F.try_divide(sb * sb, n)
-        spread = F.sqrt(F.when(va > qa * 1e-14, va)) * F.sqrt(F.when(vb > qb * 1e-14, vb))
-        r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(cov, spread)))
-        entries.append(
-            F.struct(
-                F.lit(i).alias("i"),
-                F.lit(j).alias("j"),
-                F.lit(names[i]).alias("column_a"),
-                F.lit(names[j]).alias("column_b"),
-                F.col(f"n_{i}_{j}").alias("n"),
-                F.when(cov.isNotNull() & spread.isNotNull(), r).alias("r"),
-            )
+    def own(k: int, partner: int, tag: str) -> Column:
+        """Sum (``s``) or sum of squares (``q``) of a column over the rows where its partner is known."""
+        value = F.col(f"c{k}") if tag == "s" else F.col(f"c{k}") * F.col(f"c{k}")
+        if complete[partner]:
+            return total(f"{tag}_{k}", F.sum(value))
+        return total(f"{tag}_{k}_{partner}", F.sum(F.when(F.col(f"c{partner}").isNotNull(), value)))
+
+    entries = [
+        F.struct(
+            F.lit(i).alias("i"),
+            F.lit(j).alias("j"),
+            F.lit(names[i]).alias("column_a"),
+            F.lit(names[j]).alias("column_b"),
+            total(f"n_{i}_{j}", F.count(F.col(f"c{i}") + F.col(f"c{j}"))).alias("n"),
+            own(i, j, "s").alias("sa"), own(j, i, "s").alias("sb"), own(i, j, "q").alias("qa"), own(j, i, "q").alias("qb"),
+            total(f"p_{i}_{j}", F.sum(F.col(f"c{i}") * F.col(f"c{j}"))).alias("ab"),
         )
+        for i, j in pairs
+    ]
     one_row = centred.agg(*[value.alias(key) for key, value in sums.items()])
-    return one_row.select(F.explode(F.array(*entries)).alias("pair")).select("pair.*")
+    pair = one_row.select(F.explode(F.array(*entries)).alias("pair")).select("pair.*")
+    return pair.select("i", "j", "column_a", "column_b", "n", pearson("n", "sa", "sb", "qa", "qb", "ab").alias("r"))
+
+
+def pearson(n: str, sx: str, sy: str, xx: str, yy: str, xy: str) -> Column:
+    """Correlation from the count and the sums of two centred columns; NULL when one of them does not vary.
+
+    Rounding leaves a constant column with a spread of almost nothing, so spread is compared with the sum of squares.
+    """
+    count = F.col(n).cast("double")
+    vx = F.col(xx) - F.try_divide(F.col(sx) * F.col(sx), count)
+    vy = F.col(yy) - F.try_divide(F.col(sy) * F.col(sy), count)
+    spread = F.sqrt(F.when(vx > F.col(xx) * 1e-14, vx)) * F.sqrt(F.when(vy > F.col(yy) * 1e-14, vy))
+    r = F.try_divide(F.col(xy) - F.try_divide(F.col(sx) * F.col(sy), count), spread)
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

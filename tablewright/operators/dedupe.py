@@ -42,8 +42,9 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """Of rows whose normalized texts agree, keep the first by ``order_by``.
 
-    By default all text columns are compared after normalization and all other columns as they are, apart from the
-    ordering ones. ``extra_keys=[]`` compares the texts alone. Exact duplicates fall out in the same step.
+    By default all text columns are compared after normalization and all other columns as they are, so rows that
+    differ in a number or date both stay. ``extra_keys`` names the other columns to compare; with ``[]`` the texts alone
+    decide. Exact duplicates fall out in the same step.
     """
     if not order_by:
         raise ValueError("keeping the first row needs order_by columns")
@@ -53,11 +54,7 @@ def drop_near_duplicates(
     if not texts:
         return drop_exact_duplicates(df)
     if extra_keys is None:
-        extra_keys = [
-            f.name
-            for f in df.schema.fields
-            if f.name not in texts and f.name not in order_by and type_class(f.dataType) != TEXT
-        ]
+        extra_keys = [f.name for f in df.schema.fields if type_class(f.dataType) != TEXT]
     keys = {f"__key{i}": key for i, key in enumerate(near_duplicate_keys(df, texts, extra_keys))}
     first = Window.partitionBy(*keys).orderBy(*[col(c).asc_nulls_last() for c in order_by])
     ranked = df.withColumns(keys).withColumn("__rank", F.row_number().over(first))

@@ -4,41 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tablewright.operators.longform import cells, fields_of, lookup, no_nan, one_row_per_column
+from tablewright.operators.longform import cells, lookup, no_nan, one_row_per_column
+from tablewright.operators.ordered import OrderedRows
 from tablewright.operators.profile import NumericStats, numeric_profile
-from tablewright.types import NUMERIC, col, columns_of, number, require_columns
+from tablewright.types import NUMERIC, columns_of, number, require_columns
 
 MIN_VALUES = 10
 
 
-def normality_statistic(n: Column, skew: Column, kurtosis: Column) -> Column:
-    """Omnibus K-squared of D'Agostino and Pearson from the count and the population moments.
+def with_normality(df: DataFrame, n: str, skew: str, kurtosis: str) -> DataFrame:
+    """Add ``normality_statistic``: K-squared of D'Agostino and Pearson from the count and the population moments.
 
     Both parts are the published normal approximations: D'Agostino (1970) for the skewness and Anscombe and
-    Glynn (1983) for the kurtosis. ``kurtosis`` is the excess over the normal distribution.
+    Glynn (1983) for the kurtosis, where ``kurtosis`` is the excess over the normal distribution. Steps are columns of
+    their own, so that none is computed more than once.
     """
-    n = F.when(n >= 8, n.cast("double"))
-    return no_nan(F.pow(_skewness_score(n, skew), 2) + F.pow(_kurtosis_score(n, kurtosis), 2))
-
-
-def _skewness_score(n: Column, skew: Column) -> Column:
-    scaled = skew * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
-    beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
-    w2 = F.sqrt(2 * (beta - 1)) - 1
-    return F.asinh(scaled / F.sqrt(2 / (w2 - 1))) / F.sqrt(0.5 * F.log(w2))
-
-
-def _kurtosis_score(n: Column, kurtosis: Column) -> Column:
-    expected = 3 * (n - 1) / (n + 1)
-    variance = 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
-    x = (kurtosis + 3 - expected) / F.sqrt(variance)
-    s = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
-    a = 6 + 8 / s * (2 / s + F.sqrt(1 + 4 / (s * s)))
-    d = 1 + x * F.sqrt(2 / (a - 4))
-    root = F.signum(d) * F.pow(F.try_divide(1 - 2 / a, F.abs(d)), F.lit(1.0 / 3))
-    return (1 - 2 / (9 * a) - root) / F.sqrt(2 / (9 * a))
+    names = ["__n", "__scaled", "__beta", "__w2", "__x", "__s", "__a", "__d", "__z1", "__z2"]
+    count, scaled, beta, w2, x, s, a, d, z1, z2 = map(F.col, names)
+    steps = [
+        F.when(F.col(n) >= 8, F.col(n).cast("double")),
+        F.col(skew) * F.sqrt((count + 1) * (count + 3) / (6 * (count - 2))),
+        3 * (count * count + 27 * count - 70) * (count + 1) * (count + 3)
+        / ((count - 2) * (count + 5) * (count + 7) * (count + 9)),
+        F.sqrt(2 * (beta - 1)) - 1,
+        (F.col(kurtosis) + 3 - 3 * (count - 1) / (count + 1))
+        / F.sqrt(24 * count * (count - 2) * (count - 3) / ((count + 1) * (count + 1) * (count + 3) * (count + 5))),
+        6 * (count * count - 5 * count + 2) / ((count + 7) * (count + 9))
+        * F.sqrt(6 * (count + 3) * (count + 5) / (count * (count - 2) * (count - 3))),
+        6 + 8 / s * (2 / s + F.sqrt(1 + 4 / (s * s))),
+        1 + x * F.sqrt(2 / (a - 4)),
+        F.asinh(scaled / F.sqrt(2 / (w2 - 1))) / F.sqrt(0.5 * F.log(w2)),
+        (1 - 2 / (9 * a) - F.signum(d) * F.pow(F.try_divide(1 - 2 / a, F.abs(d)), F.lit(1.0 / 3))) / F.sqrt(2 / (9 * a)),
+    ]
+    for name, step in zip(names, steps):
+        df = df.withColumn(name, step)
+    return df.withColumn("normality_statistic", no_nan(z1 * z1 + z2 * z2)).drop(*names)
 
 
 def shape_name(n: Column, skewness: Column, kurtosis: Column) -> Column:
@@ -53,71 +55,44 @@ def shape_name(n: Column, skewness: Column, kurtosis: Column) -> Column:
     )
 
 
-def uniformity_distance(
-    df: DataFrame, columns: Sequence[str] | None = None, rescale: bool = False, pieces: int = 256
-) -> DataFrame:
+def uniformity_distance(df: DataFrame, columns: Sequence[str] | None = None, rescale: bool = False) -> DataFrame:
     """Kolmogorov-Smirnov distance to the uniform distribution on (0, 1): ``(cid, column, n, ks_distance)``.
 
     Outside the unit interval the reference distribution is flat, so counts are enough. Inside it the distinct values
-    with their counts are cut into ``pieces`` by a sketch, summed within each piece, and shifted by the totals of the
-    earlier pieces. ``rescale`` maps each column to its own range first.
+    with their counts are put in order and summed up range by range. ``rescale`` maps each column to its own range first.
     """
     names = [c for c in (columns or columns_of(df, NUMERIC)) if c in columns_of(df, NUMERIC)]
     if not names:
         return df.sparkSession.createDataFrame([], "cid int, column string, n bigint, ks_distance double")
     values = cells(df, names, {"v": number}).where("v IS NOT NULL")
     if rescale:
-        span = values.groupBy("cid").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-        rows = {r["cid"]: r for r in span.collect()}
-        low = lookup([rows[i]["lo"] if i in rows else None for i in range(len(names))], F.col("cid"), "double")
-        high = lookup([rows[i]["hi"] if i in rows else None for i in range(len(names))], F.col("cid"), "double")
+        span = {r["cid"]: r for r in values.groupBy("cid").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+        low, high = (
+            lookup([span[i][side] if i in span else None for i in range(len(names))], F.col("cid"), "double")
+            for side in ("lo", "hi")
+        )
         values = values.select("cid", F.try_divide(F.col("v") - low, high - low).alias("v")).where("v IS NOT NULL")
     edges = values.groupBy("cid").agg(
         F.count("v").alias("n"),
-        F.count_if(F.col("v") <= 0).alias("at_or_below_zero"),
+        F.count_if(F.col("v") <= 0).alias("low"),
         F.count_if(F.col("v") < 1).alias("below_one"),
     )
+    known = {r["cid"]: r for r in edges.collect()}
+    sizes = [known[i]["n"] if i in known else 0 for i in range(len(names))]
+    lows = [known[i]["low"] if i in known else 0 for i in range(len(names))]
+    inner_sizes = [known[i]["below_one"] - known[i]["low"] if i in known else 0 for i in range(len(names))]
+    cid, n = F.col("cid"), lookup(sizes, F.col("cid"), "double")
     inner = values.where("v > 0 AND v < 1").groupBy("cid", "v").agg(F.count(F.lit(1)).alias("m"))
-    cuts = inner.groupBy("cid").agg(
-        F.percentile_approx("v", [i / pieces for i in range(1, pieces)], 10 * pieces).alias("cuts")
+    running = OrderedRows(inner, ["cid", "v"]).with_running_sum(F.col("m"), "run")
+    # The running sum goes on over all columns: take off the earlier ones, add the values below the interval.
+    shift = lookup([lows[i] - sum(inner_sizes[:i]) for i in range(len(names))], cid, "bigint")
+    upto, v = F.col("run") + shift, F.col("v")
+    peak = running.groupBy("cid").agg(F.max(F.greatest(upto / n - v, v - (upto - F.col("m")) / n)).alias("d"))
+    full = one_row_per_column(df, names, peak)
+    outside = [max(lo, size - lo - inside) / size if size else None for lo, size, inside in zip(lows, sizes, inner_sizes)]
+    return full.select(
+        "cid", "column", lookup(sizes, cid, "bigint").alias("n"), F.greatest("d", lookup(outside, cid, "double")).alias("ks_distance")
     )
-    # At most one row per column of the schema and a fixed number of cuts in it.
-    cut_rows = {r["cid"]: sorted(set(r["cuts"])) for r in cuts.collect()}
-    piece = F.coalesce(
-        *[F.when(F.col("cid") == i, _piece_of(F.col("v"), points)) for i, points in cut_rows.items()], F.lit(0)
-    )
-    placed = inner.withColumn("piece", piece)
-    sizes = placed.groupBy("cid", "piece").agg(F.sum("m").alias("size"))
-    before = Window.partitionBy("cid").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("cid", "piece", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("cid", "piece").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = placed.withColumn("run", F.sum("m").over(inside)).join(F.broadcast(starts), ["cid", "piece"])
-    # `edges` and `starts` are bounded by the number of columns and pieces.
-    steps = upto.join(F.broadcast(edges), "cid").select(
-        "cid", "v", "m", "n", (F.col("start") + F.col("run") + F.col("at_or_below_zero")).alias("upto")
-    )
-    peak = steps.groupBy("cid").agg(
-        F.max(F.greatest(F.col("upto") / F.col("n") - F.col("v"), F.col("v") - (F.col("upto") - F.col("m")) / F.col("n"))).alias("d")
-    )
-    total = edges.join(F.broadcast(peak), "cid", "left").select(
-        "cid",
-        "n",
-        F.greatest(F.col("d"), F.col("at_or_below_zero") / F.col("n"), 1 - F.col("below_one") / F.col("n")).alias("ks_distance"),
-    )
-    full = one_row_per_column(df, names, total)
-    return full.select("cid", "column", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "ks_distance")
-
-
-def _piece_of(value: Column, points: Sequence[float]) -> Column:
-    """Number of cut points at or below the value, found by halving so that each row meets few comparisons."""
-
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(value >= points[middle], search(middle + 1, high)).otherwise(search(low, middle))
-
-    return search(0, len(points))
 
 
 def kolmogorov_p_value(distance: Column, n: Column) -> Column:
@@ -135,22 +110,24 @@ def distribution_profile(
     df: DataFrame, columns: Sequence[str] | None = None, rescale: bool = False, stats: NumericStats | None = None
 ) -> DataFrame:
     """Normality, uniformity and shape of each numeric column with at least ten values."""
-    shape = numeric_profile(df, columns, stats=stats)
-    k2 = normality_statistic(F.col("non_null"), F.col("population_skewness"), F.col("population_kurtosis"))
-    enough = F.col("non_null") >= MIN_VALUES
+    shape = with_normality(
+        numeric_profile(df, columns, stats=stats), "non_null", "population_skewness", "population_kurtosis"
+    )
     uniform = uniformity_distance(df, columns, rescale).select("cid", "ks_distance")
     joined = shape.join(F.broadcast(uniform), "cid")
-    p_uniform = kolmogorov_p_value(F.col("ks_distance"), F.col("non_null"))
+    joined = joined.withColumn("p_normal", F.exp(-F.col("normality_statistic") / 2))
+    joined = joined.withColumn("p_uniform", kolmogorov_p_value(F.col("ks_distance"), F.col("non_null")))
+    enough = F.col("non_null") >= MIN_VALUES
     return joined.select(
         "cid",
         "column",
         "non_null",
-        F.when(enough, k2).alias("normality_statistic"),
-        F.when(enough, F.exp(-k2 / 2)).alias("normality_p_value"),
-        F.when(enough, F.exp(-k2 / 2) > 0.05).alias("is_normal"),
+        F.when(enough, F.col("normality_statistic")).alias("normality_statistic"),
+        F.when(enough, F.col("p_normal")).alias("normality_p_value"),
+        F.when(enough, F.col("p_normal") > 0.05).alias("is_normal"),
         F.when(enough, F.col("ks_distance")).alias("uniformity_statistic"),
-        F.when(enough, p_uniform).alias("uniformity_p_value"),
-        F.when(enough, p_uniform > 0.05).alias("is_uniform"),
+        F.when(enough, F.col("p_uniform")).alias("uniformity_p_value"),
+        F.when(enough, F.col("p_uniform") > 0.05).alias("is_uniform"),
         shape_name(F.col("non_null"), F.col("skewness"), F.col("kurtosis")).alias("distribution_type"),
     )
 

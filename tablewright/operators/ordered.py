@@ -50,7 +50,8 @@ class OrderedRows:
         return Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
 
     def _later(self) -> Window:
-        return Window.orderBy(_RANGE).rowsBetween(1, Window.unboundedFollowing)
+        # Read backwards: a frame that runs to the end of the table would be scanned anew for every row.
+        return Window.orderBy(F.desc(_RANGE)).rowsBetween(Window.unboundedPreceding, -1)
 
     def with_index(self, name: str = "row_index") -> DataFrame:
         """Consecutive numbers from 0 over the whole table."""
@@ -76,7 +77,7 @@ class OrderedRows:
         schema = self.rows.schema
         value = {n: present(schema[n]) for n in names}
         back = Window.partitionBy(_RANGE).orderBy(_PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ahead = Window.partitionBy(_RANGE).orderBy(_PLACE).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        ahead = Window.partitionBy(_RANGE).orderBy(F.desc(_PLACE)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         edges = []
         for i, n in enumerate(names):
             known = F.when(value[n].isNotNull(), F.col(_PLACE))
@@ -86,12 +87,12 @@ class OrderedRows:
         table = table.select(
             _RANGE,
             *[F.last(f"__last{i}", ignorenulls=True).over(self._earlier()).alias(f"__from_before{i}") for i in range(len(names))],
-            *[F.first(f"__first{i}", ignorenulls=True).over(self._later()).alias(f"__from_after{i}") for i in range(len(names))],
+            *[F.last(f"__first{i}", ignorenulls=True).over(self._later()).alias(f"__from_after{i}") for i in range(len(names))],
         )
         inside = self.rows.select(
             "*",
             *[F.last(value[n], ignorenulls=True).over(back).alias(f"__back{i}") for i, n in enumerate(names)],
-            *[F.first(value[n], ignorenulls=True).over(ahead).alias(f"__ahead{i}") for i, n in enumerate(names)],
+            *[F.last(value[n], ignorenulls=True).over(ahead).alias(f"__ahead{i}") for i, n in enumerate(names)],
         )
         joined = self._with_range_table(inside, table)
         filled = {}

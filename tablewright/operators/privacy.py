@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -55,11 +55,9 @@ def pii_scan(df: DataFrame, columns: Sequence[str] | None = None, patterns: Mapp
         return df.sparkSession.createDataFrame(
             [], "cid int, column string, pii_type string, non_null bigint, matches bigint, share double"
         )
-    parts: dict[str, Callable] = {"known": lambda f: col(f.name).isNotNull()}
-    for kind, pattern in patterns.items():
-        parts[kind] = lambda f, pattern=pattern: col(f.name).rlike(pattern)
-    counted = cells(df, names, parts).groupBy("cid").agg(
-        F.count_if("known").alias("non_null"), *[F.count_if(F.col(kind)).alias(kind) for kind in patterns]
+    texts = cells(df, names, {"s": lambda f: col(f.name)})
+    counted = texts.groupBy("cid").agg(
+        F.count("s").alias("non_null"), *[F.count_if(F.col("s").rlike(p)).alias(kind) for kind, p in patterns.items()]
     )
     full = one_row_per_column(df, names, counted)
     entries = [F.struct(F.lit(kind).alias("pii_type"), F.col(kind).alias("matches")) for kind in patterns]

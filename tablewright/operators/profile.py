@@ -126,11 +126,11 @@ NUMERIC_SCHEMA = (
 )
 
 
-def _flag(test) -> callable:
-    return lambda field: test(col(field.name))
+def _raw(field: T.StructField) -> Column:
+    return col(field.name)
 
 
-# What is counted per text column. The cell carries flags and lengths only, never the text itself.
+# What is counted per text column.
 TEXT_FLAGS = {
     "empty_count": lambda c: c == "",
     "blank_count": is_blank,
@@ -163,8 +163,9 @@ def count_flags(df: DataFrame, flags: dict, columns: Sequence[str] | None = None
     names = _chosen(df, columns, TEXT)
     if not names:
         return empty_profile(df, "cid int, column string, " + ", ".join(f"{f} bigint" for f in flags))
-    flagged = cells(df, names, {name: _flag(test) for name, test in flags.items()})
-    counted = flagged.groupBy("cid").agg(*[F.count_if(F.col(f)).alias(f) for f in flags])
+    # Tests follow the explode, so that each is compiled once and not once per column.
+    texts = cells(df, names, {"s": _raw})
+    counted = texts.groupBy("cid").agg(*[F.count_if(test(F.col("s"))).alias(f) for f, test in flags.items()])
     full = one_row_per_column(df, names, counted)
     return full.select("cid", "column", *[F.coalesce(F.col(f), F.lit(0)).cast("bigint").alias(f) for f in flags])
 
@@ -184,10 +185,10 @@ def length_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     names = _chosen(df, columns, TEXT)
     if not names:
         return empty_profile(df, LENGTH_SCHEMA)
-    parts = {"len": _flag(F.length), **{f: _flag(TEXT_FLAGS[f]) for f in LENGTH_FLAGS}}
     # Lengths first become a small (column, length) table, so that their distinct count needs no second shuffle.
-    by_length = cells(df, names, parts).groupBy("cid", "len").agg(
-        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f)).alias(f) for f in LENGTH_FLAGS]
+    texts = cells(df, names, {"s": _raw})
+    by_length = texts.groupBy("cid", F.length("s").alias("len")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(TEXT_FLAGS[f](F.col("s"))).alias(f) for f in LENGTH_FLAGS]
     )
     n = F.col("n").cast("double")
     stats = by_length.groupBy("cid").agg(

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.functions.formats import fixed
+from tablewright.operators.correlation import pearson
 from tablewright.operators.longform import lookup
 from tablewright.operators.ordered import OrderedRows
 from tablewright.types import DATETIME, NUMERIC, col, columns_of, number
@@ -44,10 +45,7 @@ def trends(
         F.count("y").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
         F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"), F.sum(x * y).alias("xy"),
     )
-    n = F.col("n").cast("double")
-    vx, vy = F.col("xx") - F.col("sx") * F.col("sx") / n, F.col("yy") - F.col("sy") * F.col("sy") / n
-    spread = F.sqrt(F.when(vx > F.col("xx") * 1e-14, vx)) * F.sqrt(F.when(vy > F.col("yy") * 1e-14, vy))
-    r = F.when(n > 2, F.try_divide(F.col("xy") - F.col("sx") * F.col("sy") / n, spread))
+    r = F.when(F.col("n") > 2, pearson("n", "sx", "sy", "xx", "yy", "xy"))
     found = sums.select("cid", lookup(names, F.col("cid"), "string").alias("column"), "n", r.alias("correlation"))
     size = F.abs("correlation")
     strength = F.when(size > STRONG, "Strong").when(size > MODERATE, "Moderate")

@@ -41,10 +41,9 @@ def _has_shape(text: Column, layout: str) -> Column:
 
 
 def as_timestamp(text: Column, layouts: Sequence[str] = (*DATE_LAYOUTS, *TIME_LAYOUTS)) -> Column:
-    """The first layout that reads the text; NULL when none does."""
-    return F.coalesce(
-        *[F.when(_has_shape(text, layout), F.try_to_timestamp(text, F.lit(layout))) for layout in layouts]
-    ).cast("timestamp_ntz")
+    """The text by the layout that has its shape; NULL when it has none or is no valid date."""
+    layout = F.coalesce(*[F.when(_has_shape(text, each), F.lit(each)) for each in layouts])
+    return F.try_to_timestamp(text, layout).cast("timestamp_ntz")
 
 
 def as_date(text: Column) -> Column:
@@ -55,22 +54,36 @@ def as_date(text: Column) -> Column:
 _READERS = {"bigint": as_bigint, "double": as_double, "date": as_date, "timestamp_ntz": as_timestamp}
 
 
+def _texts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``(cid, s)``: the trimmed texts of all columns, so that each test is compiled once and not once per column."""
+    return cells(df, names, {"s": lambda f: _trimmed(f.name)})
+
+
 def parse_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """How many values of each text column can be read as each type, from one scan of all rows."""
     names = [c for c in (columns or columns_of(df, TEXT)) if c in columns_of(df, TEXT)]
     if not names:
         return df.sparkSession.createDataFrame(
-            [], "cid int, column string, non_null bigint, " + ", ".join(f"as_{t} bigint" for t in _READERS)
+            [], "cid int, column string, non_null bigint, all_whole boolean, " + ", ".join(f"as_{t} bigint" for t in _READERS)
         )
-    parts = {"known": lambda f: col(f.name).isNotNull()}
-    for kind, reader in _READERS.items():
-        parts[kind] = lambda f, reader=reader: reader(_trimmed(f.name)).isNotNull()
-    counted = cells(df, names, parts).groupBy("cid").agg(
-        F.count_if("known").alias("non_null"), *[F.count_if(F.col(kind)).alias(f"as_{kind}") for kind in _READERS]
+    text = F.col("s")
+    read = _texts(df, names).select(
+        "cid", "s", *[reader(text).alias(kind) for kind, reader in _READERS.items() if kind != "timestamp_ntz"]
+    )
+    # A text that is a date is a timestamp as well; only the rest is tried with the time layouts.
+    timed = F.coalesce(F.col("date").cast("timestamp_ntz"), F.when(F.col("double").isNull(), as_timestamp(text, TIME_LAYOUTS)))
+    read = read.withColumn("timestamp_ntz", timed)
+    counted = read.groupBy("cid").agg(
+        F.count("s").alias("non_null"),
+        F.coalesce(F.bool_and(F.col("double") % 1 == 0), F.lit(False)).alias("all_whole"),
+        *[F.count(kind).alias(f"as_{kind}") for kind in _READERS],
     )
     full = one_row_per_column(df, names, counted)
     numbers = ["non_null", *[f"as_{kind}" for kind in _READERS]]
-    return full.select("cid", "column", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in numbers])
+    return full.select(
+        "cid", "column", F.coalesce("all_whole", F.lit(False)).alias("all_whole"),
+        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in numbers],
+    )
 
 
 def inferred_type() -> Column:
@@ -83,7 +96,7 @@ def inferred_type() -> Column:
 
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(cid, column, non_null, as_..., inferred_type)`` for each text column."""
-    return parse_counts(df, columns).withColumn("inferred_type", inferred_type())
+    return parse_counts(df, columns).drop("all_whole").withColumn("inferred_type", inferred_type())
 
 
 def typed(df: DataFrame, plan: dict[str, str]) -> DataFrame:
@@ -114,17 +127,13 @@ def suggest_types(df: DataFrame, columns: Sequence[str] | None = None, exact: bo
     names = [c for c in (columns or columns_of(df, TEXT)) if c in columns_of(df, TEXT)]
     if not names:
         return found.withColumn("suggested_type", F.lit(None).cast("string"))
-    whole = cells(df, names, {"v": lambda f: as_double(_trimmed(f.name))}).groupBy("cid").agg(
-        F.coalesce(F.bool_and(F.col("v") % 1 == 0), F.lit(False)).alias("whole")
-    )
     distinct = cardinalities(df, names, exact).select("cid", "row_count", "distinct")
-    # Both sides have one row per column of the schema.
-    joined = found.join(F.broadcast(whole), "cid").join(F.broadcast(distinct), "cid")
+    joined = found.join(F.broadcast(distinct), "cid")  # one row per column of the schema on both sides
     known = F.col("non_null") > 0
     numeric = known & (F.col("as_double") == F.col("non_null"))
     dated = known & (F.col("as_timestamp_ntz") == F.col("non_null"))
     suggestion = (
-        F.when(numeric & F.col("whole"), "integer")
+        F.when(numeric & F.col("all_whole"), "integer")
         .when(numeric, "float")
         .when(dated, "datetime")
         .when(known & (ratio(F.col("distinct"), F.col("row_count")) < 0.5), "category")

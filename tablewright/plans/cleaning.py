@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.storagelevel import StorageLevel
 
 from tablewright.functions.names import schema_columns, schema_name, standardize_columns, unique_names
 from tablewright.operators.combine import combine_tables
@@ -82,9 +83,17 @@ class CleaningPlan:
         self.options = options or CleaningOptions()
 
     def fit(self, df: DataFrame) -> FittedCleaning:
+        fitted = FittedCleaning(self.options)
+        # Several passes learn from the deduplicated rows: keep them while that lasts. Lost pieces are recomputed.
+        unique = fitted.rename(fitted.dedupe(nan_to_null(df))).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            self._learn(fitted, df, unique)
+        finally:
+            unique.unpersist()
+        return fitted
+
+    def _learn(self, fitted: FittedCleaning, df: DataFrame, work: DataFrame) -> None:
         o = self.options
-        fitted = FittedCleaning(o)
-        work = fitted.rename(fitted.dedupe(nan_to_null(df)))
         renamed = dict(zip(df.columns, work.columns))
         fitted.order_by = [renamed[c] for c in o.order_by]
         if o.fix_missing_values:
@@ -98,7 +107,6 @@ class CleaningPlan:
             work = fitted.mask.transform(work)
         if o.normalize_schema:
             fitted.types = type_plan(work)
-        return fitted
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
         return self.fit(df).transform(df)

@@ -27,16 +27,16 @@ def standardized_names_orders(spark, sf_dir):
 
 @query(
     """SELECT try_cast(int_text AS BIGINT) AS col_1st_value, try_cast(dbl_text AS DOUBLE) AS dbl_text,
-    try_cast(date_text AS DATE) AS date_text, mostly_int AS column_3, word AS word FROM typed_text"""
+    try_cast(date_text AS DATE)::VARCHAR AS date_text, mostly_int AS column_3, word AS word FROM typed_text"""
 )
 def normalized_schema_typed(spark, sf_dir):
     messy = table(spark, sf_dir, "typed_text").toDF("1st value", "Dbl.Text", "date-text", "!!!", "WORD")
-    return retype_text(naming.schema_columns(messy))
+    return retype_text(naming.schema_columns(messy)).withColumn("date_text", F.col("date_text").cast("string"))
 
 
 @query(
-    """SELECT o_orderkey AS column_957, o_custkey AS customer_id, o_orderstatus AS col_2nd_status,
-    o_totalprice AS total, o_orderdate AS order_date, o_orderpriority AS column_385 FROM orders"""
+    """SELECT o_orderkey AS column_680, o_custkey AS customer_id, o_orderstatus AS col_2nd_status,
+    o_totalprice AS total, o_orderdate AS order_date, o_orderpriority AS column_742 FROM orders"""
 )
 def sql_identifiers_orders(spark, sf_dir):
     messy = table(spark, sf_dir, "orders").toDF("order", "Customer ID", "2nd status", "total", "order_date", "???")
@@ -73,7 +73,9 @@ def exact_dedupe_part(spark, sf_dir):
     {_plain("p_type")}, p_size, p_retailprice ORDER BY p_partkey) AS place FROM part_copies) WHERE place = 1"""
 )
 def near_dedupe_part(spark, sf_dir):
-    return dedupe.drop_near_duplicates(table(spark, sf_dir, "part_copies"), ["p_partkey"])
+    return dedupe.drop_near_duplicates(
+        table(spark, sf_dir, "part_copies"), ["p_partkey"], extra_keys=["p_size", "p_retailprice"]
+    )
 
 
 @query(
@@ -112,13 +114,13 @@ def combine_shared_columns(spark, sf_dir):
 
 
 @query(
-    """SELECT r_regionkey, r_name, NULL::INTEGER AS label_quality, NULL::BIGINT AS label_doc FROM region
-    UNION ALL SELECT DISTINCT NULL, NULL, quality, doc_id FROM labels"""
+    """SELECT r_regionkey::VARCHAR AS r_regionkey, r_name, NULL::VARCHAR AS label_quality, NULL::VARCHAR AS label_doc FROM region
+    UNION ALL SELECT DISTINCT NULL, NULL, quality::VARCHAR, doc_id::VARCHAR FROM labels"""
 )
 def combine_disjoint_columns(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select(F.col("quality").alias("label_quality"), F.col("doc_id").alias("label_doc"))
     combined = combine.combine_tables([table(spark, sf_dir, "region"), labels])
-    return combined.select("r_regionkey", "r_name", "label_quality", "label_doc")
+    return combined.select(*[F.col(c).cast("string").alias(c) for c in ("r_regionkey", "r_name", "label_quality", "label_doc")])
 
 
 @query(
@@ -197,10 +199,12 @@ def inferred_types(spark, sf_dir):
 
 
 @query(
-    """SELECT int_text::BIGINT AS int_text, dbl_text::DOUBLE AS dbl_text, date_text::DATE AS date_text, mostly_int, word FROM typed_text"""
+    """SELECT int_text::BIGINT AS int_text, dbl_text::DOUBLE AS dbl_text, date_text::DATE::VARCHAR AS date_text, mostly_int, word
+    FROM typed_text"""
 )
 def retyped_text(spark, sf_dir):
-    return retype_text(table(spark, sf_dir, "typed_text"))
+    typed = retype_text(table(spark, sf_dir, "typed_text"))
+    return typed.select("int_text", "dbl_text", F.col("date_text").cast("string").alias("date_text"), "mostly_int", "word")
 
 
 # ---- outliers ----------------------------------------------------------------------------------------------
@@ -344,13 +348,14 @@ def cleaned_orders(spark, sf_dir):
 )
 def cleaned_part(spark, sf_dir):
     df = table(spark, sf_dir, "part_copies")
-    return CleaningPlan(CleaningOptions(order_by=["p_partkey"])).fit_transform(df)
+    options = CleaningOptions(order_by=["p_partkey"], extra_keys=["p_size", "p_retailprice"])
+    return CleaningPlan(options).fit_transform(df)
 
 
 @query(
     f"""WITH a AS (SELECT c_custkey AS id, 'XXX-XX-' || {_LAST4.format("c_name")} AS name, c_nationkey AS nation FROM customer),
     b AS (SELECT s_suppkey AS id, 'XXX-XX-' || {_LAST4.format("s_name")} AS name, s_nationkey AS nation FROM supplier)
-    SELECT min(id) AS id, name, nation FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY {_plain("name")}, name, nation"""
+    SELECT DISTINCT id, name, nation FROM (SELECT * FROM a UNION ALL SELECT * FROM b)"""
 )
 def cleaned_sources(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey").toDF("Key", "Name", "Nation")

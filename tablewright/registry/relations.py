@@ -14,7 +14,15 @@ from tablewright.operators.quality import quality_assessment
 from tablewright.operators.trend import trends
 from tablewright.plans.analysis import AnalysisPlan
 from tablewright.registry.base import query, rounded, table
-from tablewright.registry.profiling import LINE_NUMBERS, ORDER_NUMBERS, ORDERS, _ASSESSMENT, _ORDER_KINDS, _quality_sql
+from tablewright.registry.profiling import (
+    LINE_NUMBERS,
+    ORDER_NUMBERS,
+    ORDER_TEXTS,
+    ORDERS,
+    _ORDER_KINDS,
+    _anomaly_sql,
+    _quality_sql,
+)
 
 
 def _r(a: str, b: str) -> str:
@@ -142,8 +150,8 @@ _MISSING = " + ".join(f"count(*) - count({c})" for c in ORDERS)
     UNION ALL SELECT 'some_missing', 'Minor missing data: ' || printf('%.1f', pct) || '% of values are null', pct > 0 AND pct <= 10 FROM m
     UNION ALL SELECT 'none_missing', 'Complete dataset with no missing values', pct = 0 FROM m
     UNION ALL SELECT 'quantitative', 'Dataset is primarily quantitative - well-suited for statistical analysis and forecasting', true
-    UNION ALL SELECT 'anomalies', k || ' data quality issues identified - review recommended', k > 0 FROM (SELECT
-      (SELECT (abs(skewness(o_totalprice)) > 3)::BIGINT FROM orders_dirty) + (SELECT (abs(skewness(o_custkey)) > 3)::BIGINT FROM orders_dirty) + 1 AS k))
+    UNION ALL SELECT 'anomalies', k || ' data quality issues identified - review recommended', k > 0 FROM (SELECT count(*) AS k FROM (
+      {_anomaly_sql("orders_dirty", ORDER_NUMBERS, ORDER_TEXTS)})))
     SELECT rule, message FROM x WHERE ok"""
 )
 def business_insights_orders(spark, sf_dir):

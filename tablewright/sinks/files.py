@@ -22,7 +22,8 @@ def _flat(df: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Header in every part file; quotes are doubled."""
     layout = "yyyy-MM-dd HH:mm:ss.SSSSSS"
-    _flat(df).write.mode(mode).csv(path, header=True, escape='"', timestampFormat=layout, timestampNTZFormat=layout)
+    writer = _flat(df).write.mode(mode).option("timestampNTZFormat", layout)
+    writer.csv(path, header=True, escape='"', timestampFormat=layout)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
