@@ -10,6 +10,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
+from tablewright.session import spread
 from tablewright.types import NUMERIC, columns_of, number
 
 # Largest number of clusters tried, and the least number of rows.
@@ -39,7 +40,7 @@ def scaled_vectors(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     names = [c for c in (columns or columns_of(df, NUMERIC)) if c in columns_of(df, NUMERIC)]
     if len(names) < 2:
         raise ValueError("clustering needs two numeric columns")
-    values = df.select(*[F.coalesce(number(df.schema[n]), F.lit(0.0)).alias(f"x{i}") for i, n in enumerate(names)])
+    values = spread(df.select(*[F.coalesce(number(df.schema[n]), F.lit(0.0)).alias(f"x{i}") for i, n in enumerate(names)]))
     vectors = VectorAssembler(inputCols=values.columns, outputCol="raw").transform(values)
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(vectors)
     return scaler.transform(vectors).drop("raw")

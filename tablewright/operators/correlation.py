@@ -9,6 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablewright.functions.formats import fixed
+from tablewright.session import spread
 from tablewright.types import NUMERIC, columns_of, number
 
 STRONG = 0.7
@@ -32,7 +33,8 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     ).first()
     rows, complete = base[0], [base[1 + 2 * i] == base[0] for i in range(len(names))]
     centre = [base[2 + 2 * i] or 0.0 for i in range(len(names))]
-    centred = df.select(*[(number(x) - F.lit(centre[i])).alias(f"c{i}") for i, x in enumerate(fields)])
+    plain = spread(df.select(*[number(x).alias(f"c{i}") for i, x in enumerate(fields)]))
+    centred = plain.select(*[(F.col(f"c{i}") - F.lit(centre[i])).alias(f"c{i}") for i in range(len(names))])
     passes = [pairs[k : k + _PAIRS_PER_PASS] for k in range(0, len(pairs), _PAIRS_PER_PASS)]
     return reduce(lambda a, b: a.unionAll(b), [_pass(centred, names, chunk, complete) for chunk in passes])
 

@@ -191,7 +191,7 @@ class SqlScript:
         source = self.df
         if limit is not None:
             source = source.orderBy(*[col(c).asc_nulls_last() for c in self.order_by]).limit(limit)
-        names = [c["sql_name"] for c in self.mapping()]
+        names = unique_names(sql_identifier(c) for c in self.df.columns)
         head = f"INSERT INTO {self.table} ({', '.join(names)}) VALUES"
         values = F.concat_ws(", ", *[sql_literal(col(f.name), f.dataType) for f in self.df.schema.fields])
         keyed = source.select(

@@ -11,6 +11,9 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tablewright.session import spread
+from tablewright.types import col
+
 CELL = Callable[[T.StructField], Column]
 
 
@@ -24,7 +27,8 @@ def cells(df: DataFrame, columns: Sequence[str], parts: Mapping[str, CELL]) -> D
         F.struct(F.lit(i).alias("cid"), *[build(field).alias(part) for part, build in parts.items()])
         for i, field in enumerate(fields_of(df, columns))
     ]
-    return df.select(F.explode(F.array(*entries)).alias("cell")).select("cell.*")
+    source = spread(df.select(*[col(c) for c in columns]))
+    return source.select(F.explode(F.array(*entries)).alias("cell")).select("cell.*")
 
 
 def lookup(values: Sequence, cid: Column, sql_type: str) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tablewright.operators.quantiles import quantiles
+from tablewright.session import spread
 from tablewright.types import NUMERIC, columns_of, number
 
 # Number of targets, split, and size of the forest.
@@ -51,7 +52,7 @@ def predictive_models(
     if len(names) < 2:
         raise ValueError("modeling needs two numeric columns")
     chosen = [t for t in (targets or names[:max_targets]) if t in names]
-    data = _filled(df, names, exact)
+    data = spread(_filled(df, names, exact))
     lot = F.pmod(F.xxhash64(F.lit(seed), *data.columns), F.lit(10_000))
     data = data.withColumn("train", lot < int(TRAIN_SHARE * 10_000)).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []

@@ -16,7 +16,7 @@ from tablewright.functions.text import is_blank, is_digits, is_lower, is_mixed_c
 from tablewright.operators.frequencies import cardinalities, modes, smallest_values, value_frequencies
 from tablewright.operators.longform import cells, fields_of, lookup, no_nan, one_row_per_column, percent
 from tablewright.operators.outliers import fences, outside
-from tablewright.operators.quantiles import quantiles
+from tablewright.operators.quantiles import centres, quantiles
 from tablewright.types import DATETIME, NUMERIC, TEXT, col, columns_of, epoch_micros, number, type_class
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -60,9 +60,12 @@ class NumericStats:
     def __init__(self, df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True):
         self.df = df
         self.columns = _chosen(df, columns, NUMERIC)
-        self.quartiles = quantiles(df, self.columns, QUARTILES, exact)
-        self.means: dict[str, float | None] = {}
-        if self.columns:
+        if exact:
+            found = centres(df, self.columns, QUARTILES)
+            self.quartiles = {n: c.quantiles for n, c in found.items()}
+            self.means = {n: c.mean for n, c in found.items()}
+        else:
+            self.quartiles = quantiles(df, self.columns, QUARTILES, exact=False)
             rows = cells(df, self.columns, {"v": number}).groupBy("cid").agg(F.avg("v").alias("mean")).collect()
             self.means = {self.columns[r["cid"]]: r["mean"] for r in rows}
 

@@ -105,7 +105,8 @@ def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
     """Round all doubles, so that engines which add in another order agree."""
     return df.select(
         *[
-            F.round(F.col(f"`{n}`"), special.get(n, digits)).alias(n) if t == "double" else F.col(f"`{n}`")
+            # Adding zero turns a negative zero into a plain one.
+            (F.round(F.col(f"`{n}`"), special.get(n, digits)) + F.lit(0.0)).alias(n) if t == "double" else F.col(f"`{n}`")
             for n, t in df.dtypes
         ]
     )

@@ -60,7 +60,7 @@ def _numeric_sql(t: str, names) -> str:
     return union_all(
         f"""SELECT '<c>' AS "column", count(*) AS row_count, count(<c>) AS non_null, round(min(<c>)::DOUBLE, 3) AS min,
         round(max(<c>)::DOUBLE, 3) AS max, round(avg(<c>), 3) AS mean, round(median(<c>)::DOUBLE, 3) AS median,
-        round(stddev_samp(<c>), 3) AS std, round(skewness(<c>), 6) AS skewness, round(kurtosis(<c>), 6) AS kurtosis,
+        round(stddev_samp(<c>), 3) AS std, round(skewness(<c>), 6) + 0.0::DOUBLE AS skewness, round(kurtosis(<c>), 6) + 0.0::DOUBLE AS kurtosis,
         round(quantile_cont(<c>, 0.25)::DOUBLE, 3) AS q25, round(quantile_cont(<c>, 0.75)::DOUBLE, 3) AS q75,
         (WITH q AS (SELECT quantile_cont(<c>, 0.25)::DOUBLE AS a, quantile_cont(<c>, 0.75)::DOUBLE AS b FROM {t})
           SELECT count(*) FROM {t}, q WHERE <c> < a - 1.5 * (b - a) OR <c> > b + 1.5 * (b - a)) AS outlier_count,

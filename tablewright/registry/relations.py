@@ -26,7 +26,7 @@ from tablewright.registry.profiling import (
 
 
 def _r(a: str, b: str) -> str:
-    return f"CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE round(corr({a}, {b}), 6) END"
+    return f"CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE round(corr({a}, {b}), 6) + 0.0::DOUBLE END"
 
 
 def _pairs_sql(t: str, names) -> str:

@@ -66,3 +66,24 @@ def range_partitions(df: DataFrame, target_bytes: int = 256 << 20) -> int | None
     configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wanted = -(-estimated_bytes(df) // target_bytes)
     return min(wanted, 1_000_000) if wanted > configured else None
+
+
+def spread(df: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:
+    """Give every core a share of a small input that comes in too few pieces, such as one file of one row group.
+
+    Applies only before heavy work per row, and never to an input that has a split for each core anyway: then the scan
+    is left alone.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = estimated_bytes(df)
+    splits = size // _bytes_setting(spark, "spark.sql.files.maxPartitionBytes")
+    pieces = min(cores, size // min_bytes)
+    return df.repartition(int(pieces)) if splits < cores and pieces > 1 else df
+
+
+def _bytes_setting(spark: SparkSession, key: str) -> int:
+    """A size setting such as ``128MB`` or ``134217728b`` in bytes."""
+    text = spark.conf.get(key).strip().lower().rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}.get(text[-1:], 1)
+    return int(text.rstrip("kmgt")) * unit
