@@ -23,7 +23,9 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Header in every part file; quotes are doubled."""
     layout = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     writer = _flat(df).write.mode(mode).option("timestampNTZFormat", layout)
-    writer.csv(path, header=True, escape='"', timestampFormat=layout)
+    writer.csv(
+        path, header=True, escape='"', timestampFormat=layout, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

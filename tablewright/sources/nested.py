@@ -63,7 +63,7 @@ def read_json(spark: SparkSession, path, records_path: str | None = None, lines:
     return flatten(df)
 
 
-_PARENT = re.compile(r"<([A-Za-z_][\w.-]*)(?:\s[^<>]*)?(?<!/)>\s*<(?![/!?])")
+_PARENT = re.compile(r"<([A-Za-z_][\w.-]*)(?:\s[^<>]*)?(?<!/)>(?=\s*<(?![/!?]))")
 _ANY_TAG = re.compile(r"<([A-Za-z_][\w.-]*)")
 
 
