@@ -14,7 +14,7 @@ from tablewright.types import col, columns_of, require_columns
 # Functions allowed in a derived column, and in the answer to a question.
 EXPRESSION_FUNCTIONS = {"abs", "greatest", "least", "length", "round", "cast", "coalesce", "int", "bigint", "double", "string", "boolean"}
 AGGREGATES = {
-    "count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "median": F.median,
+    "count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max,
     "stddev": F.stddev_samp, "distinct": F.count_distinct,
 }
 _CALL = re.compile(r"([A-Za-z_][A-Za-z0-9_]*)\s*\(")

@@ -13,14 +13,15 @@ from tablewright.session import spread
 from tablewright.types import NUMERIC, columns_of, number
 
 STRONG = 0.7
-_PAIRS_PER_PASS = 60
+_PAIRS_PER_PASS = 64
+_TILE = 8
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(i, j, column_a, column_b, n, r)`` for every pair i < j; ``r`` is NULL when either side is constant.
 
     Sums of products of centred values need a handful of additions per pair. Columns without nulls share their own sums
-    with all partners. Many pairs are split over several passes, so that each stays small enough to be compiled.
+    with all partners. Many pairs are split over several scans of few columns, so that each stays small enough to be compiled.
     """
     names = [c for c in (columns or columns_of(df, NUMERIC)) if c in columns_of(df, NUMERIC)]
     pairs = list(combinations(range(len(names)), 2))
@@ -35,8 +36,17 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     centre = [base[2 + 2 * i] or 0.0 for i in range(len(names))]
     plain = spread(df.select(*[number(x).alias(f"c{i}") for i, x in enumerate(fields)]))
     centred = plain.select(*[(F.col(f"c{i}") - F.lit(centre[i])).alias(f"c{i}") for i in range(len(names))])
-    passes = [pairs[k : k + _PAIRS_PER_PASS] for k in range(0, len(pairs), _PAIRS_PER_PASS)]
-    return reduce(lambda a, b: a.unionAll(b), [_pass(centred, names, chunk, complete) for chunk in passes])
+    return reduce(lambda a, b: a.unionAll(b), [_pass(centred, names, chunk, complete) for chunk in _passes(pairs)])
+
+
+def _passes(pairs: Sequence[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Pairs that share a scan: all of them if few, else square tiles, so that a scan reads at most two tile sides."""
+    if len(pairs) <= _PAIRS_PER_PASS:
+        return [list(pairs)]
+    tiles: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for i, j in pairs:
+        tiles.setdefault((i // _TILE, j // _TILE), []).append((i, j))
+    return list(tiles.values())
 
 
 def _pass(centred: DataFrame, names: Sequence[str], pairs: Sequence[tuple[int, int]], complete: Sequence[bool]) -> DataFrame:

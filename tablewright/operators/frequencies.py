@@ -16,6 +16,12 @@ from tablewright.operators.longform import cells, fields_of, lookup, one_row_per
 from tablewright.types import DATETIME, is_float, is_integral, present, type_class
 
 
+# Texts longer than a digest are counted by digest.
+_LONG_TEXT = 64
+# A side of at most this many (number, digest) rows is broadcast.
+_BROADCAST_ROWS = 50_000
+
+
 def _is_whole(dtype: T.DataType) -> bool:
     return is_integral(dtype) or isinstance(dtype, T.BooleanType) or type_class(dtype) == DATETIME
 
@@ -38,12 +44,25 @@ def _string(field: T.StructField) -> Column:
     return as_text(present(field), field.dataType)
 
 
-def value_frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def _digest(field: T.StructField) -> Column:
+    """A short text as it is, a long one by its SHA-256, so that long texts are not shuffled."""
+    text = _string(field)
+    return F.when(F.length(text) > _LONG_TEXT, F.sha2(text, 256)).otherwise(text)
+
+
+def _is_long(field: T.StructField) -> Column:
+    return F.coalesce(F.length(_string(field)) > _LONG_TEXT, F.lit(False))
+
+
+def value_frequencies(df: DataFrame, columns: Sequence[str], digests: bool = False) -> DataFrame:
     """Rows ``(cid, whole, float, string, n)``; each type has its own value column so nothing loses precision.
 
-    The missing value is one of the rows, with all three value columns NULL.
+    The missing value is one of the rows, with all three value columns NULL. With ``digests``, long texts are replaced
+    by a digest and marked in a column ``hashed``.
     """
-    parts = {"whole": _whole, "float": _float, "string": _string}
+    parts = {"whole": _whole, "float": _float, "string": _digest if digests else _string}
+    if digests:
+        parts["hashed"] = _is_long
     return cells(df, columns, parts).groupBy("cid", *parts).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -72,7 +91,7 @@ def cardinalities(df: DataFrame, columns: Sequence[str], exact: bool = True) ->
     ``exact=False`` answers from one scan with sketches of fixed size and shuffles no values at all.
     """
     if exact:
-        rows = value_frequencies(df, columns).groupBy("cid").agg(
+        rows = value_frequencies(df, columns, digests=True).groupBy("cid").agg(
             F.sum("n").alias("row_count"),
             F.sum(F.when(has_value(), F.col("n"))).alias("non_null"),
             F.count_if(has_value()).alias("distinct"),
@@ -89,15 +108,31 @@ def cardinalities(df: DataFrame, columns: Sequence[str], exact: bool = True) ->
     return full.select("cid", "column", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in numbers])
 
 
-def modes(frequencies: DataFrame) -> DataFrame:
-    """Most frequent value per column, the smallest one on ties: ``(cid, whole, float, string, n)``.
+def text_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[str, int]]:
+    """Most frequent value of each text column and its count, the smallest value on ties.
 
-    The rank filter is pushed below the shuffle (group limit), so each task sends one row per column.
+    Long texts are counted by digest. Only for columns whose winner is long, the texts behind the winning digests are
+    looked up in a second scan.
     """
-    best = Window.partitionBy("cid").orderBy(F.desc("n"), "whole", "float", "string")
-    return (
-        frequencies.where(has_value()).withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank")
+    counted = value_frequencies(df, columns, digests=True).where(F.col("string").isNotNull())
+    levels = counted.groupBy("cid", "n").agg(
+        F.min("string").alias("smallest"), F.bool_or("hashed").alias("hashed"), F.count(F.lit(1)).alias("ties")
     )
+    best = levels.groupBy("cid").agg(F.max("n").alias("n"), F.max_by(F.struct("smallest", "hashed", "ties"), "n").alias("top"))
+    winners = {r["cid"]: r for r in best.collect()}
+    found = {columns[cid]: (r["top"]["smallest"], r["n"]) for cid, r in winners.items()}
+    long_ones = [cid for cid, r in winners.items() if r["top"]["hashed"]]
+    if long_ones:
+        names = [columns[cid] for cid in long_ones]
+        most = lookup([winners[cid]["n"] for cid in long_ones], F.col("cid"), "bigint")
+        tied = value_frequencies(df, names, digests=True).where(F.col("n") == most).select("cid", "string")
+        if sum(winners[cid]["top"]["ties"] for cid in long_ones) <= _BROADCAST_ROWS:
+            tied = F.broadcast(tied)
+        texts = cells(df, names, {"string": _digest, "text": _string})
+        smallest = texts.join(tied, ["cid", "string"], "left_semi").groupBy("cid").agg(F.min("text").alias("text"))
+        for r in smallest.collect():
+            found[names[r["cid"]]] = (r["text"], winners[long_ones[r["cid"]]]["n"])
+    return found
 
 
 def smallest_values(df: DataFrame, columns: Sequence[str], limit: int = 3) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.operators.frequencies import modes, value_frequencies
+from tablewright.operators.frequencies import text_modes
 from tablewright.operators.ordered import OrderedRows
 from tablewright.operators.quantiles import quantiles
 from tablewright.types import DATETIME, NUMERIC, TEXT, col, is_integral, present, type_class
@@ -75,8 +75,7 @@ class MissingValueFiller:
         result.widened = [f.name for f in by_kind[NUMERIC] if is_integral(f.dataType)]
         texts = [f.name for f in by_kind[TEXT]]
         if texts:
-            for row in modes(value_frequencies(df, texts)).collect():
-                result.constants[texts[row["cid"]]] = row["string"]
+            result.constants.update({n: value for n, (value, _) in text_modes(df, texts).items()})
         result.both = [f.name for f in by_kind[DATETIME]]
         result.forward = [f.name for f in gaps if type_class(f.dataType) not in by_kind]
         if (result.both or result.forward) and not self.order_by:

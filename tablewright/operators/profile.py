@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablewright.functions import patterns as P
 from tablewright.functions.text import is_blank, is_digits, is_lower, is_mixed_case, is_upper
-from tablewright.operators.frequencies import cardinalities, modes, smallest_values, value_frequencies
+from tablewright.operators import frequencies
+from tablewright.operators.frequencies import cardinalities, smallest_values
 from tablewright.operators.longform import cells, fields_of, lookup, no_nan, one_row_per_column, percent
 from tablewright.operators.outliers import fences, outside
 from tablewright.operators.quantiles import centres, quantiles
@@ -231,11 +232,9 @@ def text_modes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     names = _chosen(df, columns, TEXT)
     if not names:
         return empty_profile(df, "cid int, column string, most_frequent string, most_frequent_count bigint")
-    found = modes(value_frequencies(df, names)).select(
-        "cid", F.col("string").alias("most_frequent"), F.col("n").alias("most_frequent_count")
-    )
-    full = one_row_per_column(df, names, found)
-    return full.select("cid", "column", "most_frequent", F.coalesce("most_frequent_count", F.lit(0)).cast("bigint").alias("most_frequent_count"))
+    found = frequencies.text_modes(df, names)
+    rows = [(i, n, *found.get(n, (None, 0))) for i, n in enumerate(names)]
+    return df.sparkSession.createDataFrame(rows, "cid int, column string, most_frequent string, most_frequent_count bigint")
 
 
 def text_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

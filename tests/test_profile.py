@@ -218,3 +218,14 @@ def test_memory_and_summary(spark):
     assert (summary["total_missing"], summary["complete_rows"], summary["boolean_columns"]) == (1, 1, 1)
     sheet = {r["key"]: r["value"] for r in overview.summary_sheet(df, "t", "2024-01-01").collect()}
     assert sheet["Memory Usage"] == "12.0 B" and sheet["Processing Date"] == "2024-01-01"
+
+
+def test_modes_of_long_texts(spark):
+    long_a, long_b = "a" * 500, "b" * 500
+    df = spark.createDataFrame(
+        [(long_b, "x", long_b), (long_b, "x", long_a), (long_a, long_a, "c"), (long_a, "y", "d"), ("z", None, None)],
+        "tie string, short string, unique string",
+    )
+    found = {r["column"]: (r["most_frequent"], r["most_frequent_count"]) for r in profile.text_modes(df).collect()}
+    assert found == {"tie": (long_a, 2), "short": ("x", 2), "unique": (long_a, 1)}
+    assert {r["column"]: r["distinct"] for r in profile.column_counts(df).collect()} == {"tie": 3, "short": 3, "unique": 4}
