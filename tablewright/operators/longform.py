@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablewright.session import spread
-from tablewright.types import col
+from tablewright.types import OTHER, TEXT, col, type_class
 
 CELL = Callable[[T.StructField], Column]
 
@@ -27,7 +27,10 @@ def cells(df: DataFrame, columns: Sequence[str], parts: Mapping[str, CELL]) -> D
         F.struct(F.lit(i).alias("cid"), *[build(field).alias(part) for part, build in parts.items()])
         for i, field in enumerate(fields_of(df, columns))
     ]
-    source = spread(df.select(*[col(c) for c in columns]))
+    source = df.select(*[col(c) for c in columns])
+    # Work per cell is heavy for texts and nested values only; numbers are aggregated faster than they are moved.
+    if any(type_class(f.dataType) in (TEXT, OTHER) for f in fields_of(df, columns)):
+        source = spread(source)
     return source.select(F.explode(F.array(*entries)).alias("cell")).select("cell.*")
 
 

@@ -20,7 +20,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablewright.operators.longform import fields_of, lookup
-from tablewright.session import spread
 from tablewright.types import number
 
 CELL_BUDGET = 1_000_000
@@ -63,12 +62,12 @@ def centres(
     """Counts, means and exact linear-interpolated quantiles per column, nulls left out."""
     if not columns:
         return {}
-    view = spread(df.select(*[number(field).alias(f"v{i}") for i, field in enumerate(fields_of(df, columns))]))
+    view = df.select(*[number(field).alias(f"v{i}") for i, field in enumerate(fields_of(df, columns))])
     values = [F.col(f"v{i}") for i in range(len(columns))]
     small = df.count() * len(columns) <= budget
     points = list(probs) if small else _around(probs, 3.0 / accuracy)
-    spread_of = [F.percentile(v, points) if small else F.percentile_approx(v, points, accuracy) for v in values]
-    row = view.agg(*[x for v, q in zip(values, spread_of) for x in (F.count(v), F.avg(v), q)]).first()
+    middles = [F.percentile(v, points) if small else F.percentile_approx(v, points, accuracy) for v in values]
+    row = view.agg(*[x for v, q in zip(values, middles) for x in (F.count(v), F.avg(v), q)]).first()
     basics = [tuple(row[3 * i : 3 * i + 3]) for i in range(len(columns))]
     if small:
         exact = [list(q) if q is not None else [None] * len(probs) for _, _, q in basics]
