@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.functions.text import strip
 from tablewright.operators.frequencies import cardinalities
-from tablewright.operators.longform import cells, lookup, one_row_per_column, ratio
-from tablewright.types import TEXT, col, columns_of
+from tablewright.operators.longform import cells, one_row_per_column, ratio
+from tablewright.operators.profile import column_counts, sample_values
+from tablewright.types import NUMERIC, TEXT, col, columns_of, is_float, number
 
 # Date and time layouts that are tried.
 DATE_LAYOUTS = ["yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd-MM-yyyy", "dd.MM.yyyy"]
@@ -139,3 +140,24 @@ def suggest_types(df: DataFrame, columns: Sequence[str] | None = None, exact: bo
         .when(known & (ratio(F.col("distinct"), F.col("row_count")) < 0.5), "category")
     )
     return joined.select("cid", "column", "non_null", "distinct", suggestion.alias("suggested_type"))
+
+
+def detect_types(df: DataFrame, samples: int = 5, exact: bool = True) -> DataFrame:
+    """Type, class, missing and distinct values, samples and a better type for every column.
+
+    A float column without gaps and fractions suggests ``integer``; texts as in :func:`suggest_types`.
+    """
+    counts = column_counts(df, exact=exact)
+    shown = sample_values(df, limit=samples).select("cid", "samples")
+    described = counts.join(F.broadcast(shown), "cid", "left")  # one row per column of the schema on each side
+    floats = [n for n in columns_of(df, NUMERIC) if is_float(df.schema[n].dataType)]
+    suggestions = suggest_types(df, exact=exact).select("column", "suggested_type")
+    if floats:
+        whole = cells(df, floats, {"v": number}).groupBy("cid").agg(
+            F.coalesce(F.bool_and(F.coalesce(F.col("v") % 1 == 0, F.lit(False))), F.lit(False)).alias("whole")
+        )
+        named = one_row_per_column(df, floats, whole)
+        suggestions = suggestions.unionByName(named.select("column", F.when(F.col("whole"), "integer").alias("suggested_type")))
+    return described.join(F.broadcast(suggestions), "column", "left").select(
+        "cid", "column", "data_type", "category", "null_count", "null_pct", "distinct", "samples", "suggested_type"
+    )

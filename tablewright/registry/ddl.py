@@ -91,9 +91,9 @@ def column_mapping_contacts(spark, sf_dir):
     return _mapping(spark, sf_dir, "contacts", list(CONTACTS))
 
 
-@query(_full_mapping_sql("documents", {c: k for c, k in DOCUMENTS.items() if c != "text"}))
+@query(_full_mapping_sql("documents", DOCUMENTS))
 def column_mapping_documents(spark, sf_dir):
-    return _mapping(spark, sf_dir, "documents", [c for c in DOCUMENTS if c != "text"])
+    return _mapping(spark, sf_dir, "documents")
 
 
 def _create_sql(t: str, name: str, columns: dict[str, str]) -> str:

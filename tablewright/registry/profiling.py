@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import anomalies as anomaly_rules
 from tablewright.operators import distribution, outliers, overview, profile, quality
-from tablewright.operators.typing import suggest_types
+from tablewright.operators.typing import detect_types, suggest_types
 from tablewright.registry.base import query, rounded, table, union_all
 
 ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
@@ -468,3 +468,50 @@ def anomalies_consts(spark, sf_dir):
 )
 def suggested_types(spark, sf_dir):
     return suggest_types(table(spark, sf_dir, "typed_text")).drop("cid", "distinct")
+
+
+def _detected_sql(t: str, columns: dict[str, tuple[str, str, str]]) -> str:
+    return "\nUNION ALL ".join(
+        f"""SELECT '{c}' AS "column", '{dtype}' AS data_type, '{kind}' AS category, count(*) - count({c}) AS null_count,
+        round(100.0 * (count(*) - count({c})) / count(*), 6) AS null_pct, count(DISTINCT {c}) AS "distinct",
+        (SELECT string_agg(v::VARCHAR, ' | ' ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM {t} WHERE {c} IS NOT NULL ORDER BY 1 LIMIT 5)) AS samples,
+        {suggestion} AS suggested_type FROM {t}"""
+        for c, (dtype, kind, suggestion) in columns.items()
+    )
+
+
+def _category(c: str) -> str:
+    return f"CASE WHEN count(DISTINCT {c})::DOUBLE / count(*) < 0.5 THEN 'category' END"
+
+
+@query(
+    _detected_sql(
+        "orders_dirty",
+        {
+            "o_orderkey": ("bigint", "numeric", "NULL"),
+            "o_custkey": ("bigint", "numeric", "NULL"),
+            "o_orderstatus": ("string", "text", _category("o_orderstatus")),
+            "o_totalprice": ("double", "numeric", "CASE WHEN bool_and(coalesce(o_totalprice % 1 = 0, false)) THEN 'integer' END"),
+            "o_orderdate": ("timestamp_ntz", "datetime", "NULL"),
+            "o_orderpriority": ("string", "text", _category("o_orderpriority")),
+        },
+    )
+)
+def detected_types_orders(spark, sf_dir):
+    found = detect_types(table(spark, sf_dir, "orders_dirty"))
+    return rounded(found.withColumn("samples", F.array_join("samples", " | ")).drop("cid"))
+
+
+@query(
+    _detected_sql(
+        "lineitem",
+        {
+            "l_quantity": ("double", "numeric", "CASE WHEN bool_and(l_quantity % 1 = 0) THEN 'integer' END"),
+            "l_discount": ("double", "numeric", "CASE WHEN bool_and(l_discount % 1 = 0) THEN 'integer' END"),
+            "l_returnflag": ("string", "text", _category("l_returnflag")),
+        },
+    )
+)
+def detected_types_lineitem(spark, sf_dir):
+    found = detect_types(table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_returnflag"))
+    return rounded(found.withColumn("samples", F.array_join("samples", " | ")).drop("cid"))

@@ -66,6 +66,7 @@ def read_delimited(
         raw = spark.read.csv(
             path, sep=sep, header=True, encoding=encoding, escape='"', mode="PERMISSIVE", ignoreLeadingWhiteSpace=False,
             ignoreTrailingWhiteSpace=False,
+            enforceSchema=False,  # a file with other headers is an error, not shifted columns
         )
     cleaned = nulls_from_tokens(raw, null_tokens)
     return retype_text(cleaned) if types else cleaned

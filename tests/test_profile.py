@@ -229,3 +229,18 @@ def test_modes_of_long_texts(spark):
     found = {r["column"]: (r["most_frequent"], r["most_frequent_count"]) for r in profile.text_modes(df).collect()}
     assert found == {"tie": (long_a, 2), "short": ("x", 2), "unique": (long_a, 1)}
     assert {r["column"]: r["distinct"] for r in profile.column_counts(df).collect()} == {"tie": 3, "short": 3, "unique": 4}
+
+
+def test_approximate_mode(spark):
+    df = spark.range(0, 5000).select(F.col("id").cast("double").alias("x"), (F.col("id") % 7).cast("string").alias("s"))
+    found = one(profile.numeric_profile(df, exact=False), "x")
+    assert found["mean"] == 2499.5 and found["median"] == pytest.approx(2499.5, abs=2)
+    assert {r["metric"] for r in quality.quality_assessment(df, exact=False).collect()} >= {"overall_score"}
+
+
+def test_detected_types(spark):
+    from tablewright.operators.typing import detect_types
+
+    df = spark.createDataFrame([(1.0, 1.0, "1"), (2.0, None, "2"), (3.0, 2.0, "2")], "a double, b double, s string")
+    found = {r["column"]: (r["suggested_type"], r["samples"]) for r in detect_types(df, samples=2).collect()}
+    assert found == {"a": ("integer", ["1.0", "2.0"]), "b": (None, ["1.0", "2.0"]), "s": ("integer", ["1", "2"])}
