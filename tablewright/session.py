@@ -68,7 +68,7 @@ def range_partitions(df: DataFrame, target_bytes: int = 256 << 20) -> int | None
     return min(wanted, 1_000_000) if wanted > configured else None
 
 
-def spread(df: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:
+def spread(df: DataFrame, min_bytes: int = 1 << 17) -> DataFrame:
     """Give every core a share of a small input that comes in too few pieces, such as one file of one row group.
 
     Applies only before heavy work per row, and never to an input that has a split for each core anyway: then the scan
