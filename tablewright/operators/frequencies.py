@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tablewright.functions.formats import as_text, float_text
 from tablewright.operators.longform import cells, fields_of, lookup, one_row_per_column
-from tablewright.types import DATETIME, is_float, is_integral, present, type_class
+from tablewright.types import DATETIME, epoch_micros, has_zone, is_float, is_integral, present, type_class
 
 
 # Texts longer than a digest are counted by digest.
@@ -30,7 +30,7 @@ def _whole(field: T.StructField) -> Column:
     if not _is_whole(field.dataType):
         return F.lit(None).cast("bigint")
     if type_class(field.dataType) == DATETIME:
-        return F.unix_micros(present(field).cast("timestamp"))
+        return epoch_micros(field)
     return present(field).cast("bigint")
 
 
@@ -73,12 +73,17 @@ def has_value() -> Column:
 def value_text(df: DataFrame, columns: Sequence[str]) -> Column:
     """The value of a frequency row as text."""
     kinds = [
-        "time" if type_class(f.dataType) == DATETIME else "bool" if isinstance(f.dataType, T.BooleanType) else "plain"
+        "instant" if has_zone(f)
+        else "time" if type_class(f.dataType) == DATETIME
+        else "bool" if isinstance(f.dataType, T.BooleanType)
+        else "plain"
         for f in fields_of(df, columns)
     ]
     kind = lookup(kinds, F.col("cid"), "string")
+    local = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(whole / 1000000BD AS decimal(18, 6)))")
     whole = (
-        F.when(kind == "time", F.timestamp_micros("whole").cast("string"))
+        F.when(kind == "instant", F.timestamp_micros("whole").cast("string"))
+        .when(kind == "time", local.cast("string"))
         .when(kind == "bool", (F.col("whole") == 1).cast("string"))
         .otherwise(F.col("whole").cast("string"))
     )

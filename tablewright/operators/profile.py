@@ -250,14 +250,19 @@ def datetime_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     """First and last moment, and the whole days between them."""
     names = _chosen(df, columns, DATETIME)
     if not names:
-        return empty_profile(df, "cid int, column string, min_date timestamp, max_date timestamp, date_range_days bigint")
-    found = cells(df, names, {"t": epoch_micros}).groupBy("cid").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+        return empty_profile(df, "cid int, column string, min_date timestamp_ntz, max_date timestamp_ntz, date_range_days bigint")
+    # Shown in local time; measured in elapsed time.
+    parts = {"shown": lambda f: col(f.name).cast("timestamp_ntz"), "micros": epoch_micros}
+    found = cells(df, names, parts).groupBy("cid").agg(
+        F.min("shown").alias("min_date"), F.max("shown").alias("max_date"),
+        F.min("micros").alias("lo"), F.max("micros").alias("hi"),
+    )
     full = one_row_per_column(df, names, found)
     return full.select(
         "cid",
         "column",
-        F.timestamp_micros("lo").alias("min_date"),
-        F.timestamp_micros("hi").alias("max_date"),
+        "min_date",
+        "max_date",
         F.floor((F.col("hi") - F.col("lo")) / F.lit(86_400_000_000)).cast("bigint").alias("date_range_days"),
     )
 

@@ -189,8 +189,7 @@ def text_kinds_documents(spark, sf_dir):
     (epoch_us(max(o_orderdate)) - epoch_us(min(o_orderdate))) // 86400000000 AS date_range_days FROM orders_dirty"""
 )
 def datetime_profile_orders(spark, sf_dir):
-    found = profile.datetime_profile(table(spark, sf_dir, "orders_dirty")).drop("cid")
-    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("min_date", "max_date")})
+    return profile.datetime_profile(table(spark, sf_dir, "orders_dirty")).drop("cid")
 
 
 def _duplicates_sql(t: str) -> str:

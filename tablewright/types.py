@@ -63,8 +63,22 @@ def number(field: T.StructField) -> Column:
 
 
 def epoch_micros(field: T.StructField) -> Column:
-    """A date or timestamp as microseconds since 1970 (session time zone should be UTC)."""
-    return F.unix_micros(col(field.name).cast("timestamp"))
+    """A date or timestamp as microseconds since 1970.
+
+    Dates and timestamps without a zone are taken apart by calendar, so that no session time zone moves them.
+    """
+    value = col(field.name)
+    if isinstance(field.dataType, T.TimestampType):
+        return F.unix_micros(value)
+    days = F.unix_date(value.cast("date")).cast("bigint") * 86_400_000_000
+    if isinstance(field.dataType, T.DateType):
+        return days
+    seconds = F.hour(value).cast("bigint") * 3600 + F.minute(value) * 60
+    return days + seconds * 1_000_000 + (F.extract(F.lit("SECOND"), value) * 1_000_000).cast("bigint")
+
+
+def has_zone(field: T.StructField) -> bool:
+    return isinstance(field.dataType, T.TimestampType)
 
 
 def require_columns(df: DataFrame, names) -> None:

@@ -244,3 +244,22 @@ def test_detected_types(spark):
     df = spark.createDataFrame([(1.0, 1.0, "1"), (2.0, None, "2"), (3.0, 2.0, "2")], "a double, b double, s string")
     found = {r["column"]: (r["suggested_type"], r["samples"]) for r in detect_types(df, samples=2).collect()}
     assert found == {"a": ("integer", ["1.0", "2.0"]), "b": (None, ["1.0", "2.0"]), "s": ("integer", ["1", "2"])}
+
+
+def test_dates_do_not_depend_on_the_session_zone(spark):
+    # 02:30 on this day does not exist in New York; the range crosses the change of the clocks.
+    df = spark.sql(
+        """SELECT * FROM VALUES (timestamp_ntz'2024-03-10 02:30:00.25', date'2024-03-09'), (timestamp_ntz'2024-03-10 03:30:00.25',
+        date'2024-07-01'), (timestamp_ntz'1969-12-31 23:59:59.5', NULL) AS t(at, day)"""
+    )
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        found = {r["column"]: r for r in profile.datetime_profile(df).collect()}
+        distinct = {r["column"]: r["distinct"] for r in profile.column_counts(df).collect()}
+        samples = {r["column"]: r["samples"] for r in profile.sample_values(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert distinct == {"at": 3, "day": 2}
+    assert found["day"]["date_range_days"] == 114 and str(found["at"]["min_date"]) == "1969-12-31 23:59:59.500000"
+    assert samples["at"] == ["1969-12-31 23:59:59.5", "2024-03-10 02:30:00.25", "2024-03-10 03:30:00.25"]
