@@ -6,7 +6,8 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.session import scratch_path
 
@@ -31,7 +32,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 <<
     """Cut Arrow batches so that each holds about ``max_bytes`` of the text column, or a single row."""
     for batch in batches:
         start, size = 0, 0
-        lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         for row, length in enumerate(lengths):
             if row > start and size + length > max_bytes:
                 yield batch.slice(start, row - start)
@@ -44,3 +45,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 <<
 def utf8_values(column: pa.Array) -> list[bytes | None]:
     """The rows of a text column as UTF-8."""
     return column.cast(pa.binary()).to_pylist()
+
+
+def hashed_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """The ``rows`` rows with the smallest hash of ``keys``, with that hash as ``draw``.
+
+    Only hashes are sorted; the threshold they give is a filter on the next scan. Rows with equal keys are equally
+    placed, so repeated ones at the threshold may add to the number.
+    """
+    drawn = df.withColumn("draw", F.xxhash64(*keys))
+    threshold = drawn.select("draw").orderBy("draw").limit(rows).agg(F.max("draw")).first()[0]
+    return drawn.where(F.lit(False) if threshold is None else F.col("draw") <= threshold)
