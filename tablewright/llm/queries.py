@@ -4,24 +4,136 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tablewright.llm.language_cnn import fit_language_model, predict_languages
 from tablewright.llm.minhash import near_duplicates
+from tablewright.llm.poisson_mix import poisson_mix, with_positions
+from tablewright.llm.quality_cnn import fit_quality_model, score_quality
+from tablewright.llm.secret_layers import find_secrets
+from tablewright.llm.splitters import range_shards
+from tablewright.llm.token_records import read_records, write_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Target shares of bytes by source; all other sources share the rest.
+MIX_WEIGHTS, MIX_REST = {"src0": 0.10, "src1": 0.10, "src2": 0.02, "src3": 0.05}, 0.73
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+
+def query(sql: str | None = None):
+    def register(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return register
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query
+def id_class(buckets: int) -> Column:
+    """crc32 of the id as text, modulo ``buckets``: the fold that says which rows a model may learn from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % buckets
+
+
+@query()
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode all documents, write record files, and read them back."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = write_records(documents, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_records(manifest).drop("ids")
+
+
+@query()
 def op4_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size, component and kept flag of each document; links at 0.85 over five-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document by a network that learned from the rows outside the held-out third."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(id_class(3) != 1)
+    model = fit_quality_model(documents.join(labels, "doc_id"))
+    scored = score_quality(documents, model)
+    return scored.select("doc_id", (id_class(3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op6_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes."""
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.xxhash64("text").alias("h"),
+    )
+    shards = range_shards(rows, F.col("h"), F.col("doc_id"), F.col("size"), shards=16)
+    return shards.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def _listed(spans: Column) -> Column:
+    return F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+
+
+def _count_of(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+@query()
+def op7_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of each document, plain and in decoded layers."""
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    plain = F.filter("findings", lambda s: s["depth"] == 0)
+    counts = [_count_of(F.col("plain"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.withColumn("plain", plain).select(
+        "doc_id", *counts, F.sha2(_listed(F.col("plain")).cast("binary"), 256).alias("base_sha256"),
+        _listed(F.col("findings")).alias("spans"),
+        (F.size("findings") - F.size("plain")).cast("long").alias("n_decoded"), F.col("n_closed").cast("long").alias("n_closed"),
+    )
+
+
+@query()
+def op8_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document by a network that learned from the rows outside the held-out quarter."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_language_model(documents.where(id_class(4) != 2))
+    return predict_languages(documents, model).select("doc_id", (id_class(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+_WEIGHTS_SQL = " ".join(f"WHEN '{name}' THEN {weight}" for name, weight in MIX_WEIGHTS.items())
+_KNOWN_SQL = ", ".join(f"'{name}'" for name in MIX_WEIGHTS)
+
+
+@query(
+    f"""
+    WITH sized AS (
+      SELECT doc_id, source, CASE WHEN source IN ({_KNOWN_SQL}) THEN source ELSE '' END AS pool,
+        coalesce(strlen(text), 0) + 1 AS size FROM documents),
+    pools AS (SELECT pool, sum(size) AS bytes, CASE pool {_WEIGHTS_SQL} ELSE {MIX_REST} END AS weight FROM sized GROUP BY pool),
+    rates AS (SELECT pool, CAST(weight AS DOUBLE) / (SELECT sum(CAST(weight AS DOUBLE)) FROM pools)
+      * (SELECT sum(bytes) FROM pools) / bytes AS mean FROM pools),
+    cumulative AS (SELECT pool, j, sum(exp(j * ln(mean) - mean - lgamma(j + 1))) OVER (PARTITION BY pool ORDER BY j) AS upto
+      FROM rates, (SELECT CAST(range AS DOUBLE) AS j FROM range(0, 64))),
+    drawn AS (SELECT doc_id, source, pool,
+      CAST('0x' || substr(md5('copies 7:0:' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM sized),
+    counted AS (SELECT doc_id, source, (SELECT count(*) FROM cumulative c WHERE c.pool = d.pool AND c.upto <= d.u) AS copies
+      FROM drawn d),
+    spread AS (SELECT doc_id, source, CAST(unnest(range(0, copies)) AS INTEGER) AS copy FROM counted)
+    SELECT doc_id, source, copy, md5('shuffle 7:' || doc_id || ':' || copy) AS shuffle_key,
+      row_number() OVER (ORDER BY md5('shuffle 7:' || doc_id || ':' || copy)) - 1 AS position FROM spread
+    """
+)
+def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of documents by which sources reach their target share, and their place in the shuffled mix."""
+    mix = poisson_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), MIX_WEIGHTS, MIX_REST, seed=7)
+    return with_positions(mix.drop("text"))
