@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tablewright.llm.ann_forest import nearest_vectors
+from tablewright.llm.chat_events import DELTA, MESSAGE, fold_events, read_back, render
 from tablewright.llm.language_cnn import fit_language_model, predict_languages
 from tablewright.llm.minhash import near_duplicates
 from tablewright.llm.poisson_mix import poisson_mix, with_positions
 from tablewright.llm.quality_cnn import fit_quality_model, score_quality
 from tablewright.llm.secret_layers import find_secrets
+from tablewright.llm.spaced_seeds import benchmark_overlaps
 from tablewright.llm.splitters import range_shards
 from tablewright.llm.token_records import read_records, write_records
 
@@ -41,6 +44,58 @@ def id_class(buckets: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % buckets
 
 
+@query()
+def op1_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for every fiftieth vector."""
+    return nearest_vectors(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+_CHAT_SQL = r"""
+    WITH given AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    escaped AS (
+      SELECT *, regexp_replace(replace(role, '\', '\\'), '<(\|(turn|text|end)\|>)', '<\\\1', 'g') AS role_out,
+        regexp_replace(replace(text, '\', '\\'), '<(\|(turn|text|end)\|>)', '<\\\1', 'g') AS text_out FROM given)
+    SELECT conv_id, count(*) AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      CAST(sum(8 + length(role_out) + 8 + length(text_out) + 7) AS BIGINT) AS formatted_chars
+    FROM escaped GROUP BY conv_id
+"""
+
+
+@query(_CHAT_SQL)
+def op2_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a log of streamed messages, folded, rendered, and read back from the rendered text."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    extra = spark.sql(
+        "SELECT CAST(-7 AS BIGINT) AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text "
+        "FROM VALUES (CAST(0 AS BIGINT), 'user'), (CAST(1 AS BIGINT), 'assistant') AS t(turn, role)"
+    )
+    # Turns may repeat a number, so messages are named by their place.
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    rows = given.unionByName(extra).withColumn("message", place)
+    half = F.floor(F.length("text") / 2).cast("int")
+    rest = F.substring("text", half + 1, F.length("text"))
+    events = rows.select(
+        "conv_id", "message",
+        F.inline(F.array(
+            F.struct((2 * F.col("message")).alias("seq"), F.lit(MESSAGE).alias("kind"), "role", F.substring("text", F.lit(1), half).alias("text")),
+            F.struct((2 * F.col("message") + 1).alias("seq"), F.lit(DELTA).alias("kind"), "role", rest.alias("text")),
+        )),
+    )
+    read = read_back(render(fold_events(events)))
+    listed = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(listed, "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 @query()
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents, write record files, and read them back."""
@@ -137,3 +192,35 @@ def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of documents by which sources reach their target share, and their place in the shuffled mix."""
     mix = poisson_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), MIX_WEIGHTS, MIX_REST, seed=7)
     return with_positions(mix.drop("text"))
+
+
+# Brute force for leaks: two of 13 words may differ, so four words in a row agree; all windows on that diagonal are compared.
+_LEAKS_SQL = r"""
+    WITH docs AS (
+      SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+    items AS (
+      SELECT min(item_id) AS item_id, w FROM (
+        SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
+        FROM benchmark) WHERE len(w) >= 13 GROUP BY w),
+    doc_grams AS (SELECT doc_id, p, array_to_string(w[p + 1 : p + 4], ' ') AS g FROM (
+      SELECT doc_id, w, unnest(range(0, len(w) - 3)) AS p FROM docs WHERE len(w) >= 13)),
+    item_grams AS (SELECT item_id, p, array_to_string(w[p + 1 : p + 4], ' ') AS g FROM (
+      SELECT item_id, w, unnest(range(0, len(w) - 3)) AS p FROM items)),
+    diagonals AS (SELECT DISTINCT doc_id, item_id, d.p - i.p AS shift FROM doc_grams d JOIN item_grams i USING (g)),
+    windows AS (
+      SELECT doc_id, item_id, d.w AS dw, i.w AS iw, shift,
+        unnest(range(greatest(0, shift), least(len(d.w), len(i.w) + shift) - 12)) AS s
+      FROM diagonals JOIN docs d USING (doc_id) JOIN items i USING (item_id)),
+    compared AS (
+      SELECT doc_id, item_id, s,
+        list_sum(list_transform(range(0, 13), lambda j: CAST(dw[s + j + 1] = iw[s + j - shift + 1] AS INTEGER))) AS same FROM windows)
+    SELECT doc_id, item_id, CAST(min(s) AS INTEGER) AS first_word, CAST(max(s) + 13 AS INTEGER) AS end_word,
+      CAST(max(same) AS INTEGER) AS same_words
+    FROM compared WHERE same >= 11 GROUP BY doc_id, item_id
+"""
+
+
+@query(_LEAKS_SQL)
+def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of the benchmark."""
+    return benchmark_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
