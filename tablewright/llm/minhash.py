@@ -27,8 +27,8 @@ from tablewright.llm.components import components
 
 PERMUTATIONS, BAND_VALUES = 96, 6
 BANDS = 2 * PERMUTATIONS // BAND_VALUES
-#: What one verification task may hold: shingles of all its documents together.
-TASK_SHINGLES = 1 << 20
+#: Shingles that the members of a hub, or the two blocks of a bucket, may bring into one verification task.
+HUB_SHINGLES, BLOCK_SHINGLES = 1 << 17, 1 << 19
 
 _SEED = np.random.default_rng(20240607)
 _BYTE_CODES = _SEED.integers(0, 1 << 64, 256, np.uint64)
@@ -201,7 +201,7 @@ def _links(tasks: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return _verify(frame, width, percent)
 
-    return tasks.join(texts, "doc_id").groupBy("task", "part").applyInPandas(run, "a long, b long")
+    return tasks.join(texts.hint("merge"), "doc_id").groupBy("task", "part").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
@@ -243,7 +243,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 85) ->
     tasks = edges.select(F.col("hub").alias("task"), "part", F.lit(1).alias("side"), "doc_id", F.col("doc_id").alias("root"))
     heads = edges.select(F.col("hub").alias("task"), "part").distinct()
     tasks = tasks.unionByName(heads.select("task", "part", F.lit(0).alias("side"), F.col("task").alias("doc_id"), F.col("task").alias("root")))
-    needed = stored(texts.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
+    # Texts meet ids in a merge join at every size: neither side has a bound, and the cost stays in proportion.
+    needed = stored(texts.join(rows.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "texts")
     links = stored(_links(tasks, needed, width, percent), "links")
     roots = components(links)
     rest = stored(_rest(rows, roots), "rest")
@@ -269,7 +270,7 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     """(key, doc_id, n_shingles, size) for buckets of two members or more."""
     rows = nodes.select(F.explode("bands").alias("key"), "doc_id", "n_shingles")
     sizes = stored(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    return rows.join(sizes, "key")
+    return rows.join(sizes.hint("merge"), "key")
 
 
 def _hubs(rows: DataFrame) -> DataFrame:
@@ -277,7 +278,7 @@ def _hubs(rows: DataFrame) -> DataFrame:
     degrees = rows.groupBy("doc_id").agg(F.sum("size").alias("degree"))
     best = F.max_by(F.struct("doc_id", "n_shingles", "degree"), F.struct("degree", -F.col("doc_id"))).alias("best")
     ranked = rows.join(stored(degrees, "degrees"), "doc_id").groupBy("key").agg(best)
-    weight = F.col("best.degree") * (F.col("best.n_shingles") + 256) / F.lit(BANDS * TASK_SHINGLES)
+    weight = F.col("best.degree") * (F.col("best.n_shingles") + 256) / F.lit(BANDS * HUB_SHINGLES)
     return ranked.select(
         "key", F.col("best.doc_id").alias("hub"), F.col("best.n_shingles").alias("hub_shingles"),
         F.ceil(weight).cast("long").alias("parts"),
@@ -301,7 +302,7 @@ def _rest(rows: DataFrame, roots: DataFrame) -> DataFrame:
         )
         .where("low <> high")
         .groupBy("members", "size").agg(F.min("key").alias("key"), F.max("weight").alias("weight"))
-        .select("key", F.ceil(F.col("weight") * 2 / F.lit(TASK_SHINGLES)).cast("long").alias("parts"))
+        .select("key", F.ceil(F.col("weight") * 2 / F.lit(BLOCK_SHINGLES)).cast("long").alias("parts"))
     )
     return rooted.join(stored(mixed, "mixed"), "key").select("key", "doc_id", "root", "parts")
 
