@@ -6,8 +6,9 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.llm.batches import hashed_sample, importable, pieces, utf8_values
 from tablewright.llm.bytecnn import Adam, ByteFilters, sample_windows
@@ -95,27 +96,38 @@ def fit_language_model(labelled: DataFrame, max_documents: int = MAX_DOCUMENTS,
     return LanguageModel.train(windows, labels, languages)
 
 
+def _tell(model: LanguageModel | None, texts: list[str | None], piece: int = 1 << 20) -> pd.DataFrame:
+    names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    readable = [i for i, t in enumerate(texts) if model and t and _LETTER.search(t)]
+    while readable:
+        # About ``piece`` characters at a time, one text at least.
+        sizes = np.cumsum([len(texts[i]) for i in readable])
+        now = readable[: max(1, int(np.searchsorted(sizes, piece, "right")))]
+        readable = readable[len(now) :]
+        best, share = model.predict([texts[i].encode() for i in now])
+        for i, b, s in zip(now, best, share):
+            names[i], scores[i] = model.languages[b], float(s)
+    return pd.DataFrame({"lang_pred": names, "score": scores})
+
+
+def language_of(model: LanguageModel | None, text: Column) -> Column:
+    """Struct (lang_pred, score) for a text column; other columns of the rows stay where they are.
+
+    Texts that are null or have no letter, and all texts without a model, give ``und`` with score 0.
+    """
+
+    @F.pandas_udf("lang_pred string, score double")
+    def told(texts: pd.Series) -> pd.DataFrame:
+        return _tell(model, texts.tolist())
+
+    return told(text)
+
+
 def predict_languages(documents: DataFrame, model: LanguageModel | None) -> DataFrame:
     """(doc_id, lang_pred, score) for each row of ``documents`` (doc_id, text); other columns are ignored.
 
-    Texts that are null or have no letter, and all texts without a model, give ``und`` with score 0. Repeated rows give
-    repeated results.
+    Repeated rows give repeated results; an empty table gives an empty one.
     """
     importable(documents.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 1 << 20):
-            texts = batch.column("text").to_pylist()
-            readable = [i for i, t in enumerate(texts) if model and t and _LETTER.search(t)]
-            names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            if readable:
-                best, share = model.predict([texts[i].encode() for i in readable])
-                for i, b, s in zip(readable, best, share):
-                    names[i], scores[i] = model.languages[b], float(s)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                ["doc_id", "lang_pred", "score"],
-            )
-
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    told = documents.select(F.col("doc_id").cast("long").alias("doc_id"), language_of(model, F.col("text")).alias("told"))
+    return told.select("doc_id", "told.lang_pred", "told.score")
