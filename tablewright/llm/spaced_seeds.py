@@ -22,14 +22,9 @@ BLOCK_SEEDS = 1 << 20
 
 
 def _word_codes(text: Column) -> Column:
-    """Hashes of the lower-cased runs of letters and digits."""
-    plain = F.regexp_replace(F.lower(text), r"^[^\p{L}\p{N}]+", "")
-    return F.transform(F.split(plain, r"[^\p{L}\p{N}]+"), lambda word: F.xxhash64(word))
-
-
-def _trimmed(text: Column) -> Column:
-    """Without what follows the last letter or digit, so that splitting leaves no empty word at the end."""
-    return F.regexp_replace(text, r"[^\p{L}\p{N}]+$", "")
+    """Hashes of the lower-cased runs of letters and digits; splitting leaves an empty word at either end, which goes."""
+    codes = F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda word: F.xxhash64(word))
+    return F.array_remove(codes, F.xxhash64(F.lit("")))
 
 
 def _seeds(codes: Column, place: Column) -> Column:
@@ -66,7 +61,7 @@ def benchmark_overlaps(documents: DataFrame, items: DataFrame, keys: tuple[str,
     Documents are read once per block of items; no text is shuffled, only what was found. A block of seeds has a fixed
     largest size, so its broadcast does not grow with either table.
     """
-    known = items.select(F.col("item_id").cast("long").alias("item_id"), _word_codes(_trimmed(F.col("text"))).alias("codes"))
+    known = items.select(F.col("item_id").cast("long").alias("item_id"), _word_codes(F.col("text")).alias("codes"))
     known = stored(known.where(F.size("codes") >= WINDOW).groupBy("codes").agg(F.min("item_id").alias("item_id")), "items")
     words = known.agg(F.sum(F.size("codes"))).first()[0] or 0
     blocks = max(1, -(-words * len(MASKS) // BLOCK_SEEDS))
