@@ -8,7 +8,7 @@ from tablewright.operators.ddl import SqlScript
 from tablewright.registry.base import query, rounded, table
 from tablewright.session import scratch_path
 from tablewright.sinks.files import report_document, write_csv, write_json, write_sql
-from tablewright.sources.files import list_files, read_any
+from tablewright.sources.files import read_any
 from tablewright.sources.texttables import table_from_text
 
 _ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders_dirty"
@@ -25,14 +25,14 @@ def csv_round_trip_orders(spark, sf_dir):
 def csv_round_trip_texts(spark, sf_dir):
     path = scratch_path(spark, "benchmark-csv")
     write_csv(table(spark, sf_dir, "benchmark"), path)
-    return read_any(spark, path, "csv")
+    return read_any(spark, path, "csv", multiline=True)
 
 
 @query("SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents")
 def csv_round_trip_documents(spark, sf_dir):
     path = scratch_path(spark, "documents-csv")
     write_csv(table(spark, sf_dir, "documents"), path)
-    return read_any(spark, path, "csv").select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
+    return read_any(spark, path, "csv", multiline=True).select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
 
 
 @query("SELECT p_partkey, p_name, p_brand, p_type, p_size::BIGINT AS p_size, p_retailprice FROM part")
@@ -89,9 +89,67 @@ def text_table_rows(spark, sf_dir):
     return table_from_text(table(spark, sf_dir, "text_tables"), "body", ["doc_id"], ["key", "status", "priority"])
 
 
-@query()
-def file_listing(spark, sf_dir):
-    return list_files(spark, sf_dir).drop("modificationTime", "path")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name || '" pipe' ELSE p_name END AS p_name, p_brand FROM part""")
+def csv_stray_quotes_part(spark, sf_dir):
+    path = scratch_path(spark, "stray-csv")
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit('" pipe'))).otherwise(F.col("p_name"))
+    lines = table(spark, sf_dir, "part").select(F.concat_ws(",", F.col("p_partkey").cast("string"), name, "p_brand").alias("value"))
+    header = spark.sql("SELECT 'p_partkey,p_name,p_brand' AS value")
+    # One file, the header first.
+    header.withColumn("n", F.lit(0)).unionAll(lines.withColumn("n", F.lit(1))).coalesce(1).sortWithinPartitions("n").select("value").write.text(path)
+    return read_any(spark, path, "csv")
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, lpad(n_nationkey::VARCHAR, 5, '0') AS code, n_name FROM nation")
+def sql_dump_two_tables_crlf(spark, sf_dir):
+    """A dump with two tables, CRLF line ends, comments, several statements in a line and codes that look like numbers."""
+    path = scratch_path(spark, "two-sql")
+    nation = table(spark, sf_dir, "nation").select(
+        F.format_string(
+            "/* nation; ' */ INSERT INTO zz VALUES (%d, '%s', '%s'); INSERT INTO aa (x) VALUES (%d);\r",
+            "n_nationkey", F.lpad(F.col("n_nationkey").cast("string"), 5, "0"), "n_name", "n_nationkey",
+        ).alias("value")
+    )
+    create = spark.sql("SELECT 'CREATE TABLE zz (n_nationkey INT, code TEXT, n_name VARCHAR(30)); CREATE TABLE aa (x INT); -- it''s\\r' AS value")
+    create.withColumn("n", F.lit(0)).unionAll(nation.withColumn("n", F.lit(1))).coalesce(1).sortWithinPartitions("n").select("value").write.text(path)
+    return read_any(spark, path, "sql")
+
+
+@query("SELECT count(*) AS documents, max(o_orderkey) AS top, 2 AS columns FROM orders")
+def json_single_row_lines(spark, sf_dir):
+    """A JSON Lines file of one row: its list stays a cell, as it would beside other rows."""
+    path = scratch_path(spark, "single-json")
+    keys = table(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("top"), F.count("*").alias("n"))
+    tags = F.array(F.struct(F.lit("a").alias("k")), F.struct(F.lit("b").alias("k")))
+    keys.select("top", "n").withColumn("tags", tags).drop("n").coalesce(1).write.json(path)
+    read = read_any(spark, path, "json")
+    n = table(spark, sf_dir, "orders").agg(F.count("*").alias("documents"))
+    return n.crossJoin(read.agg(F.max("top").alias("top"), F.lit(len(read.columns)).alias("columns")))
+
+
+@query("SELECT p_partkey AS k, p_name AS name FROM part")
+def json_late_records(spark, sf_dir):
+    """The record list comes after hundreds of lines of other content."""
+    path = scratch_path(spark, "late-json")
+    part = table(spark, sf_dir, "part").select(F.to_json(F.struct(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"))).alias("row"))
+    head = spark.range(250).select(F.col("id").alias("n"), F.concat(F.lit('"m'), "id", F.lit('": 1,')).alias("value"))
+    opening = spark.sql("SELECT -1L AS n, '{\"meta\": {' AS value UNION ALL SELECT 250L, '\"m\": 1}, \"rows\": [' UNION ALL SELECT 1L << 60, '{\"k\": null}]}'")
+    rows = part.select(F.lit(251).cast("long").alias("n"), F.concat("row", F.lit(",")).alias("value"))
+    opening.unionByName(head).unionByName(rows).coalesce(1).sortWithinPartitions("n").select("value").write.text(path)
+    return read_any(spark, path, "json").where("k IS NOT NULL")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier")
+def xml_long_header(spark, sf_dir):
+    """Hundreds of other elements stand before the records, which are named."""
+    path = scratch_path(spark, "header-xml")
+    records = table(spark, sf_dir, "supplier").select(
+        F.lit(1).alias("n"), F.format_string("<rec><s_suppkey>%d</s_suppkey><s_name>%s</s_name></rec>", "s_suppkey", "s_name").alias("value")
+    )
+    head = spark.range(300).select(F.lit(0).alias("n"), F.lit("<p><i>x</i></p>").alias("value"))
+    ends = spark.sql("SELECT -1 AS n, '<d>' AS value UNION ALL SELECT 2, '</d>'")
+    ends.unionByName(head).unionByName(records).coalesce(1).sortWithinPartitions("n").select("value").write.text(path)
+    return read_any(spark, path, "xml", row_tag="rec")
 
 
 @query()

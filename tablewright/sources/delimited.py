@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.functions.patterns import NULL_TOKENS
 from tablewright.operators.typing import retype_text
-from tablewright.sources.records import logical_records, quote_count, text_pieces
 from tablewright.types import TEXT, col, type_class
 
 # Separators in the order in which they are tried.
@@ -31,50 +29,36 @@ def nulls_from_tokens(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS) -> Dat
     )
 
 
-def _unique_headers(cells: Sequence[str]) -> list[str]:
-    taken: dict[str, int] = {}
-    names = []
-    for i, cell in enumerate(cells):
-        name = cell.strip() or f"column_{i}"
-        taken[name] = taken.get(name, -1) + 1
-        names.append(name if not taken[name] else f"{name}_{taken[name]}")
-    return names
+def text_encoding(spark: SparkSession, path) -> str:
+    """UTF-8 if every line of the files is valid UTF-8, otherwise ISO-8859-1, in which every byte is a character."""
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
+    return "ISO-8859-1" if broken else "UTF-8"
 
 
 def read_delimited(
     spark: SparkSession,
     path,
     sep: str | None = None,
-    encoding: str = "UTF-8",
+    encoding: str | None = None,
     null_tokens: Sequence[str] = NULL_TOKENS,
     types: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
     """Files with one header. All cells are read as text, then tokens become NULL and columns get types.
 
-    The files stay split over tasks, also when quoted cells contain line breaks.
+    Every line is a row, and files stay split over tasks. Only ``multiline=True`` lets quoted cells hold line breaks; a
+    file is then one task, because where a quoted cell begins cannot be told from the middle of a file. A quote inside an
+    unquoted cell is an ordinary character. Without ``encoding`` the files are checked for valid UTF-8.
     """
-    first = text_pieces(spark, path, encoding=encoding).select("value").head(1)
+    encoding = encoding or text_encoding(spark, path)
+    first = spark.read.option("encoding", encoding).text(path).head(1)
     if not first:
         raise ValueError(f"no content in {path}")
-    header = first[0]["value"].lstrip("﻿").rstrip("\r")
-    sep = sep or detect_separator(header)
-    lines = text_pieces(spark, path, encoding=encoding)
-    broken = lines.where(quote_count(F.col("value"), '"') % 2 == 1).limit(1).count() > 0
-    if broken:
-        raw = _from_records(logical_records(lines, "\n", '"'), header, sep)
-    else:
-        raw = spark.read.csv(
-            path, sep=sep, header=True, encoding=encoding, escape='"', mode="PERMISSIVE", ignoreLeadingWhiteSpace=False,
-            ignoreTrailingWhiteSpace=False,
-            enforceSchema=False,  # a file with other headers is an error, not shifted columns
-        )
+    header = first[0]["value"].lstrip("\ufeff").rstrip("\r")
+    raw = spark.read.csv(
+        path, sep=sep or detect_separator(header), header=True, encoding=encoding, escape='"', mode="PERMISSIVE",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, multiLine=multiline,
+        enforceSchema=False,  # a file with other headers is an error, not shifted columns
+    )
     cleaned = nulls_from_tokens(raw, null_tokens)
     return retype_text(cleaned) if types else cleaned
-
-
-def _from_records(records: DataFrame, header: str, sep: str) -> DataFrame:
-    names = _unique_headers(next(csv.reader([header], delimiter=sep)))
-    schema = ", ".join(f"c{i} STRING" for i in range(len(names)))
-    body = records.where(~F.col("first_in_file")).select(F.regexp_replace("value", r"\r$", "").alias("value"))
-    parsed = F.from_csv("value", F.lit(schema), {"sep": sep, "quote": '"', "escape": '"'})
-    return body.where(F.length("value") > 0).select(parsed.alias("r")).select("r.*").toDF(*names)

@@ -9,39 +9,54 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablewright.functions.text import strip
 from tablewright.operators.typing import retype_text
-from tablewright.sources.records import logical_records, quote_count, text_pieces
-
-# Possessive quantifiers keep long rows from recursing.
-_TUPLE = r"\(((?:[^()']++|'(?:[^']++|'')*+')*+)\)"
-_FIELD = r"((?:'(?:[^']++|'')*+'|[^,'])++)"
+from tablewright.types import col
+
+# Possessive quantifiers keep long texts from recursing.
+_LITERAL = r"'(?:[^']++|'')*+'"
+_QUOTED = rf'{_LITERAL}|"[^"]*+"|`[^`]*+`'
+_COMMENT = r"--[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/"
+# Anything up to a semicolon that is outside literals, quoted names and comments.
+_STATEMENT = rf"""(?s)((?:[^;'"`/-]++|{_QUOTED}|{_COMMENT}|/(?!\*)|-(?!-))++)"""
+_TUPLE = rf"\((?:[^()']++|{_LITERAL}|\([^()]*+\))*+\)"
+_ROW = rf"\(((?:[^()']++|{_LITERAL}|\([^()]*+\))*+)\)"
+_FIELD = rf"((?:{_LITERAL}|\([^()]*+\)|[^,'(])++)"
 _NAME = r"[`\"\[]?(?:\w+[`\"\]]?\.[`\"\[]?)?(\w+)[`\"\]]?"
-_INSERT = rf"(?is)^\s*INSERT\s+INTO\s+{_NAME}\s*(?:\(([^)]*)\))?\s*VALUES\s*(.*)$"
+_INSERT = rf"(?is)^\s*INSERT\s+INTO\s+{_NAME}\s*(?:\(([^)]*)\))?\s*VALUES\s*({_TUPLE}(?:\s*+,\s*+{_TUPLE})*+)\s*$"
+_INSERT_NAME = rf"(?is)^\s*INSERT\s+INTO\s+{_NAME}"
 _CREATE = rf"(?is)^\s*CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{_NAME}\s*\((.*)\)[^)]*$"
-_COMMENT_LINES = r"(?m)^[ \t]*--.*$"
+#: Different column lists that one table may be filled through; their number is checked.
+_MAX_LISTS = 1000
 _CONSTRAINTS = {"primary", "unique", "constraint", "foreign", "check", "key", "index"}
+# What a declared type begins with if its literals are text and nothing else.
+_TEXT_TYPES = ("char", "varchar", "nvarchar", "nchar", "text", "clob", "string", "uuid", "json", "enum", "longtext", "mediumtext", "tinytext")
 
 
 def _statements(spark: SparkSession, path) -> DataFrame:
-    """One row per statement; string literals may hold the separator, and comment lines may hold a quote."""
-    pieces = text_pieces(spark, path, ";\n")
-    code = F.regexp_replace("value", _COMMENT_LINES, "")
-    quotes = quote_count(code, "'")
-    split_literals = pieces.where(quotes % 2 == 1).limit(1).count() > 0
-    whole = logical_records(pieces, ";\n", "'", quotes) if split_literals else pieces
-    return whole.select(F.regexp_replace(strip(F.regexp_replace("value", rf"\A(?:\s*--[^\n]*\n)+", "")), r";\s*$", "").alias("sql"))
+    """(file, place, sql): statements without comments, cut at semicolons outside literals and comments.
+
+    A dump is one task, because only its beginning tells what is inside a literal; write large dumps as several files. A
+    text that ends inside a literal or comment raises.
+    """
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    left = F.regexp_replace("value", _STATEMENT, "")
+    whole = F.when(left.rlike(r"^;*$"), F.regexp_extract_all("value", F.lit(_STATEMENT), 1)).otherwise(
+        F.raise_error(F.concat(F.lit("a literal or comment does not end in "), "file")).cast("array<string>")
+    )
+    code = F.regexp_replace("sql", rf"(?s)({_QUOTED})|{_COMMENT}", "$1")
+    return texts.select("file", F.posexplode(whole).alias("place", "sql")).select("file", "place", strip(code).alias("sql")).where("sql <> ''")
 
 
 def _names(text: str) -> list[str]:
     return [n.strip().strip('`"[]') for n in text.split(",")]
 
 
-def _defined_columns(body: str) -> list[str]:
-    """Column names of a CREATE TABLE body; commas inside parentheses do not separate columns."""
+def _defined_columns(body: str) -> dict[str, str]:
+    """Columns of a CREATE TABLE body and the first word of their types; commas inside parentheses do not separate."""
     flat = body
     while (simpler := re.sub(r"\([^()]*\)", "", flat)) != flat:
         flat = simpler
     words = [part.split() for part in flat.split(",") if part.split()]
-    return [w[0].strip('`"[]') for w in words if w[0].lower() not in _CONSTRAINTS]
+    return {w[0].strip('`"[]'): w[1].lower() if len(w) > 1 else "" for w in words if w[0].lower() not in _CONSTRAINTS}
 
 
 def _cell(text: Column) -> Column:
@@ -52,38 +67,47 @@ def _cell(text: Column) -> Column:
 
 
 def read_sql_dump(spark: SparkSession, path, table: str | None = None, columns: Sequence[str] | None = None, types: bool = True) -> DataFrame:
-    """Rows that the dump inserts into one table: the named one, or the first that it creates or fills.
+    """Rows that the dump inserts into one table: the named one, or the first that it creates, or else fills.
 
-    Columns follow the CREATE TABLE statement, or the column lists of the INSERTs.
+    Columns follow the CREATE TABLE statement, or the column lists of the INSERTs. Columns declared as text stay text,
+    and so do columns without declaration that hold a quoted literal; the others get the narrowest type that reads all
+    their values. An INSERT into the table that is no plain list of VALUES raises.
     """
     statements = _statements(spark, path)
     inserts = statements.select(
-        F.regexp_extract("sql", _INSERT, 1).alias("name"),
+        "file", "place", "sql",
+        F.regexp_extract("sql", _INSERT_NAME, 1).alias("name"),
         F.regexp_extract("sql", _INSERT, 2).alias("listed"),
         F.regexp_extract("sql", _INSERT, 3).alias("body"),
     ).where("name <> ''")
     created = statements.select(
-        F.regexp_extract("sql", _CREATE, 1).alias("name"), F.regexp_extract("sql", _CREATE, 2).alias("body")
+        "file", "place", F.regexp_extract("sql", _CREATE, 1).alias("name"), F.regexp_extract("sql", _CREATE, 2).alias("body")
     ).where("name <> ''")
+
+    def first(found: DataFrame, column: str) -> str | None:
+        return found.agg(F.min_by(column, F.struct("file", "place"))).first()[0]
+
+    table = table or first(created, "name") or first(inserts, "name")
     if table is None:
-        first = created.select("name").head(1) or inserts.select("name").head(1)
-        if not first:
-            raise ValueError(f"no INSERT statements found in {path}")
-        table = first[0]["name"]
+        raise ValueError(f"no INSERT statements found in {path}")
     mine = inserts.where(F.lower("name") == table.lower())
-    definition = created.where(F.lower("name") == table.lower()).head(1)
-    # Dumps repeat very few different column lists.
-    lists = [r["listed"] for r in mine.select("listed").distinct().collect()]
+    definition = first(created.where(F.lower("name") == table.lower()), "body")
+    lists = [r["listed"] for r in mine.select("listed").distinct().limit(_MAX_LISTS + 1).collect()]
+    if len(lists) > _MAX_LISTS:
+        raise ValueError(f"more than {_MAX_LISTS} different column lists: pass a cleaned dump")
     if not lists:
         raise ValueError(f"no INSERT statements for table {table!r} in {path}")
-    defined = _defined_columns(definition[0]["body"]) if definition else []
+    declared = _defined_columns(definition) if definition else {}
+    defined = list(declared)
     if columns is None:
-        columns = defined or list(dict.fromkeys(n for text in lists if text for n in _names(text)))
+        columns = defined or list(dict.fromkeys(n for text in sorted(lists) if text for n in _names(text)))
     if not columns:
         raise ValueError("the dump names no columns: pass them")
-    rows = mine.select("listed", F.explode(F.regexp_extract_all("body", F.lit(_TUPLE), 1)).alias("row"))
-    cells = F.regexp_extract_all("row", F.lit(_FIELD), 1)
-    fields = rows.select("listed", cells.alias("cells"))
+    body = F.when(F.col("body") != "", F.col("body")).otherwise(
+        F.raise_error(F.concat(F.lit("not a plain list of VALUES: "), F.substring("sql", 1, 200))).cast("string")
+    )
+    rows = mine.select("listed", F.explode(F.regexp_extract_all(body, F.lit(_ROW), 1)).alias("row"))
+    fields = rows.select("listed", F.regexp_extract_all("row", F.lit(_FIELD), 1).alias("cells"))
 
     def value(name: str) -> Column:
         places = {}
@@ -94,7 +118,13 @@ def read_sql_dump(spark: SparkSession, path, table: str | None = None, columns:
         cell = F.lit(None).cast("string")
         for text, place in places.items():
             cell = F.when(F.col("listed") == text, F.try_element_at("cells", F.lit(place + 1))).otherwise(cell)
-        return _cell(cell).alias(name)
-
-    flat = fields.select(*[value(n) for n in columns])
-    return retype_text(flat) if types else flat
+        return strip(cell).alias(name)
+
+    raw = fields.select(*[value(n) for n in columns])
+    flat = raw.select(*[_cell(col(n)).alias(n) for n in columns])
+    if not types:
+        return flat
+    open_columns = [n for n in columns if n not in declared]
+    quoted = raw.agg(*[F.bool_or(F.coalesce(col(n).startswith("'"), F.lit(False))).alias(n) for n in open_columns]).first() if open_columns else {}
+    kept = {n for n in columns if declared.get(n, "").split("(")[0] in _TEXT_TYPES or (n in open_columns and quoted[n])}
+    return retype_text(flat, [n for n in columns if n not in kept]) if len(kept) < len(columns) else flat

@@ -9,7 +9,6 @@ from tablewright.sinks.files import report_document, write_csv, write_json, writ
 from tablewright.sources.delimited import detect_separator, read_delimited
 from tablewright.sources.files import list_files, read_any
 from tablewright.sources.nested import read_json, read_xml
-from tablewright.sources.records import logical_records, text_pieces
 from tablewright.sources.sqldump import read_sql_dump
 from tablewright.sources.texttables import table_from_text, table_lines
 
@@ -50,30 +49,38 @@ def test_quoted_line_breaks_survive_splits(spark, tmp_path, block):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
     try:
-        df = read_delimited(spark, str(tmp_path))
+        df = read_delimited(spark, str(tmp_path), multiline=True)
         found = sorted((r["id"], r["text"]) for r in df.collect())
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert found == sorted((int(i), t) for i, t in data)
 
 
-def test_logical_records_cross_blocks(spark, tmp_path):
-    put(tmp_path / "a.txt", "one\n'two\ntwo\ntwo\ntwo'\nthree\n'four\n'\n")
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "7")
-    try:
-        pieces = text_pieces(spark, str(tmp_path))
-        found = sorted(r["value"] for r in logical_records(pieces, "\n", "'").collect())
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert found == sorted(["one", "'two\ntwo\ntwo\ntwo'", "three", "'four\n'"])
+def test_stray_quotes_and_other_headers(spark, tmp_path):
+    df = read_any(spark, put(tmp_path / "q.csv", 'name,size\nx,5" pipe\ny,2\nz,"3"\n'))
+    assert [tuple(r) for r in df.orderBy("name").collect()] == [("x", '5" pipe'), ("y", "2"), ("z", "3")]
+    (tmp_path / "two").mkdir()
+    put(tmp_path / "two" / "a.csv", 'a,b\n1,"x\ny"\n')
+    put(tmp_path / "two" / "b.csv", "b,a\nz,2\n")
+    with pytest.raises(Exception):
+        read_delimited(spark, str(tmp_path / "two"), multiline=True).collect()
+
+
+def test_latin_text(spark, tmp_path):
+    (tmp_path / "l.csv").write_bytes("name,n\nJos\u00e9,1\n".encode("latin-1"))
+    assert [tuple(r) for r in read_any(spark, str(tmp_path / "l.csv")).collect()] == [("Jos\u00e9", 1)]
 
 
 def test_json_shapes(spark, tmp_path):
     listed = read_any(spark, put(tmp_path / "list.json", '[{"a": 1, "b": {"c": "x"}}, {"a": 2}]'))
     assert sorted(listed.columns) == ["a", "b.c"] and listed.count() == 2
-    wrapped = read_json(spark, put(tmp_path / "wrapped.json", '{"meta": 1, "z": [], "rows": [{"k": 1}, {"k": 2}], "a": [{"q": 9}]}'))
+    many = put(tmp_path / "wrapped.json", '{"meta": 1, "z": [],\n"rows": [{"k": 1}, {"k": 2}], "a": [{"q": 9}]}')
+    with pytest.raises(ValueError):
+        read_json(spark, many)
+    wrapped = read_json(spark, put(tmp_path / "one.json", '{"meta": {\n' + '"m": 1,\n' * 0 + '"m": 1}, "rows": [{"k": 1}, {"k": 2}]}'))
     assert wrapped.columns == ["k"] and wrapped.count() == 2
+    one = read_json(spark, put(tmp_path / "single.json", '{"id": 1, "tags": [{"a": 1}, {"a": 2}]}\n'))
+    assert one.columns == ["id", "tags"] and one.count() == 1
     chosen = read_json(spark, str(tmp_path / "wrapped.json"), records_path="a")
     assert [tuple(r) for r in chosen.collect()] == [(9,)]
     nested = read_json(spark, put(tmp_path / "nested.json", '{"a": {"b": {"c": 1}}, "l": [1, 2]}'))
@@ -88,6 +95,10 @@ def test_xml_shapes(spark, tmp_path):
     text = '<r><rec id="1"><n>a</n><t>x</t><t>y</t></rec>\n<rec id="2"><n>b</n><p><q>5</q></p></rec></r>'
     df = read_any(spark, put(tmp_path / "recs.xml", text))
     assert sorted(df.columns) == ["_id", "n", "p.q", "t"] and df.count() == 2
+    head = "<d><head>" + "<p><i>x</i></p>" * 300 + "</head>\n" + "<rec><a>1</a></rec>\n" * 3000 + "</d>"
+    with pytest.raises(ValueError):
+        read_xml(spark, put(tmp_path / "head.xml", head))
+    assert read_xml(spark, str(tmp_path / "head.xml"), row_tag="rec").count() == 3000
     single = read_xml(spark, put(tmp_path / "one.xml", '<r><rec id="1"><n>a</n></rec></r>'))
     assert single.count() == 1 and single.columns == ["rec._id", "rec.n"]
 
@@ -119,6 +130,20 @@ def test_sql_dump(spark, tmp_path, block):
         read_sql_dump(spark, put(tmp_path / "none.sql", "SELECT 1;\n"))
 
 
+def test_sql_dumps_as_they_occur(spark, tmp_path):
+    two = put(tmp_path / "two.sql", "INSERT INTO a (x) VALUES (1); INSERT INTO b (x) VALUES (2);")
+    assert [tuple(r) for r in read_any(spark, two).collect()] == [(1,)]
+    text = "/* c; ' */ INSERT INTO zz (k, v) VALUES ('00501', 7);\r\n-- it's\r\nINSERT INTO aa (x) VALUES (1);\r\nINSERT INTO mm (x) VALUES (2)"
+    df = read_any(spark, put(tmp_path / "crlf.sql", text))
+    assert [tuple(r) for r in df.collect()] == [("00501", 7)]
+    declared = "CREATE TABLE t (zip TEXT, n INT, d DATE);\nINSERT INTO t VALUES ('00501', 1, '2024-01-02');"
+    row = read_any(spark, put(tmp_path / "types.sql", declared)).first()
+    assert row["zip"] == "00501" and row["n"] == 1 and str(row["d"]) == "2024-01-02"
+    for bad in ("INSERT INTO t SELECT 1;", "INSERT INTO t (x) VALUES (1), 2;", "INSERT INTO t (x) VALUES ('a;"):
+        with pytest.raises(Exception):
+            read_any(spark, put(tmp_path / "bad.sql", bad)).collect()
+
+
 def test_text_tables_decide_per_document(spark):
     docs = [
         (1, "Intro\nname|age\nann|3\n bob | 4 \nend"), (2, "k\tv\n1\t2"), (3, "name   age\nzoe   7\n|"), (4, "nothing here"),
@@ -149,7 +174,7 @@ def test_round_trips(spark, tmp_path):
         "array(id) AS l FROM range(20)"
     )
     write_csv(df, str(tmp_path / "c"))
-    back = read_any(spark, str(tmp_path / "c"), "csv")
+    back = read_any(spark, str(tmp_path / "c"), "csv", multiline=True)
     assert sorted(map(tuple, back.select("id", "s", "x", "t").collect())) == sorted(map(tuple, df.select("id", "s", "x", "t").collect()))
     write_json(df.drop("t"), str(tmp_path / "j"))
     assert read_any(spark, str(tmp_path / "j")).select("id", "s", "x", "l").exceptAll(df.select("id", "s", "x", "l")).count() == 0
