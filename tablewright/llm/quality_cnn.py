@@ -7,6 +7,7 @@ logistic layer turns into one probability.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -77,20 +78,28 @@ class QualityModel:
         return 1 / (1 + np.exp(-(pooled @ self.dense + self.offset).astype(np.float64)))
 
 
-def fit_quality_model(labelled: DataFrame, max_documents: int = MAX_DOCUMENTS, max_chunks: int = MAX_CHUNKS) -> QualityModel:
-    """Train on (doc_id, text, quality 0 or 1). Rows with null text or another label are left out.
+def fit_quality_model(
+    documents: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS, max_chunks: int = MAX_CHUNKS
+) -> QualityModel:
+    """Train on ``documents`` (doc_id, text) with ``labels`` (doc_id, quality 0 or 1).
 
-    Of each label the ``max_documents`` rows with the smallest hash of their content are taken, with at most
-    ``max_chunks`` chunks each, spread over the document. With one label only, or none, every score is the share of
-    label 1 (0.5 without rows).
+    Of each label the ``max_documents`` rows with the smallest hash of their id are taken; only these, a bounded number,
+    are joined to texts, by broadcast, so no text is shuffled. A document gives at most ``max_chunks`` chunks, spread over
+    its whole length. Null texts, null ids and other labels are left out. With one label only, or none, every score is the
+    share of label 1 (0.5 without rows).
     """
-    importable(labelled.sparkSession)
+    importable(documents.sparkSession)
     length = 2 * STRIDE
-    usable = labelled.where("quality IN (0, 1) AND text IS NOT NULL").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
+    usable = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality"))
     shares = {r["quality"]: r["n"] for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     total = sum(shares.values())
+    share = shares.get(1, 0) / total if total else 0.5
     if len(shares) < 2:
-        return QualityModel.constant(shares.get(1, 0) / total if total else 0.5)
+        return QualityModel.constant(share)
+    chosen = reduce(
+        DataFrame.unionByName,
+        [hashed_sample(usable.where(F.col("quality") == label), ["doc_id"], max_documents).limit(max_documents) for label in (0, 1)],
+    )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -101,15 +110,14 @@ def fit_quality_model(labelled: DataFrame, max_documents: int = MAX_DOCUMENTS, m
                 [batch.column("draw"), batch.column("quality"), pa.array(found, pa.list_(pa.binary()))], ["draw", "quality", "chunks"]
             )
 
-    documents = []
-    for label in (0, 1):
-        rows = hashed_sample(usable.where(F.col("quality") == label), ["doc_id", "text"], max_documents)
-        sample = rows.mapInArrow(cut, "draw long, quality int, chunks array<binary>").limit(2 * max_documents).toArrow()
-        documents += zip(sample.column("draw").to_pylist(), sample.column("chunks").to_pylist(), sample.column("quality").to_pylist())
-    documents.sort(key=lambda d: d[0])
-    owner = np.repeat(np.arange(len(documents)), [len(d[1]) for d in documents])
-    chunks = np.frombuffer(b"".join(c for d in documents for c in d[1]), np.uint8).reshape(-1, length)
-    return QualityModel.train(chunks, owner, np.array([d[2] for d in documents]), shares[1] / total)
+    texts = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    sample = texts.mapInArrow(cut, "draw long, quality int, chunks array<binary>").limit(4 * max_documents).toArrow()
+    rows = sorted(zip(*(sample.column(c).to_pylist() for c in ("draw", "quality", "chunks"))))
+    if len({quality for _, quality, _ in rows}) < 2:
+        return QualityModel.constant(share)
+    owner = np.repeat(np.arange(len(rows)), [len(chunks) for _, _, chunks in rows])
+    chunks = np.frombuffer(b"".join(c for _, _, own in rows for c in own), np.uint8).reshape(-1, length)
+    return QualityModel.train(chunks, owner, np.array([quality for _, quality, _ in rows]), share)
 
 
 def score_quality(documents: DataFrame, model: QualityModel) -> DataFrame:

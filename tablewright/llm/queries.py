@@ -115,7 +115,7 @@ def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of each document by a network that learned from the rows outside the held-out third."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(id_class(3) != 1)
-    model = fit_quality_model(documents.join(labels, "doc_id"))
+    model = fit_quality_model(documents, labels)
     scored = score_quality(documents, model)
     return scored.select("doc_id", (id_class(3) == 1).alias("held_out"), "score", "predicted")
 

@@ -199,9 +199,9 @@ def test_without_labels_nothing_is_told(spark):
     assert model is None
     assert [(r.lang_pred, r.score) for r in predict_languages(empty, model).collect()] == [("und", 0.0)] * 2
     none = spark.createDataFrame([], "doc_id long, text string, quality int")
-    assert [r.score for r in score_quality(empty, fit_quality_model(none)).collect()] == [0.5, 0.5]
+    assert [r.score for r in score_quality(empty, fit_quality_model(none, none)).collect()] == [0.5, 0.5]
     one = spark.createDataFrame([(1, "abc", 1), (2, "abd", 1), (3, None, 0)], "doc_id long, text string, quality int")
-    assert all(r.predicted == 1 for r in score_quality(empty, fit_quality_model(one)).collect())
+    assert all(r.predicted == 1 for r in score_quality(empty, fit_quality_model(one, one)).collect())
 
 
 def test_quality(spark):
@@ -212,7 +212,7 @@ def test_quality(spark):
         words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(20, 300))]
         rows.append((i, " ".join(words if good else [w + rng.choice(["$$$", "%%%"]) for w in words]), int(good)))
     frame = spark.createDataFrame(rows, "doc_id long, text string, quality int")
-    model = fit_quality_model(frame.where("doc_id % 3 <> 1"))
+    model = fit_quality_model(frame, frame.where("doc_id % 3 <> 1"))
     got = score_quality(spark.createDataFrame(rows + [(900, None, 1), (901, "", 1)], "doc_id long, text string, score int"), model).collect()
     by_id = {r.doc_id: r for r in got}
     held = [r for r in rows if r[0] % 3 == 1]
