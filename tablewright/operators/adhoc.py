@@ -17,26 +17,57 @@ AGGREGATES = {
     "count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max,
     "stddev": F.stddev_samp, "distinct": F.count_distinct,
 }
-_CALL = re.compile(r"([A-Za-z_][A-Za-z0-9_]*)\s*\(")
-_QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|`[^`]*`")
-_NOT_CALLS = {"and", "or", "not", "in", "between", "when", "then", "else", "case", "like", "as"}
-
-
-def checked_expression(text: str) -> Column:
-    """An SQL expression that calls nothing but the allowed functions."""
-    bare = _QUOTED.sub(" ", text)
-    if re.search(r"\bselect\b|;|--|/\*", bare, re.IGNORECASE):
-        raise ValueError(f"not a plain expression: {text!r}")
-    called = {name.lower() for name in _CALL.findall(bare)}
-    unknown = called - EXPRESSION_FUNCTIONS - _NOT_CALLS
-    if unknown:
-        raise ValueError(f"functions not allowed in an expression: {sorted(unknown)}")
+# Words of the expression language, and functions that Spark calls without parentheses.
+_WORDS = {
+    "and", "or", "not", "in", "is", "null", "true", "false", "between", "like", "case", "when", "then", "else", "end", "as",
+    "int", "bigint", "double", "string", "boolean", "date", "timestamp", "decimal",
+}
+_BARE_CALLS = {
+    "current_catalog", "current_database", "current_date", "current_schema", "current_time", "current_timestamp",
+    "current_timezone", "current_user", "grouping__id", "localtimestamp", "session_user", "user",
+}
+_TOKEN = re.compile(
+    r"""\s*(?:(?P<text>'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*")|(?P<quoted>`(?:[^`]|``)+`)|(?P<number>[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|\.[0-9]+)"""
+    r"""|(?P<word>[A-Za-z_][A-Za-z0-9_]*)|(?P<sign><=>|<>|<=|>=|!=|==|\|\||[-+*/%=<>!(),.]))"""
+)
+
+
+def checked_expression(text: str, columns: Sequence[str] | None = None) -> Column:
+    """An SQL expression over columns that calls nothing but the allowed functions.
+
+    The text is taken apart into literals, numbers, names and operators; anything else raises. A name before a
+    parenthesis must be an allowed function, however it is quoted; any other name must be a word of the language or, if
+    ``columns`` are given, a column or a field of one.
+    """
+    tokens, at = [], 0
+    while text[at:].strip():
+        found = _TOKEN.match(text, at)
+        # Comments and lambdas.
+        if not found or found["sign"] and text[found.end() - 1 : found.end() + 1] in ("--", "->", "/*"):
+            raise ValueError(f"not a plain expression: {text!r}")
+        tokens.append((found.lastgroup, found[found.lastgroup]))
+        at = found.end()
+    known = None if columns is None else {c.lower() for c in columns}
+    for i, (kind, token) in enumerate(tokens):
+        if kind not in ("word", "quoted"):
+            continue
+        called = tokens[i + 1 : i + 2] == [("sign", "(")]
+        name = token.lower() if kind == "word" else token[1:-1].replace("``", "`").lower()
+        after_dot = tokens[i - 1 : i] == [("sign", ".")] if i else False
+        if called:
+            allowed = kind == "word" and not after_dot and name in EXPRESSION_FUNCTIONS | _WORDS
+        elif kind == "word" and name in _WORDS:
+            allowed = True
+        else:
+            allowed = after_dot or (name in known if known is not None else kind == "quoted" or name not in _BARE_CALLS)
+        if not allowed or name == "select":
+            raise ValueError(f"not allowed in an expression: {token!r}")
     return F.expr(text)
 
 
 def with_expression(df: DataFrame, name: str, text: str) -> DataFrame:
     """Add a column computed from a restricted expression over the row."""
-    return df.withColumn(name, checked_expression(text))
+    return df.withColumn(name, checked_expression(text, df.columns))
 
 
 @dataclass
@@ -52,7 +83,7 @@ class QuerySpec:
 
     def run(self, df: DataFrame) -> DataFrame:
         require_columns(df, [*self.select, *self.group_by])
-        rows = df.where(checked_expression(self.where)) if self.where else df
+        rows = df.where(checked_expression(self.where, df.columns)) if self.where else df
         if self.aggs or self.group_by:
             unknown = {f for f, _ in self.aggs.values()} - set(AGGREGATES)
             if unknown:

@@ -19,12 +19,23 @@ def _common_type(types: Sequence[T.DataType]) -> T.DataType | None:
     if kinds == {NUMERIC}:
         if all(is_integral(t) for t in types):
             return T.LongType()
-        return T.DoubleType() if any(is_float(t) for t in types) else T.DecimalType(38, 10)
+        return T.DoubleType() if any(is_float(t) for t in types) else _common_decimal(types)
     if kinds == {DATETIME}:
         return T.TimestampNTZType()
     return T.StringType()
 
 
+#: Decimal digits of whole-number types.
+_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
+
+
+def _common_decimal(types: Sequence[T.DataType]) -> T.DataType:
+    """Enough places before and after the point for all; text when no decimal has so many."""
+    before = max(t.precision - t.scale if isinstance(t, T.DecimalType) else _DIGITS[type(t)] for t in types)
+    after = max(t.scale if isinstance(t, T.DecimalType) else 0 for t in types)
+    return T.DecimalType(before + after, after) if before + after <= 38 else T.StringType()
+
+
 def _aligned(frames: Sequence[DataFrame], names: Sequence[str]) -> list[DataFrame]:
     target = {n: _common_type([f.schema[n].dataType for f in frames if n in f.columns]) for n in names}
     return [

@@ -42,8 +42,9 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """Of rows whose normalized texts agree, keep the first by ``order_by``.
 
-    By default all text columns are compared after normalization and all other columns as they are, so rows that
-    differ in a number or date both stay. ``extra_keys`` names the other columns to compare; with ``[]`` the texts alone
+    By default all text columns are compared after normalization and all others but ``order_by`` as they are, so rows
+    that differ in a number or date both stay, whatever their keys. Rows that agree in ``order_by`` too are ordered by
+    the remaining columns. ``extra_keys`` names the other columns to compare; with ``[]`` the texts alone
     decide. Exact duplicates fall out in the same step.
     """
     if not order_by:
@@ -54,9 +55,11 @@ def drop_near_duplicates(
     if not texts:
         return drop_exact_duplicates(df)
     if extra_keys is None:
-        extra_keys = [f.name for f in df.schema.fields if type_class(f.dataType) != TEXT]
+        extra_keys = [f.name for f in df.schema.fields if type_class(f.dataType) != TEXT and f.name not in order_by]
     keys = {f"__key{i}": key for i, key in enumerate(near_duplicate_keys(df, texts, extra_keys))}
-    first = Window.partitionBy(*keys).orderBy(*[col(c).asc_nulls_last() for c in order_by])
+    sortable = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType) and f.name not in order_by]
+    order = [col(c).asc_nulls_last() for c in (*order_by, *(c for c in sortable if c in texts))]
+    first = Window.partitionBy(*keys).orderBy(*order)
     ranked = df.withColumns(keys).withColumn("__rank", F.row_number().over(first))
     return ranked.where("__rank = 1").select(*map(col, df.columns))
 

@@ -133,22 +133,32 @@ def distribution_profile(
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
-    """Equal-width bins with their counts, empty bins included; the maximum belongs to the last bin."""
+    """Equal-width bins with their counts, empty bins included; the maximum belongs to the last bin.
+
+    Bins span the finite values. Infinite ones, where there are any, are counted in bin -1 and in bin ``bins``.
+    """
     require_columns(df, [column])
-    value = number(df.schema[column])
-    low, high = df.agg(F.min(value), F.max(value)).first()
+    given = number(df.schema[column])
+    infinite = F.abs(given) == F.lit(float("inf"))
+    value = F.when(~infinite, given)
+    low, high, below, above = df.agg(
+        F.min(value), F.max(value), F.count_if(infinite & (given < 0)), F.count_if(infinite & (given > 0))
+    ).first()
     spark = df.sparkSession
+    ends = [(-1, float("-inf"), float("-inf"), below), (bins, float("inf"), float("inf"), above)]
+    apart = spark.createDataFrame([e for e in ends if e[3]], "bin int, low double, high double, n bigint")
     if low is None:
-        return spark.createDataFrame([], "bin int, low double, high double, n bigint")
+        return apart
     width = (high - low) / bins
     place = (
         F.least(F.floor((value - low) / width), F.lit(bins - 1)).cast("int") if width > 0 else F.lit(0)
     )
     counted = df.where(value.isNotNull()).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("found"))
     frame = spark.range(0, bins, 1, 1).select(F.col("id").cast("int").alias("bin"))
-    return frame.join(F.broadcast(counted), "bin", "left").select(
+    spans = frame.join(F.broadcast(counted), "bin", "left").select(
         "bin",
         (F.lit(low) + F.col("bin") * width).alias("low"),
         (F.lit(low) + (F.col("bin") + 1) * width).alias("high"),
         F.coalesce("found", F.lit(0)).cast("bigint").alias("n"),
     )
+    return spans.unionByName(apart) if below or above else spans

@@ -25,11 +25,14 @@ class CappedColumns:
 
     def transform(self, df: DataFrame) -> DataFrame:
         def capped(f):
-            low_high = self.fences.get(f.name)
-            # Whole numbers stay whole while nothing lies outside the fences.
-            if low_high is None or (is_integral(f.dataType) and not self.affected[f.name]):
+            if f.name not in self.fences:
                 return col(f.name)
-            low, high = low_high
+            low, high = self.fences[f.name]
+            # Whole numbers that were all inside the fences when fitted stay whole: new ones are capped to whole fences.
+            if is_integral(f.dataType) and not self.affected[f.name]:
+                value = col(f.name)
+                inside = F.least(F.greatest(value.cast("bigint"), F.lit(math.ceil(low))), F.lit(math.floor(high)))
+                return F.when(value.isNotNull(), inside).cast(f.dataType).alias(f.name)
             value = number(f)
             return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high))).alias(f.name)
 

@@ -18,6 +18,7 @@ TIME_LAYOUTS = [
     "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
     "MM/dd/yyyy HH:mm:ss",
 ]
+_WHOLE = r"^[+-]?[0-9]+$"
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -26,7 +27,7 @@ def _trimmed(name: str) -> Column:
 
 
 def as_bigint(text: Column) -> Column:
-    return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
+    return F.when(text.rlike(_WHOLE), text.try_cast("bigint"))
 
 
 def as_double(text: Column) -> Column:
@@ -65,7 +66,7 @@ def parse_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     names = [c for c in (columns or columns_of(df, TEXT)) if c in columns_of(df, TEXT)]
     if not names:
         return df.sparkSession.createDataFrame(
-            [], "cid int, column string, non_null bigint, all_whole boolean, " + ", ".join(f"as_{t} bigint" for t in _READERS)
+            [], "cid int, column string, non_null bigint, all_whole boolean, all_digits boolean, " + ", ".join(f"as_{t} bigint" for t in _READERS)
         )
     text = F.col("s")
     read = _texts(df, names).select(
@@ -77,27 +78,34 @@ def parse_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     counted = read.groupBy("cid").agg(
         F.count("s").alias("non_null"),
         F.coalesce(F.bool_and(F.col("double") % 1 == 0), F.lit(False)).alias("all_whole"),
+        F.coalesce(F.bool_and(text.rlike(_WHOLE)), F.lit(False)).alias("all_digits"),
         *[F.count(kind).alias(f"as_{kind}") for kind in _READERS],
     )
     full = one_row_per_column(df, names, counted)
     numbers = ["non_null", *[f"as_{kind}" for kind in _READERS]]
     return full.select(
         "cid", "column", F.coalesce("all_whole", F.lit(False)).alias("all_whole"),
+        F.coalesce("all_digits", F.lit(False)).alias("all_digits"),
         *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in numbers],
     )
 
 
 def inferred_type() -> Column:
-    """A type is adopted only if every known value can be read as it."""
+    """A type is adopted only if every known value can be read as it without loss.
+
+    Whole numbers that do not all fit a bigint stay text: as doubles, long identifiers would become equal.
+    """
     choice = F.when(F.col("non_null") == 0, F.lit("string"))
     for kind in _READERS:
         choice = choice.when(F.col(f"as_{kind}") == F.col("non_null"), F.lit(kind))
+        if kind == "bigint":
+            choice = choice.when(F.col("all_digits"), F.lit("string"))
     return choice.otherwise(F.lit("string"))
 
 
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(cid, column, non_null, as_..., inferred_type)`` for each text column."""
-    return parse_counts(df, columns).drop("all_whole").withColumn("inferred_type", inferred_type())
+    return parse_counts(df, columns).withColumn("inferred_type", inferred_type()).drop("all_whole", "all_digits")
 
 
 def typed(df: DataFrame, plan: dict[str, str]) -> DataFrame:

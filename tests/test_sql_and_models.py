@@ -85,9 +85,15 @@ def test_restricted_expressions(spark):
     out = with_expression(df, "m", "abs(n) + length(s)")
     assert [r["m"] for r in out.collect()] == [7, 8]
     assert with_expression(df, "m", "case when s = 'f(x); --' then 1 else 0 end").count() == 2
-    for bad in ("reflect('java.lang.System', 'exit')", "(select 1)", "1; drop table t", "java_method('a')", "n -- x"):
+    for bad in ("reflect('java.lang.System', 'exit')", "(select 1)", "1; drop table t", "java_method('a')", "n -- x", "`reflect`('java.lang.System','getProperty','user.home')",
+                "current_user", "`current_user`()", "a.reflect('x')", "n /* x */", "x -> 1", "date '2024-01-01' :: int"):
         with pytest.raises(ValueError):
             checked_expression(bad)
+    with pytest.raises(ValueError):
+        QuerySpec(where="`reflect`('java.lang.System','getProperty','user.home') = 'x'").run(df)
+    with pytest.raises(ValueError):
+        with_expression(df, "m", "unknown_name + 1")
+    assert with_expression(df, "m", "cast(n as double) * -1.5 + CASE WHEN `s` LIKE '%y)' THEN 1 ELSE 0 END").count() == 2
 
 
 def test_query_spec(spark):
