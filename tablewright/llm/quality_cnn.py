@@ -35,8 +35,14 @@ class QualityModel:
     def train(chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray, share: float, epochs: int = 8, seed: int = 11) -> "QualityModel":
         """``owner`` gives the document of each chunk, in ascending order; ``share`` is the share of label 1 overall.
 
-        Both labels weigh the same in training; the offset is then moved to the real share.
+        Both labels weigh the same in training. Every fifth document is left out of it and serves to calibrate the scores
+        to the real share.
         """
+        fold = np.arange(len(labels)) % 5 == 4
+        held = (chunks[fold[owner]], owner[fold[owner]], labels[fold])
+        if len(set(labels[~fold])) == 2:
+            chunks, owner, labels = chunks[~fold[owner]], owner[~fold[owner]], labels[~fold]
+            owner = np.unique(owner, return_inverse=True)[1]
         rng = np.random.default_rng(seed)
         filters = ByteFilters.create(WIDTHS, STRIDE, seed)
         n = len(filters.bias)
@@ -67,15 +73,39 @@ class QualityModel:
                 grads, bias = filters.gradients(places, padded, (spread * (features > 0)).astype(np.float32))
                 adam.update([*grads, bias, pooled.T @ grad + 1e-4 * dense, grad.sum(keepdims=True)])
         filters._pairs = []
-        offset = offset + np.float32(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
-        return QualityModel(filters, dense, offset)
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
+        model = QualityModel(filters, dense, offset)
+        if len(held[2]):
+            starts = np.flatnonzero(np.diff(held[1], prepend=-1))
+            model.calibrate(model.logits([c.tobytes() for c in held[0]], starts), held[2], share)
+        return model
+
+    def calibrate(self, logits: np.ndarray, labels: np.ndarray, share: float) -> None:
+        """Scale and shift logits by weighted logistic regression (Newton steps, held near no change)."""
+        weight = np.where(labels == 1, share / max(1, (labels == 1).sum()), (1 - share) / max(1, (labels == 0).sum()))
+        weight = weight * len(labels)
+        x = np.stack([logits, np.ones(len(logits))], axis=1)
+        start = at = np.array([1.0, 0.0])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-x @ at))
+            gradient = x.T @ (weight * (p - labels)) + (at - start)
+            curvature = (x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(2)
+            at = at - np.linalg.solve(curvature, gradient)
+        if np.isfinite(at).all() and at[0] > 0:
+            self.dense = (self.dense * at[0]).astype(np.float32)
+            self.offset = (self.offset * at[0] + at[1]).astype(np.float32)
+
+    def logits(self, texts: list[bytes], starts: np.ndarray | None = None) -> np.ndarray:
+        """One number per text, or per group of texts beginning at ``starts``."""
         features, counts = self.filters.windows(texts)
         begin = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        mean = np.add.reduceat(features, begin, axis=0) / counts[:, None]
+        begin = begin if starts is None else begin[starts]
+        sizes = np.diff(begin, append=len(features))
+        mean = np.add.reduceat(features, begin, axis=0) / sizes[:, None]
         pooled = np.concatenate([mean, np.maximum.reduceat(features, begin, axis=0)], axis=1)
-        return 1 / (1 + np.exp(-(pooled @ self.dense + self.offset).astype(np.float64)))
+        return (pooled @ self.dense + self.offset).astype(np.float64)
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.logits(texts)))
 
 
 def fit_quality_model(
