@@ -15,6 +15,7 @@ from tablewright.operators.missing import FilledColumns, MissingValueFiller
 from tablewright.operators.outliers import CappedColumns, OutlierCapper
 from tablewright.operators.privacy import MaskedColumns, PiiMasker
 from tablewright.operators.typing import type_plan, typed
+from tablewright.session import materialize
 from tablewright.types import nan_to_null
 
 
@@ -67,8 +68,11 @@ class FittedCleaning:
         return df
 
     def transform(self, df: DataFrame) -> DataFrame:
-        cleaned = self.rename(self.dedupe(nan_to_null(df)))
-        return self._finish(self.fill.transform(cleaned) if self.fill is not None else cleaned)
+        return self.transform_unique(self.rename(self.dedupe(nan_to_null(df))))
+
+    def transform_unique(self, unique: DataFrame) -> DataFrame:
+        """The steps after duplicates and names."""
+        return self._finish(self.fill.transform(unique) if self.fill is not None else unique)
 
     def transform_rows(self, df: DataFrame) -> DataFrame:
         """The steps that look at one row at a time: renaming, constant fills, caps, masks, types. Also for streams."""
@@ -109,14 +113,20 @@ class CleaningPlan:
             fitted.types = type_plan(work)
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
-        return self.fit(df).transform(df)
+        """As ``fit`` and ``transform`` of the same rows, which are deduplicated once and kept in the shared folder."""
+        fitted = FittedCleaning(self.options)
+        unique = materialize(fitted.rename(fitted.dedupe(nan_to_null(df))))
+        self._learn(fitted, df, unique)
+        return fitted.transform_unique(unique)
 
     def clean_sources(self, sources: Mapping[str, DataFrame]) -> DataFrame:
         """Clean each source on its own, then combine them."""
         cleaned, order_by = [], None
         for df in sources.values():
-            fitted = self.fit(df)
-            cleaned.append(fitted.transform(df))
+            fitted = FittedCleaning(self.options)
+            unique = materialize(fitted.rename(fitted.dedupe(nan_to_null(df))))
+            self._learn(fitted, df, unique)
+            cleaned.append(fitted.transform_unique(unique))
             if fitted.order_by and order_by is None:
                 final = unique_names(schema_name(c, i) for i, c in enumerate(fitted.order_by))
                 order_by = final if self.options.normalize_schema else fitted.order_by

@@ -327,11 +327,49 @@ def mask_spans_pages(spark, sf_dir):
     return masked.select("page_id", F.md5("masked").alias("masked_md5"), F.length("masked").cast("bigint").alias("masked_length"))
 
 
+@query(
+    f"""WITH fitted AS (SELECT median(o_totalprice) AS mid, median(o_custkey) AS cust FROM orders),
+    common AS (SELECT o_orderstatus AS status FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+    f AS ({_fence("o_totalprice", "orders")}), k AS ({_fence("o_orderkey", "orders")}), c AS ({_fence("o_custkey", "orders")})
+    SELECT least(greatest(o_orderkey, ceil(k.lo)::BIGINT), floor(k.hi)::BIGINT) AS o_orderkey,
+      least(greatest(o_custkey, ceil(c.lo)::BIGINT), floor(c.hi)::BIGINT) AS o_custkey,
+      coalesce(o_orderstatus, status) AS o_orderstatus,
+      round(least(greatest(coalesce(o_totalprice, mid), f.lo), f.hi), 6) AS o_totalprice, o_orderpriority
+    FROM orders_dirty, fitted, common, f, k, c"""
+)
+def fitted_elsewhere_orders(spark, sf_dir):
+    """Fill and cap, learned from a table without gaps and outliers, applied to one that has both."""
+    clean, dirty = (table(spark, sf_dir, n).drop("o_orderdate") for n in ("orders", "orders_dirty"))
+    filled = MissingValueFiller().fit(clean).transform(dirty)
+    return rounded(OutlierCapper().fit(clean).transform(filled))
+
+
+@query(
+    """SELECT CAST(CAST(o_orderkey % 90000 AS DECIMAL(38,15)) AS VARCHAR) AS v FROM orders
+    UNION ALL SELECT CAST(CAST(o_orderkey AS DECIMAL(38,15)) AS VARCHAR) FROM orders"""
+)
+def stacked_decimals_orders(spark, sf_dir):
+    """Decimals with many places beside whole numbers: no place is lost."""
+    keys = table(spark, sf_dir, "orders").select("o_orderkey")
+    fine = keys.select((F.col("o_orderkey") % 90000).cast("decimal(20,15)").alias("v"))
+    return combine.stack([fine, keys.toDF("v")]).select(F.col("v").cast("string").alias("v"))
+
+
+@query("SELECT '123456789012345678901' || lpad(o_orderkey::VARCHAR, 8, '0') AS code FROM orders")
+def long_codes_stay_text(spark, sf_dir):
+    """Codes of more digits than a number holds."""
+    code = F.concat(F.lit("123456789012345678901"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0")).alias("code")
+    return retype_text(table(spark, sf_dir, "orders").select(code)).select(F.col("code").cast("string").alias("code"))
+
+
 # ---- the whole plan ----------------------------------------------------------------------------------------
 
 
 @query(
-    f"""WITH filled AS ({_FILLED}), f AS ({_fence("o_totalprice", "filled")})
+    f"""WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, {_plain("o_orderstatus")}, o_totalprice, o_orderdate,
+      {_plain("o_orderpriority")} ORDER BY o_orderkey) AS place FROM orders_dirty),
+    unique_orders AS (SELECT * EXCLUDE (place) FROM ranked WHERE place = 1),
+    filled AS ({_FILLED.replace("orders_dirty", "unique_orders")}), f AS ({_fence("o_totalprice", "filled")})
     SELECT o_orderkey, o_custkey, o_orderstatus, round(least(greatest(o_totalprice, lo), hi), 6) AS o_totalprice, o_orderdate,
     o_orderpriority FROM filled, f"""
 )
