@@ -23,11 +23,12 @@ COLUMN_SYNONYMS = {
 }
 
 # Words that may not be used bare as an SQL identifier.
-RESERVED_WORDS = frozenset(
-    "user order group select from where insert update delete create drop table index primary key foreign "
-    "references constraint check unique not null default distinct count sum avg max min join inner outer "
-    "left right on as and or in like between exists".split()
-)
+RESERVED_WORDS = frozenset([
+    "user", "order", "group", "select", "from", "where", "insert", "update", "delete", "create", "drop", "table",
+    "index", "primary", "key", "foreign", "references", "constraint", "check", "unique", "not", "null", "default",
+    "distinct", "count", "sum", "avg", "max", "min", "join", "inner", "outer", "left", "right", "on", "as", "and",
+    "or", "in", "like", "between", "exists",
+])
 
 # Phrases that mark a question as one that needs a query.
 QUERY_PHRASES = [

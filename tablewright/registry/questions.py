@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.functions.formats import fixed, format_bytes, format_number, sql_literal
+from tablewright.functions.patterns import QUERY_PHRASES
 from tablewright.functions.text import display_text
 from tablewright.operators.adhoc import QuerySpec, needs_query, preview, run_sql, select_types, with_expression
 from tablewright.registry.base import query, rounded, table
 from tablewright.types import NUMERIC
 
-_PHRASES = (
-    "show me|list|find|get|select|filter|where|top|bottom|highest|lowest|maximum|minimum|count|sum|average|group by|sort|order"
-)
+_PHRASES = "|".join(QUERY_PHRASES)
 
 
 @query(f"SELECT conv_id, turn, role, regexp_matches(lower(text), '{_PHRASES}') AS needs_query FROM conversations")

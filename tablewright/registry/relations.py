@@ -123,7 +123,7 @@ def forest_model_extended_price(spark, sf_dir):
 
 @query()
 def clusters_customer(spark, sf_dir):
-    return rounded(clusters(table(spark, sf_dir, "customer"), max_k=6), 4)
+    return rounded(clusters(table(spark, sf_dir, "customer")), 4)
 
 
 @query()
@@ -141,16 +141,16 @@ _MISSING = " + ".join(f"count(*) - count({c})" for c in ORDERS)
     _quality_sql("orders_dirty", _ORDER_KINDS).rstrip()
     + f""", w AS (SELECT 0.3 * a + 0.2 * b + 0.25 * s + 0.25 * v AS total FROM o),
     m AS (SELECT count(*) AS n, 100.0 * ({_MISSING}) / (6 * count(*)) AS pct FROM orders_dirty),
-    x AS (SELECT 'large' AS rule, 'Large dataset with ' || format('{{:,}}', n) || ' records - suitable for robust statistical analysis and machine learning' AS message, n > 100000 AS ok FROM m
-    UNION ALL SELECT 'small', 'Small dataset with ' || format('{{:,}}', n) || ' records - statistical conclusions may have limited confidence', n < 1000 FROM m
-    UNION ALL SELECT 'quality', 'Data quality assessment: ' || CASE WHEN total >= 0.9 THEN 'A (Excellent)' WHEN total >= 0.8 THEN 'B (Good)'
-      WHEN total >= 0.7 THEN 'C (Fair)' WHEN total >= 0.6 THEN 'D (Poor)' ELSE 'F (Very Poor)' END || ' (score: ' || printf('%.2f', total) || ')', true FROM w
-    UNION ALL SELECT 'low_quality', 'Data quality issues detected - recommend additional cleaning before analysis', total < 0.7 FROM w
-    UNION ALL SELECT 'much_missing', 'Significant missing data: ' || printf('%.1f', pct) || '% of values are null', pct > 10 FROM m
-    UNION ALL SELECT 'some_missing', 'Minor missing data: ' || printf('%.1f', pct) || '% of values are null', pct > 0 AND pct <= 10 FROM m
-    UNION ALL SELECT 'none_missing', 'Complete dataset with no missing values', pct = 0 FROM m
-    UNION ALL SELECT 'quantitative', 'Dataset is primarily quantitative - well-suited for statistical analysis and forecasting', true
-    UNION ALL SELECT 'anomalies', k || ' data quality issues identified - review recommended', k > 0 FROM (SELECT count(*) AS k FROM (
+    x AS (SELECT 'large' AS rule, 'The table is large: ' || format('{{:,}}', n) || ' rows are enough for tests and models' AS message, n > 100000 AS ok FROM m
+    UNION ALL SELECT 'small', 'The table is small: with ' || format('{{:,}}', n) || ' rows, read statistics with care', n < 1000 FROM m
+    UNION ALL SELECT 'quality', 'Quality grade ' || CASE WHEN total >= 0.9 THEN 'A (Excellent)' WHEN total >= 0.8 THEN 'B (Good)'
+      WHEN total >= 0.7 THEN 'C (Fair)' WHEN total >= 0.6 THEN 'D (Poor)' ELSE 'F (Very Poor)' END || ', score ' || printf('%.2f', total), true FROM w
+    UNION ALL SELECT 'low_quality', 'Quality is low: clean the table before using it', total < 0.7 FROM w
+    UNION ALL SELECT 'much_missing', 'Many gaps: ' || printf('%.1f', pct) || '% of all cells are empty', pct > 10 FROM m
+    UNION ALL SELECT 'some_missing', 'Few gaps: ' || printf('%.1f', pct) || '% of all cells are empty', pct > 0 AND pct <= 10 FROM m
+    UNION ALL SELECT 'none_missing', 'No cell is empty', pct = 0 FROM m
+    UNION ALL SELECT 'quantitative', 'Most of it is numbers: measure and forecast', true
+    UNION ALL SELECT 'anomalies', 'Findings to look at: ' || k, k > 0 FROM (SELECT count(*) AS k FROM (
       {_anomaly_sql("orders_dirty", ORDER_NUMBERS, ORDER_TEXTS)})))
     SELECT rule, message FROM x WHERE ok"""
 )
@@ -163,12 +163,12 @@ def business_insights_orders(spark, sf_dir):
 @query(
     f"""WITH m AS (SELECT count(*) AS n, 100.0 * ({_MISSING}) / (6 * count(*)) AS pct,
       (32 * count(*) + coalesce(sum(strlen(o_orderstatus)), 0) + sum(strlen(o_orderpriority))) / 1048576.0 AS mb FROM orders_dirty)
-    SELECT 'size' AS rule, 'Dataset contains ' || format('{{:,}}', n) || ' records with 6 variables' AS message FROM m
-    UNION ALL SELECT 'composition', 'Data composition: 3 numeric, 2 text, 1 date variables'
-    UNION ALL SELECT 'quality', 'Data quality: ' || printf('%.1f', pct) || '% missing values, '
-      || (n - (SELECT count(*) FROM (SELECT DISTINCT * FROM orders_dirty))) || ' duplicate records' FROM m
-    UNION ALL SELECT 'applied', 'Processing applied: mask_pii'
-    UNION ALL SELECT 'bytes', 'Dataset size: ' || printf('%.1f', mb) || ' MB' FROM m"""
+    SELECT 'size' AS rule, format('{{:,}}', n) || ' rows, 6 columns' AS message FROM m
+    UNION ALL SELECT 'composition', 'Columns of numbers, text, dates: 3, 2, 1'
+    UNION ALL SELECT 'quality', 'Empty cells ' || printf('%.1f', pct) || '%, repeated rows '
+      || (n - (SELECT count(*) FROM (SELECT DISTINCT * FROM orders_dirty))) FROM m
+    UNION ALL SELECT 'applied', 'Steps done: mask_pii'
+    UNION ALL SELECT 'bytes', 'Bytes held: ' || printf('%.1f', mb) || ' MB' FROM m"""
 )
 def dataset_summary_orders(spark, sf_dir):
     return insights.dataset_summary(table(spark, sf_dir, "orders_dirty"), applied=["mask_pii"]).drop("position")

@@ -149,13 +149,13 @@ def test_analysis_plan(spark):
     )
     plan = AnalysisPlan(df, tie_break=["id"])
     found = {r["rule"]: r["message"] for r in plan.insights().collect()}
-    assert "small" in found and found["correlated"].startswith("Strong correlations found: id and twice (positive, r=1.000)")
-    assert found["some_missing"] == "Minor missing data: 4.0% of values are null"
-    assert found["model"].startswith("Predictive model for 'id' shows good performance")
-    assert found["features"].startswith("Key predictive factors for 'id': twice")
+    assert "small" in found and found["correlated"].startswith("Columns that move together: id and twice (positive, r=1.000)")
+    assert found["some_missing"] == "Few gaps: 4.0% of all cells are empty"
+    assert found["model"].startswith("Column id can be predicted, R2 ")
+    assert found["features"].startswith("It depends most on twice")
     assert "segments" in found and "quantitative" in found
     lines = {r["rule"]: r["message"] for r in plan.summary().collect()}
-    assert lines["profiled"] and lines["trends"].startswith("Trend analysis: 2 ")
+    assert lines["profiled"] and lines["trends"].startswith("Trends: 2 ")
     assert set(plan.sections) >= {"summary", "numeric", "text", "datetime", "trends", "models", "clusters", "quality"}
 
 
