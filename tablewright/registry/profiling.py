@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import anomalies as anomaly_rules
 from tablewright.operators import distribution, outliers, overview, profile, quality
+from tablewright.operators.quantiles import approximate_quantiles, exact_quantiles
 from tablewright.operators.typing import detect_types, suggest_types
 from tablewright.registry.base import query, rounded, table, union_all
 
@@ -305,6 +306,45 @@ def fast_fingerprint_lineitem(spark, sf_dir):
     return overview.fingerprint(table(spark, sf_dir, "lineitem"))
 
 
+_PROBS = [0.05, 0.25, 0.5, 0.75, 0.99]
+
+
+@query(
+    union_all(
+        "SELECT '<c>' AS \"column\", p AS prob, round(q, 6) AS value FROM (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.99])::DOUBLE AS p, "
+        "unnest(quantile_cont(<c>::DOUBLE, [0.05, 0.25, 0.5, 0.75, 0.99])) AS q FROM lineitem)",
+        LINE_NUMBERS,
+    )
+)
+def narrowed_quantiles_lineitem(spark, sf_dir):
+    """Exact quantiles by the path that large tables take: brackets that close in until few values are left."""
+    found = exact_quantiles(table(spark, sf_dir, "lineitem"), LINE_NUMBERS, _PROBS, budget=1_000, accuracy=100)
+    rows = [(name, p, q) for name, values in found.items() for p, q in zip(_PROBS, values)]
+    return rounded(spark.createDataFrame(rows, "column string, prob double, value double"))
+
+
+@query(
+    union_all(
+        "SELECT '<c>' AS \"column\", p AS prob, count(<c>) AS non_null, true AS within FROM lineitem, "
+        "(SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.99])::DOUBLE AS p) GROUP BY p",
+        LINE_NUMBERS,
+    )
+)
+def sketched_quantiles_lineitem(spark, sf_dir):
+    """Approximate quantiles: the rank of each is off by one in a thousand rows at most."""
+    df, accuracy = table(spark, sf_dir, "lineitem"), 1_000
+    found = approximate_quantiles(df, LINE_NUMBERS, _PROBS, accuracy)
+    counted = df.agg(*[
+        F.struct(
+            F.lit(name).alias("column"), F.lit(p).alias("prob"), F.count(name).alias("non_null"),
+            ((F.count_if(F.col(name) < q) <= (p + 1 / accuracy) * F.count(name) + 1)
+             & (F.count_if(F.col(name) <= q) >= (p - 1 / accuracy) * F.count(name) - 1)).alias("within"),
+        ).alias(f"r{i}_{j}")
+        for i, (name, values) in enumerate(found.items()) for j, (p, q) in enumerate(zip(_PROBS, values))
+    ])
+    return counted.select(F.inline(F.array(*map(F.col, counted.columns))))
+
+
 def _shape_sql(t: str, names) -> str:
     one = union_all(
         f"""SELECT '<c>' AS c, count(<c>)::DOUBLE AS n, skewness(<c>) AS sk, kurtosis(<c>) AS ku,
