@@ -345,6 +345,11 @@ def sketched_quantiles_lineitem(spark, sf_dir):
     return counted.select(F.inline(F.array(*map(F.col, counted.columns))))
 
 
+# The series of the asymptotic p value, from d and n.
+_KS_P = """CASE WHEN d * sqrt(n) < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, list_sum(list_transform(range(1, 101),
+    lambda k: CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2 * k * k * n * d * d))))) END"""
+
+
 def _shape_sql(t: str, names) -> str:
     one = union_all(
         f"""SELECT '<c>' AS c, count(<c>)::DOUBLE AS n, skewness(<c>) AS sk, kurtosis(<c>) AS ku,
@@ -364,13 +369,14 @@ def _shape_sql(t: str, names) -> str:
     k AS (SELECT *, z1 * z1 + pow((1 - 2 / (9 * a) - sign(den) * pow((1 - 2 / a) / abs(den), 1.0 / 3)) / sqrt(2 / (9 * a)), 2) AS k2 FROM z)
     SELECT c AS "column", n::BIGINT AS non_null, round(k2, 3) AS normality_statistic, round(exp(-k2 / 2), 6) AS normality_p_value,
       exp(-k2 / 2) > 0.05 AS is_normal, round(d, 6) AS uniformity_statistic,
+      round({_KS_P}, 6) AS uniformity_p_value, {_KS_P} > 0.05 AS is_uniform,
       CASE WHEN abs(sk) < 0.5 AND abs(ku) < 3 THEN 'approximately_normal' WHEN sk > 1 THEN 'right_skewed'
         WHEN sk < -1 THEN 'left_skewed' WHEN ku > 3 THEN 'heavy_tailed' ELSE 'unknown' END AS distribution_type FROM k"""
 
 
 def _shape(spark, sf_dir, name):
     found = distribution.distribution_profile(table(spark, sf_dir, name))
-    return rounded(found.drop("cid", "uniformity_p_value", "is_uniform"), normality_statistic=3)
+    return rounded(found.drop("cid"), normality_statistic=3)
 
 
 @query(_shape_sql("lineitem", LINE_NUMBERS))
@@ -383,7 +389,20 @@ def distribution_orders(spark, sf_dir):
     return _shape(spark, sf_dir, "orders_dirty")
 
 
-@query()
+def _rescaled_sql(t: str, names) -> str:
+    one = union_all(
+        f"""SELECT '<c>' AS c, count(<c>)::DOUBLE AS n,
+        (WITH r AS (SELECT min(<c>)::DOUBLE AS lo, max(<c>)::DOUBLE AS hi FROM {t}),
+          v AS (SELECT (<c>::DOUBLE - lo) / (hi - lo) AS f, count(*) AS m FROM {t}, r WHERE <c> IS NOT NULL GROUP BY 1),
+          u AS (SELECT f, m, sum(m) OVER (ORDER BY f) AS upto, sum(m) OVER () AS n FROM v)
+          SELECT max(greatest(upto / n - f, f - (upto - m) / n)) FROM u) AS d FROM {t}""",
+        names,
+    )
+    return f"""SELECT c AS "column", n::BIGINT AS non_null, round(d, 6) AS uniformity_statistic,
+      round({_KS_P}, 6) AS uniformity_p_value, {_KS_P} > 0.05 AS is_uniform FROM ({one})"""
+
+
+@query(_rescaled_sql("lineitem", LINE_NUMBERS))
 def uniformity_rescaled_lineitem(spark, sf_dir):
     found = distribution.distribution_profile(table(spark, sf_dir, "lineitem"), rescale=True)
     return rounded(found.select("column", "non_null", "uniformity_statistic", "uniformity_p_value", "is_uniform"))

@@ -65,7 +65,7 @@ def range_partitions(df: DataFrame, target_bytes: int = 256 << 20) -> int | None
     """Number of ranges for a sort when the configured shuffle partitions would be too big; otherwise ``None``."""
     configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wanted = -(-estimated_bytes(df) // target_bytes)
-    return min(wanted, 1_000_000) if wanted > configured else None
+    return wanted if wanted > configured else None
 
 
 def spread(df: DataFrame, min_bytes: int = 1 << 17) -> DataFrame:

@@ -92,7 +92,7 @@ def test_filler_rules(spark):
     )
     model = MissingValueFiller().fit(df)
     filled = model.transform(df)
-    assert model.constants == {"n": 4.0, "t": "a"}  # ties go to the smallest text
+    assert model.constants == {"id": 3.0, "n": 4.0, "t": "a"}  # ties go to the smallest text
     assert dict(filled.dtypes)["n"] == "double"
     assert [r["t"] for r in filled.orderBy("id").collect()] == ["b", "a", "a", "b", "a"]
     assert filled.where("all_null IS NOT NULL OR empty IS NOT NULL").count() == 0
