@@ -63,9 +63,12 @@ def clusters(
             raise ValueError(f"clustering needs {MIN_ROWS} rows, got {total}")
         if k is None:
             top = max(2, min(max_k, total // 2))
-            costs = [KMeans(k=i, seed=seed).fit(data).summary.trainingCost for i in range(2, top + 1)]
-            k = choose_k(costs, rule)
-        assigned = KMeans(k=k, seed=seed).fit(data).transform(data).persist(StorageLevel.MEMORY_AND_DISK)
+            tried = [KMeans(k=i, seed=seed).fit(data) for i in range(2, top + 1)]
+            k = choose_k([model.summary.trainingCost for model in tried], rule)
+            model = tried[k - 2]
+        else:
+            model = KMeans(k=k, seed=seed).fit(data)
+        assigned = model.transform(data).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             silhouette = silhouette_score(assigned)
             means = assigned.groupBy("prediction").agg(
@@ -87,6 +90,7 @@ def clusters(
 
 def silhouette_score(assigned: DataFrame) -> float:
     """Silhouette with squared Euclidean distance, whose cost grows linearly with the rows; 0 for a single cluster."""
-    if assigned.select("prediction").distinct().count() < 2:
+    low, high = assigned.agg(F.min("prediction"), F.max("prediction")).first()
+    if low == high:
         return 0.0
     return float(ClusteringEvaluator(featuresCol="features", predictionCol="prediction").evaluate(assigned))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
@@ -74,7 +73,9 @@ def _one_model(data, names, target, sizes, seed, trees, depth) -> list[tuple]:
     forest = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed)
     model = forest.fit(vectors.where("train"))
     scored = model.transform(vectors.where("NOT train"))
-    r2, rmse = (RegressionEvaluator(metricName=m).evaluate(scored) for m in ("r2", "rmse"))
+    error = F.col("label") - F.col("prediction")
+    n, squares, variance = scored.agg(F.count("*"), F.sum(error * error), F.var_pop("label")).first()
+    r2, rmse = 1 - squares / (n * variance) if variance else 0.0, (squares / n) ** 0.5
     importances = model.featureImportances.toArray()
     return [
         (target, name, float(importances[i]), float(r2), float(rmse), sizes[0], sizes[1], "RandomForest")

@@ -134,6 +134,34 @@ def clusters_embeddings(spark, sf_dir):
     return rounded(clusters(wide, k=5), 4)
 
 
+@query("SELECT 3 * count(*) AS cells, 3 AS columns, true AS k_in_range, true AS numbered, true AS means_agree FROM customer")
+def cluster_facts_customer(spark, sf_dir):
+    """What must hold of any clustering: every row is in one group, and the groups' means make the mean of all."""
+    df = table(spark, sf_dir, "customer")
+    found = clusters(df)
+    overall = df.agg(*[F.avg(c).alias(c) for c in ("c_custkey", "c_nationkey", "c_acctbal")])
+    stacked = overall.unpivot([], ["c_custkey", "c_nationkey", "c_acctbal"], "column", "mean")
+    by_column = found.groupBy("column").agg(
+        F.sum("size").alias("n"), (F.sum(F.col("size") * F.col("mean_value")) / F.sum("size")).alias("weighted"),
+        (F.max("cluster") + 1 == F.max("k")).alias("numbered"), F.max("k").between(2, 10).alias("in_range"),
+    )
+    return by_column.join(stacked, "column").agg(
+        F.sum("n").alias("cells"), F.count("*").cast("int").alias("columns"), F.bool_and("in_range").alias("k_in_range"),
+        F.bool_and("numbered").alias("numbered"), F.bool_and(F.abs(F.col("weighted") - F.col("mean")) < 1e-6 * (1 + F.abs("mean"))).alias("means_agree"),
+    )
+
+
+@query("SELECT unnest(['l_orderkey', 'l_partkey', 'l_suppkey']) AS target, count(*) AS rows, 7::BIGINT AS features, true AS importances_add_up, true AS split_fair FROM lineitem")
+def forest_facts_lineitem(spark, sf_dir):
+    """What must hold of any forest: all rows train or test, and the importances of a target add up to one."""
+    found = predictive_models(table(spark, sf_dir, "lineitem"))
+    return found.groupBy("target").agg(
+        F.max(F.col("train_rows") + F.col("test_rows")).alias("rows"), F.count("*").alias("features"),
+        (F.abs(F.sum("importance") - 1) < 1e-9).alias("importances_add_up"),
+        F.bool_and((F.col("train_rows") / (F.col("train_rows") + F.col("test_rows"))).between(0.65, 0.75)).alias("split_fair"),
+    )
+
+
 _MISSING = " + ".join(f"count(*) - count({c})" for c in ORDERS)
 
 
