@@ -1,7 +1,8 @@
 """Secret scan with a recursive decoding worklist.
 
-The plain text is scanned first. Lines that hold percent escapes, Unicode escapes or base64 (also of compressed data) are
-decoded into layers; a layer is scanned and decoded again until nothing new appears. Every character of a layer knows
+The plain text is scanned first. Lines that hold percent escapes, Unicode escapes or base64 (also of compressed data, and
+over several lines of one width) are decoded into layers; a layer is scanned and decoded again until nothing new
+appears. What is no text inside a layer stands between its readable stretches. Every character of a layer knows
 the span of the original text it came from, so findings of any depth are reported in the original.
 """
 
@@ -13,7 +14,7 @@ import bz2
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -33,6 +34,8 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\})+")
 _ONE_UNICODE = re.compile(r"\\(?:u\{([0-9A-Fa-f]{1,6})\}|u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+={0,2})+")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _TEXT_CONTROLS = dict.fromkeys(map(ord, "\t\r\n"))
 
 #: A compressed layer that inflates beyond this many bytes is left closed and counted in ``n_closed``.
@@ -84,36 +87,49 @@ def _inflate(data: bytes) -> bytes | None:
     return out if opened.eof else None
 
 
-def _opened(data: bytes) -> tuple[str, bool] | None:
-    """Readable text of bytes, and whether it was compressed."""
-    plain = _inflate(data)
-    try:
-        text = (data if plain is None else plain).decode()
-    except UnicodeDecodeError:
-        return None
-    if not text.translate(_TEXT_CONTROLS).isprintable():
-        return None
-    return text, plain is not None
+def _opened(data: bytes) -> tuple[str, bool]:
+    """Text of bytes, and whether it was compressed, in however many layers. Bytes that are no UTF-8 become lone surrogates."""
+    known = set()
+    while data not in known and (plain := _inflate(data)) is not None:
+        known.add(data)
+        data = plain
+    return data.decode("utf-8", "surrogateescape"), bool(known)
+
+
+def _readable(text: str) -> bool:
+    return text.translate(_TEXT_CONTROLS).isprintable()
+
+
+@dataclass
+class _Hit:
+    """A decoded stretch: its text and, for each character, the span it came from."""
+
+    begin: int
+    end: int
+    text: str
+    starts: list[int]
+    ends: list[int]
 
 
-def _by_bytes(text: str, begin: int, end: int, per_byte: float, whole: bool) -> list[tuple[str, int, int]]:
-    """Characters with their source span, for a source that spends ``per_byte`` characters on each byte."""
+def _hit(data: bytes, at: Sequence[int], end: int, per_byte: tuple[int, int]) -> _Hit:
+    """Bytes that were written with the characters at the positions ``at``, as many as the ratio ``per_byte`` says."""
+    text, whole = _opened(data)
     if whole:
-        return [(c, begin, end) for c in text]
-    out, at = [], 0
+        return _Hit(at[0], end, text, [at[0]] * len(text), [end] * len(text))
+    many, few = per_byte
+    starts, ends, done = [], [], 0
     for c in text:
-        size = len(c.encode())
-        out.append((c, begin + int(at * per_byte), min(end, begin + -int(-(at + size) * per_byte // 1))))
-        at += size
-    return out
+        starts.append(at[done * many // few])
+        done += len(c.encode("utf-8", "surrogateescape"))
+        ends.append(at[-(-done * many // few) - 1] + 1)
+    return _Hit(at[0], end, text, starts, ends)
 
 
-def _percent(m: re.Match) -> list | None:
-    opened = _opened(bytes.fromhex(m[0].replace("%", "")))
-    return opened and _by_bytes(opened[0], m.start(), m.end(), 3, opened[1])
+def _percent(m: re.Match) -> _Hit:
+    return _hit(bytes.fromhex(m[0].replace("%", "")), range(m.start(), m.end()), m.end(), (3, 1))
 
 
-def _unicode(m: re.Match) -> list | None:
+def _unicode(m: re.Match) -> _Hit:
     units = []
     for one in _ONE_UNICODE.finditer(m[0]):
         code = int(next(g for g in one.groups() if g), 16)
@@ -122,63 +138,115 @@ def _unicode(m: re.Match) -> list | None:
             high, first, _ = units.pop()
             code, begin = 0x10000 + ((high - 0xD800) << 10) + code - 0xDC00, first
         units.append((code, begin, end))
-    if any(code > 0x10FFFF or 0xD800 <= code < 0xE000 for code, _, _ in units):
-        return None
-    return [(chr(code), begin, end) for code, begin, end in units]
+    text = "".join(chr(code) if code <= 0x10FFFF else "\ufffd" for code, _, _ in units)
+    return _Hit(m.start(), m.end(), text, [b for _, b, _ in units], [e for _, _, e in units])
 
 
-def _base64(m: re.Match) -> list | None:
-    token = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+def _base64_at(text: str, spans: Sequence[tuple[int, int]]) -> _Hit | None:
+    """The base64 that the spans of ``text`` make up together."""
+    token = "".join(text[b:e] for b, e in spans).rstrip("=").replace("-", "+").replace("_", "/")
     if len(token) % 4 == 1:
         return None
     try:
         data = base64.b64decode(token + "=" * (-len(token) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
-    opened = _opened(data)
-    return opened and _by_bytes(opened[0], m.start(), m.end(), 4 / 3, opened[1])
+    at = range(*spans[0]) if len(spans) == 1 else [i for b, e in spans for i in range(b, e)]
+    return _hit(data, at, spans[-1][1], (4, 3))
 
 
-_DECODERS = ((_PERCENT, "%", _percent), (_UNICODE, "\\", _unicode), (_BASE64, "", _base64))
+def _single(pattern: re.Pattern, decode: Callable) -> Callable:
+    """Both passes over the runs of a pattern: those that are text throughout, and those that are text in part.
 
+    They are kept apart, so a run that only looks coded does not hide the plain text beside another run.
+    """
 
-def _decode_lines(layer: _Layer, pattern: re.Pattern, decode, closed: list) -> Iterator[_Layer]:
-    """A new layer for each line in which something was decoded."""
-    text, at = layer.text, 0
-    hits: list = []
+    def passes(text: str, closed: list) -> Iterator[list[_Hit]]:
+        whole, part = [], []
+        for m in pattern.finditer(text):
+            try:
+                made = decode(m)
+            except _Closed:
+                closed.append(m.start())
+                continue
+            if made and made.text:
+                (whole if _readable(made.text) else part).append(made)
+        yield whole
+        yield part
 
-    def built(first: int, last: int) -> _Layer:
-        chars, starts, ends, decoded, here = [], [], [], [], first
-        for begin, end, made in [*hits, (last, last, [])]:
-            chars.append(text[here:begin])
-            starts += layer.starts[here:begin]
-            ends += layer.ends[here:begin]
-            decoded += layer.decoded[here:begin]
-            for c, s, e in made:
-                chars.append(c)
-                starts.append(layer.starts[s])
-                ends.append(layer.ends[e - 1])
-                decoded.append(True)
-            here = end
-        return _Layer("".join(chars), starts, ends, decoded, layer.depth + 1)
+    return passes
+
+
+def _wrapped(text: str, closed: list) -> Iterator[list[_Hit]]:
+    """Base64 over several lines of one width: with the shorter line after them, and without it.
 
-    line_end = -1
-    for m in pattern.finditer(text):
+    The line after the last full one may as well be other text.
+    """
+    blocks = []
+    for m in _WRAPPED.finditer(text):
+        lines: list = []
+        for t in [*_TOKEN.finditer(text, m.start(), m.end()), None]:
+            width = lines[0][1] - lines[0][0] if lines else 0
+            full = t and not t[0].endswith("=") and t.end() - t.start()
+            if t and lines and full == width:
+                lines.append(t.span())
+                continue
+            tail = t and lines and t.end() - t.start() <= width
+            if tail:
+                blocks.append([*lines, t.span()])
+            if len(lines) > 1:
+                blocks.append(lines)
+            lines = [t.span()] if full and full >= 16 else []
+    passes: list[list[_Hit]] = []
+    for spans in blocks:
         try:
-            made = decode(m)
+            made = _base64_at(text, spans)
         except _Closed:
-            closed.append(m.start())
+            closed.append(spans[0][0])
             continue
-        if not made:
-            continue
-        if m.start() > line_end:
+        if made and made.text:
+            free = next((found for found in passes if found[-1].end <= made.begin), None)
+            if free is None:
+                passes.append(free := [])
+            free.append(made)
+    yield from passes
+
+
+_DECODERS = (
+    ("%", _single(_PERCENT, _percent)),
+    ("\\", _single(_UNICODE, _unicode)),
+    ("", _single(_BASE64, lambda m: _base64_at(m.string, [m.span()]))),
+    ("\n", _wrapped),
+)
+
+
+def _decode_lines(layer: _Layer, found: list[_Hit]) -> Iterator[_Layer]:
+    """A new layer for each line, or lines that one hit joins, in which something was decoded."""
+    text, at, line_end = layer.text, 0, -1
+    hits: list[_Hit] = []
+
+    def built(first: int, last: int) -> _Layer:
+        chars, starts, ends, decoded, here = [], [], [], [], first
+        for hit in [*hits, _Hit(last, last, "", [], [])]:
+            chars += [text[here : hit.begin], hit.text]
+            starts += layer.starts[here : hit.begin]
+            ends += layer.ends[here : hit.begin]
+            decoded += layer.decoded[here : hit.begin]
+            starts += [layer.starts[s] for s in hit.starts]
+            ends += [layer.ends[e - 1] for e in hit.ends]
+            decoded += [True] * len(hit.text)
+            here = hit.end
+        return _Layer("".join(chars), starts, ends, decoded, layer.depth + 1)
+
+    for hit in found:
+        if hit.begin > line_end:
             if hits:
                 yield built(at, line_end)
             hits = []
-            at = text.rfind("\n", 0, m.start()) + 1
-            line_end = text.find("\n", m.start())
-            line_end = len(text) if line_end < 0 else line_end
-        hits.append((m.start(), m.end(), made))
+            at = text.rfind("\n", 0, hit.begin) + 1
+        line_end = text.find("\n", hit.end)
+        line_end = len(text) if line_end < 0 else line_end
+        hits.append(hit)
     if hits:
         yield built(at, line_end)
 
@@ -194,10 +262,10 @@ def scan_layers(text: str) -> tuple[list[tuple[int, int, int, int]], int]:
     work, seen, closed = [root], {text}, []
     while work:
         layer = work.pop()
-        for pattern, mark, decode in _DECODERS:
+        for mark, passes in _DECODERS:
             if mark not in layer.text:
                 continue
-            for new in _decode_lines(layer, pattern, decode, closed):
+            for new in (made for found in passes(layer.text, closed) for made in _decode_lines(layer, found)):
                 origin = (new.text, new.starts[0] if new.starts else 0)
                 if origin in seen:
                     continue

@@ -54,6 +54,33 @@ def test_wrapped_secrets_are_found_where_they_stand(wrap):
     assert hit and all(begin <= s and e <= begin + len(coded) for s, e in hit) and closed == 0
 
 
+def wrapped_lines(data, width):
+    coded = base64.b64encode(data).decode()
+    return "\n".join(coded[i : i + width] for i in range(0, len(coded), width))
+
+
+@pytest.mark.parametrize("coded", [
+    base64.b64encode(gzip.compress(gzip.compress(b"password=hunter2hunter2"))).decode(),
+    base64.b64encode(bz2.compress(zlib.compress(gzip.compress(b"password=hunter2hunter2")))).decode(),
+    *[urllib.parse.quote(f"a{c}b password=hunter2hunter2", safe="") for c in "\u00a0\ufeff\u200d\u00ad\f\0"],
+    *[base64.b64encode(f"a{c}b password=hunter2hunter2".encode()).decode() for c in "\u00a0\ufeff\u200d\u00ad\f\0"],
+    base64.b64encode(b"\xff\x80 password=hunter2hunter2 \xc3").decode(),
+    "%FFpassword%3Dhunter2hunter2",
+    "\\ud800\\x70assword=hunter2hunter2",
+    *[wrapped_lines(gzip.compress(bytes(range(256)) + b" password=hunter2hunter2"), w) for w in (64, 76)],
+    *[wrapped_lines(b"x" * n + b" password=hunter2hunter2", w) for w in (64, 76) for n in (30, 40, 100)],
+    wrapped_lines(b"x" * 73 + b" password=hunter2hunter2", 64).replace("\n", "\r\n  "),
+    # A wider line of the same characters before the block, and a word after it.
+    "a" * 70 + "\n" + wrapped_lines(gzip.compress(bytes(range(256)) + b" password=hunter2hunter2"), 64) + "\nword",
+])
+def test_nested_unreadable_and_wrapped_layers_are_opened(coded):
+    for text in (f"größe one two\nsee {coded} here\nlast", f"größe\n{coded}\nlast"):
+        begin = text.index(coded)
+        spans, closed = scan_layers(text)
+        hit = [(s, e) for s, k, e, d in spans if k == 0 and d > 0 and begin <= s and e <= begin + len(coded)]
+        assert hit and closed == 0
+
+
 def test_layers_end_and_map_single_characters():
     assert found_texts("token%3dabcdefghijkl%31") == [("assign", "token%3dabcdefghijkl%31", 1)]
     # Each layer opens one escape; the end is a plain percent sign.
