@@ -11,11 +11,15 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
+import hashlib
 import lzma
 import re
+import string
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -38,8 +42,12 @@ _WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+={0,2}
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _TEXT_CONTROLS = dict.fromkeys(map(ord, "\t\r\n"))
 
-#: A compressed layer that inflates beyond this many bytes is left closed and counted in ``n_closed``.
-MAX_INFLATED = 32 << 20
+#: Bytes that are inflated at a time. Larger layers are scanned piece by piece, cut where nothing can reach across.
+PIECE = 1 << 20
+#: Inside a compressed layer, a run without any place to cut is cut after so many characters, and so many are repeated.
+LONGEST, OVERLAP = 64 << 20, 1 << 16
+_SLICE = 1 << 16
+_CODED = string.ascii_letters + string.digits + "+/_-"
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -63,37 +71,151 @@ class _Layer:
     depth: int
 
 
-class _Closed(Exception):
-    pass
+def _opener(data: bytes) -> Callable | None:
+    """What opens the gzip, zlib, bzip2 or xz stream that ``data`` begins with; ``None`` when it is none of these."""
+    if data[:3] == b"\x1f\x8b\x08" or (data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0):
+        return lambda: zlib.decompressobj(47)
+    if data[:3] == b"BZh" and data[4:10] in (b"1AY&SY", b"\x17\x72\x45\x38\x50\x90"):
+        return bz2.BZ2Decompressor
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor
+    return None
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """Contents of gzip, zlib, bzip2 or xz data; ``None`` when it is none of these."""
-    if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0):
-        make = lambda: zlib.decompressobj(47)
-    elif data[:3] == b"BZh":
-        make = bz2.BZ2Decompressor
-    elif data[:6] == b"\xfd7zXZ\x00":
-        make = lzma.LZMADecompressor
-    else:
-        return None
-    opened = make()
-    try:
-        out = opened.decompress(data, MAX_INFLATED + 1)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None
-    if len(out) > MAX_INFLATED:
-        raise _Closed
-    return out if opened.eof else None
+class _Streams:
+    """Beginnings of the compressed streams of a text that were opened, and of those found damaged."""
+
+    def __init__(self):
+        self.good: set[bytes] = set()
+        self.bad: set[bytes] = set()
 
+    def closed(self) -> int:
+        """Damaged streams. One that begins another stream is the same one, cut off where a line ends."""
+        return sum(not any(x != b and x.startswith(b) for x in self.good | self.bad) for b in self.bad - self.good)
 
-def _opened(data: bytes) -> tuple[str, bool]:
-    """Text of bytes, and whether it was compressed, in however many layers. Bytes that are no UTF-8 become lone surrogates."""
-    known = set()
-    while data not in known and (plain := _inflate(data)) is not None:
+
+def _members(chunks: Iterator[bytes], streams: _Streams) -> Iterator[bytes]:
+    """Contents of all streams that stand one after another, in pieces; what follows them is passed on as it is.
+
+    Of a damaged stream the part before the damage is given. Bytes that only look like a stream are given themselves.
+    """
+    opened, data, whole, some, taken = None, b"", b"", False, False
+
+    def damaged() -> Iterator[bytes]:
+        if some or whole[:1] != b"\x78":
+            streams.bad.add(whole[:48])
+        if not some or whole[:1] == b"\x78":
+            yield whole
+            yield from chunks
+
+    chunks = iter(chunks)
+    for chunk in chain(chunks, [b""]):
+        data += chunk
+        if opened is not None and len(whole) < PIECE:
+            whole += chunk
+        while data:
+            if opened is None:
+                data = data.lstrip(b"\0") if taken else data  # padding
+                if len(data) < 16 and chunk:
+                    break
+                make = _opener(data)
+                if make is None:
+                    yield data
+                    yield from chunks
+                    return
+                opened, whole, some = make(), data, False
+            try:
+                while not opened.eof:
+                    out = opened.decompress(data, PIECE)
+                    data = getattr(opened, "unconsumed_tail", b"")
+                    if out:
+                        some = True
+                        yield out
+                    elif not data:
+                        break
+            except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+                yield from damaged()
+                return
+            if not opened.eof:
+                break
+            streams.good.add(whole[:48])
+            data, opened, taken = opened.unused_data, None, True
+    if opened is not None:
+        yield from damaged()
+
+
+def _peeled(data: bytes, streams: _Streams) -> tuple[Iterator[bytes], bool]:
+    """Contents of bytes in however many compressed layers, in pieces, and whether there was any such layer."""
+    known: set[bytes] = set()
+    while _opener(data) and data not in known:
         known.add(data)
-        data = plain
-    return data.decode("utf-8", "surrogateescape"), bool(known)
+        stream = _members((data[i : i + _SLICE] for i in range(0, len(data), _SLICE)), streams)
+        head, size = [], 0
+        for part in stream:
+            head.append(part)
+            size += len(part)
+            if size > 2 * PIECE:
+                return _unwrapped(chain(head, stream), streams), True
+        inner = b"".join(head)
+        if inner == data:
+            return iter([data]), len(known) > 1
+        data = inner
+    return iter([data]), bool(known)
+
+
+def _unwrapped(chunks: Iterator[bytes], streams: _Streams) -> Iterator[bytes]:
+    """As ``_peeled``, for layers that are too large to be held."""
+    head = b""
+    for chunk in chunks:
+        head += chunk
+        if len(head) >= 16:
+            break
+    stream = chain([head], chunks)
+    return _unwrapped(_members(stream, streams), streams) if _opener(head) else stream
+
+
+_FREE = re.compile(r"""[^%\\{}"'\x20:=A-Za-z0-9+/_.\-\r\n\t]|\n|\x20([A-Za-z0-9]{1,15})\x20(?=[A-Za-z0-9])""")
+_CODED_LINE = re.compile(r"[A-Za-z0-9+/_-]{16,}=*\r?\n\Z|[\n][ \t]*[A-Za-z0-9+/_-]+=*\r?\n\Z")
+
+
+def _last_cut(text: str, since: int) -> int:
+    """The end of the last place behind ``since`` that no finding and no coded run reaches across; 0 when there is none."""
+    high = len(text)
+    while high > since:
+        low = max(since, high - (1 << 16))
+        for m in reversed(list(_FREE.finditer(text, low, min(len(text), high + 32)))):
+            if m[0] == "\n":
+                if _CODED_LINE.search(text[max(0, m.end() - 200) : m.end()]):
+                    continue
+            elif m[1] and m[1].lower().endswith(_WORDS):
+                continue
+            return m.end()
+        high = low
+    return 0
+
+
+def _texts(chunks: Iterator[bytes]) -> Iterator[str]:
+    """Text of the pieces, cut anew where nothing can reach across. Bytes that are no UTF-8 become lone surrogates."""
+    read = codecs.getincrementaldecoder("utf-8")("surrogateescape")
+    text, seen = "", 0
+    for chunk in chunks:
+        text += read.decode(chunk)
+        if len(text) < PIECE:
+            continue
+        # A run that began before may only be seen as a word when its beginning is seen: look back a little.
+        cut = _last_cut(text, max(0, seen - 256))
+        if cut:
+            yield text[:cut]
+            text = text[cut:]
+        elif len(text) >= LONGEST:
+            # Cut where a group of four base64 characters, or a line of them, begins.
+            line, run = text.rfind("\n", 0, len(text) - OVERLAP) + 1, len(text.rstrip(_CODED))
+            again = len(text) - OVERLAP
+            again = line if line > again - OVERLAP else again - (again - run) % 4 if run < again else again
+            yield text
+            text = text[again:]
+        seen = len(text)
+    yield text + read.decode(b"", True)
 
 
 def _readable(text: str) -> bool:
@@ -102,20 +224,31 @@ def _readable(text: str) -> bool:
 
 @dataclass
 class _Hit:
-    """A decoded stretch: its text and, for each character, the span it came from."""
+    """A decoded stretch: its text and, for each character, the span it came from. ``more`` are further pieces of it."""
 
     begin: int
     end: int
     text: str
-    starts: list[int]
-    ends: list[int]
+    starts: Sequence[int]
+    ends: Sequence[int]
+    more: Iterator[str] = ()
+
 
+def _hit(
+    data: bytes, at: Sequence[int], end: int, per_byte: tuple[int, int], flat: bool, streams: _Streams
+) -> _Hit:
+    """Bytes that were written with the characters at the positions ``at``, as many as the ratio ``per_byte`` says.
 
-def _hit(data: bytes, at: Sequence[int], end: int, per_byte: tuple[int, int]) -> _Hit:
-    """Bytes that were written with the characters at the positions ``at``, as many as the ratio ``per_byte`` says."""
-    text, whole = _opened(data)
+    Where ``flat``, the source is itself one span, and no positions are made.
+    """
+    chunks, whole = _peeled(data, streams)
     if whole:
-        return _Hit(at[0], end, text, [at[0]] * len(text), [end] * len(text))
+        texts = _texts(chunks)
+        text = next(texts)
+        return _Hit(at[0], end, text, _Same(at[0]), _Same(end), texts)
+    text = data.decode("utf-8", "surrogateescape")
+    if flat:
+        return _Hit(at[0], end, text, _Same(at[0]), _Same(end))
     many, few = per_byte
     starts, ends, done = [], [], 0
     for c in text:
@@ -125,11 +258,11 @@ def _hit(data: bytes, at: Sequence[int], end: int, per_byte: tuple[int, int]) ->
     return _Hit(at[0], end, text, starts, ends)
 
 
-def _percent(m: re.Match) -> _Hit:
-    return _hit(bytes.fromhex(m[0].replace("%", "")), range(m.start(), m.end()), m.end(), (3, 1))
+def _percent(m: re.Match, flat: bool, streams: _Streams) -> _Hit:
+    return _hit(bytes.fromhex(m[0].replace("%", "")), range(m.start(), m.end()), m.end(), (3, 1), flat, streams)
 
 
-def _unicode(m: re.Match) -> _Hit:
+def _unicode(m: re.Match, flat: bool, streams: _Streams) -> _Hit:
     units = []
     for one in _ONE_UNICODE.finditer(m[0]):
         code = int(next(g for g in one.groups() if g), 16)
@@ -142,7 +275,7 @@ def _unicode(m: re.Match) -> _Hit:
     return _Hit(m.start(), m.end(), text, [b for _, b, _ in units], [e for _, _, e in units])
 
 
-def _base64_at(text: str, spans: Sequence[tuple[int, int]]) -> _Hit | None:
+def _base64_at(text: str, spans: Sequence[tuple[int, int]], flat: bool, streams: _Streams) -> _Hit | None:
     """The base64 that the spans of ``text`` make up together."""
     token = "".join(text[b:e] for b, e in spans).rstrip("=").replace("-", "+").replace("_", "/")
     if len(token) % 4 == 1:
@@ -151,8 +284,8 @@ def _base64_at(text: str, spans: Sequence[tuple[int, int]]) -> _Hit | None:
         data = base64.b64decode(token + "=" * (-len(token) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
-    at = range(*spans[0]) if len(spans) == 1 else [i for b, e in spans for i in range(b, e)]
-    return _hit(data, at, spans[-1][1], (4, 3))
+    at = range(*spans[0]) if flat or len(spans) == 1 else [i for b, e in spans for i in range(b, e)]
+    return _hit(data, at, spans[-1][1], (4, 3), flat, streams)
 
 
 def _single(pattern: re.Pattern, decode: Callable) -> Callable:
@@ -161,14 +294,10 @@ def _single(pattern: re.Pattern, decode: Callable) -> Callable:
     They are kept apart, so a run that only looks coded does not hide the plain text beside another run.
     """
 
-    def passes(text: str, closed: list) -> Iterator[list[_Hit]]:
+    def passes(text: str, flat: bool, streams: _Streams) -> Iterator[list[_Hit]]:
         whole, part = [], []
         for m in pattern.finditer(text):
-            try:
-                made = decode(m)
-            except _Closed:
-                closed.append(m.start())
-                continue
+            made = decode(m, flat, streams)
             if made and made.text:
                 (whole if _readable(made.text) else part).append(made)
         yield whole
@@ -177,7 +306,7 @@ def _single(pattern: re.Pattern, decode: Callable) -> Callable:
     return passes
 
 
-def _wrapped(text: str, closed: list) -> Iterator[list[_Hit]]:
+def _wrapped(text: str, flat: bool, streams: _Streams) -> Iterator[list[_Hit]]:
     """Base64 over several lines of one width: with the shorter line after them, and without it.
 
     The line after the last full one may as well be other text.
@@ -199,11 +328,7 @@ def _wrapped(text: str, closed: list) -> Iterator[list[_Hit]]:
             lines = [t.span()] if full and full >= 16 else []
     passes: list[list[_Hit]] = []
     for spans in blocks:
-        try:
-            made = _base64_at(text, spans)
-        except _Closed:
-            closed.append(spans[0][0])
-            continue
+        made = _base64_at(text, spans, flat, streams)
         if made and made.text:
             free = next((found for found in passes if found[-1].end <= made.begin), None)
             if free is None:
@@ -215,7 +340,7 @@ def _wrapped(text: str, closed: list) -> Iterator[list[_Hit]]:
 _DECODERS = (
     ("%", _single(_PERCENT, _percent)),
     ("\\", _single(_UNICODE, _unicode)),
-    ("", _single(_BASE64, lambda m: _base64_at(m.string, [m.span()]))),
+    ("", _single(_BASE64, lambda m, flat, streams: _base64_at(m.string, [m.span()], flat, streams))),
     ("\n", _wrapped),
 )
 
@@ -226,14 +351,25 @@ def _decode_lines(layer: _Layer, found: list[_Hit]) -> Iterator[_Layer]:
     hits: list[_Hit] = []
 
     def built(first: int, last: int) -> _Layer:
+        if isinstance(layer.starts, _Same):
+            chars, here = [], first
+            for hit in hits:
+                chars += [text[here : hit.begin], hit.text]
+                here = hit.end
+            # All of it came from one span, so what stands beside the hits may count as decoded.
+            return _Layer("".join([*chars, text[here:last]]), layer.starts, layer.ends, layer.decoded, layer.depth + 1)
         chars, starts, ends, decoded, here = [], [], [], [], first
         for hit in [*hits, _Hit(last, last, "", [], [])]:
             chars += [text[here : hit.begin], hit.text]
             starts += layer.starts[here : hit.begin]
             ends += layer.ends[here : hit.begin]
             decoded += layer.decoded[here : hit.begin]
-            starts += [layer.starts[s] for s in hit.starts]
-            ends += [layer.ends[e - 1] for e in hit.ends]
+            if isinstance(hit.starts, _Same):
+                starts += [layer.starts[hit.begin]] * len(hit.text)
+                ends += [max(layer.ends[hit.begin : hit.end])] * len(hit.text)
+            else:
+                starts += [layer.starts[s] for s in hit.starts]
+                ends += [layer.ends[e - 1] for e in hit.ends]
             decoded += [True] * len(hit.text)
             here = hit.end
         return _Layer("".join(chars), starts, ends, decoded, layer.depth + 1)
@@ -247,35 +383,70 @@ def _decode_lines(layer: _Layer, found: list[_Hit]) -> Iterator[_Layer]:
         line_end = text.find("\n", hit.end)
         line_end = len(text) if line_end < 0 else line_end
         hits.append(hit)
+        last = None
+        for piece in hit.more:
+            # The first piece stands with what is before it, the last one with what follows, the others alone.
+            if last is None:
+                yield built(at, hit.end)
+            else:
+                begin, end = _Same(layer.starts[hit.begin]), _Same(max(layer.ends[hit.begin : hit.end]))
+                yield _Layer(last, begin, end, _Same(True), layer.depth + 1)
+            last = piece
+        if last is not None:
+            at = hit.begin
+            hits = [_Hit(hit.begin, hit.end, last, hit.starts, hit.ends)]
     if hits:
         yield built(at, line_end)
 
 
 def scan_layers(text: str) -> tuple[list[tuple[int, int, int, int]], int]:
-    """(start, kind number, end, depth) of all findings, plain ones at depth 0, and the number of layers left closed.
+    """(start, kind number, end, depth) of all findings, plain ones at depth 0, and the number of damaged compressed streams.
+
+    Of those everything before the damage is scanned.
 
     A finding that a layer repeats at the same place is reported once, at its smallest depth.
     """
     depths = {span: 0 for span in scan(text)}
     # The plain text stands for itself: positions are made only for the lines that decode.
     root = _Layer(text, range(len(text)), range(1, len(text) + 1), _Never(), 0)
-    work, seen, closed = [root], {text}, []
+    seen, streams = {_digest(text)}, _Streams()
+    work = [_decoded(root, streams)]
     while work:
-        layer = work.pop()
-        for mark, passes in _DECODERS:
-            if mark not in layer.text:
-                continue
-            for new in (made for found in passes(layer.text, closed) for made in _decode_lines(layer, found)):
-                origin = (new.text, new.starts[0] if new.starts else 0)
-                if origin in seen:
-                    continue
-                seen.add(origin)
-                work.append(new)
-                for start, kind, end in scan(new.text):
-                    if any(new.decoded[start:end]):
-                        span = (new.starts[start], kind, max(new.ends[start:end]))
-                        depths[span] = min(depths.get(span, new.depth), new.depth)
-    return sorted((s, k, e, d) for (s, k, e), d in depths.items()), len(closed)
+        new = next(work[-1], None)
+        if new is None:
+            work.pop()
+            continue
+        origin = (_digest(new.text), new.starts[0] if new.text else 0)
+        if origin in seen:
+            continue
+        seen.add(origin)
+        work.append(_decoded(new, streams))
+        for start, kind, end in scan(new.text):
+            if any(new.decoded[start:end]):
+                span = (new.starts[start], kind, max(new.ends[start:end]))
+                depths[span] = min(depths.get(span, new.depth), new.depth)
+    return sorted((s, k, e, d) for (s, k, e), d in depths.items()), streams.closed()
+
+
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _decoded(layer: _Layer, streams: _Streams) -> Iterator[_Layer]:
+    for mark, passes in _DECODERS:
+        if mark in layer.text:
+            for found in passes(layer.text, isinstance(layer.starts, _Same), streams):
+                yield from _decode_lines(layer, found)
+
+
+class _Same:
+    """One value at every place."""
+
+    def __init__(self, value):
+        self.value = value
+
+    def __getitem__(self, at: int | slice):
+        return [self.value] if isinstance(at, slice) else self.value
 
 
 class _Never:

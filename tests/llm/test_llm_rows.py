@@ -4,7 +4,9 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import math
+import random
 import re
 import urllib.parse
 import zlib
@@ -15,6 +17,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright.llm import secret_layers
 from tablewright.llm.poisson_mix import poisson_mix, shuffled, with_positions
 from tablewright.llm.secret_layers import find_secrets, scan, scan_layers
 from tablewright.llm.splitters import RANGES, range_shards
@@ -81,6 +84,55 @@ def test_nested_unreadable_and_wrapped_layers_are_opened(coded):
         assert hit and closed == 0
 
 
+SECRETS = b" password=hunter2hunter2 "
+
+
+@pytest.mark.parametrize("data", [
+    gzip.compress(b"some words here. " * (34 << 16) + SECRETS),
+    gzip.compress(SECRETS + b"some words here " * (34 << 16)),
+    gzip.compress(gzip.compress(b"some words here\n" * (40 << 16) + SECRETS + b"\n" * (1 << 20))),
+    gzip.compress(b"first") + gzip.compress(SECRETS),
+    bz2.compress(b"first ") + bz2.compress(b"words ") + bz2.compress(SECRETS),
+    lzma.compress(b"first ") + lzma.compress(SECRETS),
+    gzip.compress(b"words, " * 400_000 + base64.b64encode(SECRETS * 200_000) + b" " + b"words, " * 400_000),
+])
+def test_large_layers_and_later_members_are_scanned(data):
+    coded = base64.b64encode(data).decode()
+    spans, closed = scan_layers(f"see {coded} here")
+    assert [(s, k, e) for s, k, e, d in spans if d] == [(4, 0, 4 + len(coded))] and closed == 0
+
+
+def test_pieces_of_a_layer_meet_what_stands_beside_it():
+    many = b"some words here, " * 300_000
+    begin, end = (base64.b64encode(gzip.compress(d)).decode() for d in (b"=hunter2hunter2 " + many, many + b"password"))
+    text = f"password {begin} {end} = hunter2hunter2"
+    spans = {(s, e) for s, k, e, d in scan_layers(text)[0] if d}
+    assert spans == {(0, 9 + len(begin)), (10 + len(begin), len(text))}
+
+
+def test_only_damaged_layers_are_closed():
+    data = gzip.compress(random.Random(1).randbytes(5000) + SECRETS + random.Random(2).randbytes(5000))
+    spans, closed = scan_layers(base64.b64encode(data[:-2000]).decode())
+    assert [d for _, k, _, d in spans if k == 0] == [1] and closed == 1
+    assert scan_layers(base64.b64encode(b"x^2 and more words of text").decode())[1] == 0
+    assert scan_layers(wrapped_lines(data, 64))[1] == 0 and scan_layers(wrapped_lines(data[:-2000], 64))[1] == 1
+
+
+def test_pieces_are_cut_where_nothing_reaches_across(monkeypatch):
+    monkeypatch.setattr(secret_layers, "PIECE", 50)
+    rng = random.Random(3)
+    parts = ["some ", "words ", "secret ", "token", "= ", ": ", "\n", "abcdefghijkl", "%70", "\\u0061", "AKIA" + "B" * 15, ", ",
+             base64.b64encode(SECRETS).decode(), "é", "0123456789abcdef", "'"]
+    for _ in range(300):
+        text = "".join(rng.choices(parts, k=60))
+        kinds = {k for _, k, _, _ in scan_layers(text)[0]}
+        data = text.encode()
+        pieces = list(secret_layers._texts(data[i : i + 7] for i in range(0, len(data), 7)))
+        assert "".join(pieces) == text
+        assert set().union(*({k for _, k, _, _ in scan_layers(p)[0]} for p in pieces)) == kinds
+        assert sum((scan(p) != [] and len(scan(p)) for p in pieces), 0) == len(scan(text))
+
+
 def test_layers_end_and_map_single_characters():
     assert found_texts("token%3dabcdefghijkl%31") == [("assign", "token%3dabcdefghijkl%31", 1)]
     # Each layer opens one escape; the end is a plain percent sign.
