@@ -1,8 +1,9 @@
 """Near-duplicates by min-max hashing.
 
 A document's set holds the hashes of its distinct word shingles. Under each of 96 permutations both the smallest and the
-largest hash are kept, so 192 values cost 96 evaluations; six of them (three permutations) make a band, 32 bands in all.
-Two sets that agree to 0.85 share no band with a chance of about 3e-7.
+largest hash are kept, so 192 values cost 96 evaluations. At a limit of 0.85 six of them (three permutations) make a band,
+32 bands in all; a lower limit has shorter bands and more of them (``band_size``). Two sets that agree to the limit share
+no band with a chance of about 3e-7, at 0.85 and at 0.8.
 
 Candidates of a band are never paired with each other. Documents with equal sets become one node first. Then every
 bucket names one hub, the member that shares most buckets, and its other members are compared with the hub on full sets.
@@ -27,6 +28,8 @@ from tablewright.llm.components import components
 
 PERMUTATIONS, BAND_VALUES = 96, 6
 BANDS = 2 * PERMUTATIONS // BAND_VALUES
+#: The chance at most with which two sets at the limit may share no band.
+MISS = 1e-6
 #: Shingles that the members of a hub, or the two blocks of a bucket, may bring into one verification task.
 HUB_SHINGLES, BLOCK_SHINGLES = 1 << 17, 1 << 19
 
@@ -98,27 +101,36 @@ def shingle_hashes(text: bytes | None, width: int = 5, piece: int = 4 << 20) ->
     return np.unique(np.concatenate(found))
 
 
-def band_keys(hashes: np.ndarray, block: int = 4096) -> np.ndarray:
-    """One 64-bit key per band from the minima and maxima of all permutations."""
+def band_size(percent: int) -> int:
+    """Values in a band: as many, up to ``BAND_VALUES``, as miss a pair at the limit with a chance below ``MISS``."""
+    for size in range(BAND_VALUES, 1, -1):
+        if (1 - (percent / 100) ** size) ** (2 * PERMUTATIONS // size) <= MISS:
+            return size
+    return 1
+
+
+def band_keys(hashes: np.ndarray, block: int = 4096, size: int = BAND_VALUES) -> np.ndarray:
+    """One 64-bit key per band of ``size`` values from the minima and maxima of all permutations."""
+    bands = 2 * PERMUTATIONS // size
     low = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
     high = np.zeros(PERMUTATIONS, np.uint64)
     for at in range(0, len(hashes), block):
         permuted = _MULTIPLY[:, None] * hashes[None, at : at + block] + _ADD[:, None]
         np.minimum(low, permuted.min(axis=1), out=low)
         np.maximum(high, permuted.max(axis=1), out=high)
-    values = np.stack([low, high], axis=1).reshape(BANDS, BAND_VALUES)
-    keys = (_mix(values) * _BAND_MULTIPLY).sum(axis=1, dtype=np.uint64)
-    return _mix(keys + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    values = np.stack([low, high], axis=1).reshape(-1)[: bands * size].reshape(bands, size)
+    keys = (_mix(values) * _BAND_MULTIPLY[:size]).sum(axis=1, dtype=np.uint64)
+    return _mix(keys + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], width: int, size: int) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         sizes, digests, bands = [], [], []
         for text in utf8_values(batch.column("text")):
             hashes = shingle_hashes(text, width)
             sizes.append(len(hashes))
             digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None)
-            bands.append(band_keys(hashes) if len(hashes) else [])
+            bands.append(band_keys(hashes, size=size) if len(hashes) else [])
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
              pa.array(bands, pa.list_(pa.int64()))],
@@ -214,10 +226,11 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 85) ->
     """
     spark = documents.sparkSession
     importable(spark)
+    size = band_size(percent)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(
         texts.mapInArrow(
-            lambda batches: _signatures(batches, width),
+            lambda batches: _signatures(batches, width, size),
             "doc_id long, n_shingles long, digest binary, bands array<long>",
         ),
         "signatures",
@@ -231,7 +244,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 85) ->
     followed = known.join(copies, "digest", "left").where("first IS NULL OR first = doc_id")
     nodes = stored(followed.select("doc_id", "n_shingles", "bands").distinct(), "nodes")
     rows = stored(_buckets(nodes), "buckets")
-    hubs = stored(_hubs(rows), "hubs")
+    hubs = stored(_hubs(rows, 2 * PERMUTATIONS // size), "hubs")
     edges = stored(
         rows.join(hubs, "key")
         .where("doc_id <> hub")
@@ -273,12 +286,12 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return rows.join(sizes.hint("merge"), "key")
 
 
-def _hubs(rows: DataFrame) -> DataFrame:
+def _hubs(rows: DataFrame, bands: int) -> DataFrame:
     """(key, hub, hub_shingles, parts): the member that shares most buckets, and how many tasks its members need."""
     degrees = rows.groupBy("doc_id").agg(F.sum("size").alias("degree"))
     best = F.max_by(F.struct("doc_id", "n_shingles", "degree"), F.struct("degree", -F.col("doc_id"))).alias("best")
     ranked = rows.join(stored(degrees, "degrees"), "doc_id").groupBy("key").agg(best)
-    weight = F.col("best.degree") * (F.col("best.n_shingles") + 256) / F.lit(BANDS * HUB_SHINGLES)
+    weight = F.col("best.degree") * (F.col("best.n_shingles") + 256) / F.lit(bands * HUB_SHINGLES)
     return ranked.select(
         "key", F.col("best.doc_id").alias("hub"), F.col("best.n_shingles").alias("hub_shingles"),
         F.ceil(weight).cast("long").alias("parts"),

@@ -1,7 +1,10 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline as pipeline
+from tablewright.llm.minhash import band_keys, band_size, near_duplicates
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -56,3 +59,24 @@ def test_stages_decide_and_keep_columns(spark, tmp_path):
 def test_empty_tables_pass_through(spark, tmp_path):
     folder = tables(spark, tmp_path, [], [])
     assert pipeline.run(spark, folder).count() == 0
+
+
+def test_near_copies_at_82_percent_go(spark):
+    rng = random.Random(8)
+    rows, shared = [], [[f"w{rng.randrange(10**9)}" for _ in range(104)] for _ in range(20)]
+    for i, words in enumerate(shared):
+        # 100 shingles; two changed words far apart take five each: 90 of 110 are common, 0.818.
+        other = list(words)
+        other[30] = other[70] = "changed"
+        rows += [(i, " ".join(words), "xx", "s", 0), (100 + i, " ".join(other), "xx", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect()) == list(range(20))
+    assert near_duplicates(docs).where("kept").count() == 40
+
+
+def test_bands_miss_hardly_any_pair_at_the_limit():
+    assert [band_size(p) for p in (95, 85, 80)] == [6, 6, 5]
+    for percent in (50, 60, 70, 80, 85, 90):
+        size = band_size(percent)
+        assert (1 - (percent / 100) ** size) ** (192 // size) <= 1e-6
+        assert len(set(band_keys(np.arange(1, 50, dtype=np.uint64), size=size))) == 192 // size
