@@ -80,3 +80,12 @@ def test_bands_miss_hardly_any_pair_at_the_limit():
         size = band_size(percent)
         assert (1 - (percent / 100) ** size) ** (192 // size) <= 1e-6
         assert len(set(band_keys(np.arange(1, 50, dtype=np.uint64), size=size))) == 192 // size
+
+
+def test_unrelated_texts_under_one_id_stay(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"w{rng.randrange(10**9)}" for _ in range(40)) for _ in range(3))
+    rows = [(3, a), (7, a + " tail"), (7, b), (7, c), (7, c), (9, b)]
+    docs = spark.createDataFrame([(i, t, "xx", "s", 0) for i, t in rows], SCHEMA)
+    got = sorted((r.doc_id, r.text) for r in pipeline.near_dedup(spark, docs, "").collect())
+    assert got == sorted([(3, a), (7, b), (7, c)])
