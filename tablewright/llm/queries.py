@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tablewright.llm.ann_forest import nearest_vectors
+from tablewright.llm.binary_packing import pack_by_powers
 from tablewright.llm.chat_events import DELTA, MESSAGE, fold_events, read_back, render
 from tablewright.llm.language_cnn import fit_language_model, predict_languages
 from tablewright.llm.minhash import near_duplicates
@@ -15,8 +16,10 @@ from tablewright.llm.poisson_mix import poisson_mix, with_positions
 from tablewright.llm.quality_cnn import fit_quality_model, score_quality
 from tablewright.llm.secret_layers import find_secrets
 from tablewright.llm.spaced_seeds import benchmark_overlaps
+from tablewright.llm.spelling_variants import count_words, variant_groups
 from tablewright.llm.splitters import range_shards
 from tablewright.llm.token_records import read_records, write_records
+from tablewright.llm.word_runs import word_runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -224,3 +227,91 @@ _LEAKS_SQL = r"""
 def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold passages of the benchmark."""
     return benchmark_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# Brute force for variants: words that agree without one code point. crc32 bit by bit: a byte is followed by eight steps.
+_VARIANTS_SQL = r"""
+    WITH RECURSIVE
+    runs AS (
+      SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+    own AS (SELECT doc_id, w, count(*) AS n, hex(encode(doc_id || ':' || w)) AS x FROM runs GROUP BY doc_id, w),
+    bytes AS (SELECT w, n, list_transform(range(1, length(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT)) AS b FROM own),
+    crcs AS (
+      SELECT w, n, xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, flatten(list_transform(b, lambda y: [y, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda c, y: CASE WHEN y >= 0 THEN xor(c, y) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)) AS h FROM bytes),
+    slipped AS (
+      SELECT n, CASE WHEN h IS NOT NULL AND h % 97 = 0
+        THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM crcs),
+    words AS (
+      SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+    cut AS (
+      SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+      FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+    pairs AS (
+      SELECT a.word, a.n AS own, b.word AS near, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+      UNION SELECT c.word, c.n, w.word, w.n FROM cut c JOIN words w ON c.rest = w.word
+      UNION SELECT w.word, w.n, c.word, c.n FROM cut c JOIN words w ON c.rest = w.word),
+    ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, near) AS r, count(*) OVER (PARTITION BY word) AS n_near
+      FROM pairs),
+    forms AS (
+      SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.n >= 2 * w.n THEN r.near END AS form,
+        CASE WHEN r.n >= 2 * w.n THEN r.n END AS form_n
+      FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.r = 1),
+    way AS (
+      SELECT word, word AS at FROM forms
+      UNION ALL SELECT way.word, forms.form FROM way JOIN forms ON forms.word = way.at WHERE forms.form IS NOT NULL)
+    SELECT f.word, f.form, way.at AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+    FROM forms f JOIN way ON way.word = f.word JOIN forms e ON e.word = way.at AND e.form IS NULL
+"""
+
+
+@query(_VARIANTS_SQL)
+def op11_pivotal_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form and the root of every frequent word of all documents, with planted slips."""
+    return variant_groups(count_words(table(spark, sf_dir, "documents"), slips=97))
+
+
+def _with_repeats(text: Column) -> Column:
+    """Texts of every tenth id (by its crc32) go on, from a word that depends on it, by repeating some of their words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = (g % F.greatest(n, F.lit(1))).cast("int")
+        p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+        again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        whole = F.slice(F.concat(F.slice(words, F.lit(1), a), again), F.lit(1), n.cast("int"))
+        return F.array_join(whole, " ")
+
+    # An array of one array: its words are taken apart once, not once for each use.
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.when(h % 10 == 0, F.transform(F.array(words), repeated)[0]).otherwise(text)
+
+
+@query()
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic stretches of words of each document, and the document without their repetitions."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", _with_repeats(F.coalesce("text", F.lit(""))).alias("text"))
+    run = "struct<start: bigint, length: bigint, period: bigint>"
+    longer = lambda best, r: r["length"] * best["period"] > best["length"] * r["period"]
+    best = F.aggregate("runs", F.lit(None).cast(run), lambda best, r: F.when(best.isNull() | longer(best, r), r).otherwise(best))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    found = word_runs(documents).withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query()
+def op13_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut into pieces of binary length, each of them a sequence of its own."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = pack_by_powers(documents, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, longest=2048)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -95,11 +95,16 @@ class WordEncoder:
             self.known = {}
         by_word = [self.by_word and not _OTHER.search(t) and not any(a in t for a in self.added) for t in texts]
         words = [_WORDS.findall(t) if plain else [] for t, plain in zip(texts, by_word)]
-        new = set().union(*words) - self.known.keys()
+        found = [list(map(self.known.get, w)) for w in words]
+        # One look-up for each word; only words that it does not find are gathered and encoded together.
+        gaps = [[i for i, ids in enumerate(f) if ids is None] if None in f else [] for f in found]
+        new = list({w[i] for w, g in zip(words, gaps) for i in g})
         if new:
-            new = list(new)
             self.known.update(zip(new, self._whole(new)))
-        out = [b"".join(map(self.known.__getitem__, w)) for w in words]
+            for w, f, g in zip(words, found, gaps):
+                for i in g:
+                    f[i] = self.known[w[i]]
+        out = [b"".join(f) for f in found]
         whole = [i for i, plain in enumerate(by_word) if not plain]
         for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
             out[i] = ids
