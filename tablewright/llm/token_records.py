@@ -37,7 +37,7 @@ _WORDS = re.compile(
     rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\sA-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|\s+(?!\S)|\s+"
 )
 _OTHER = re.compile(rf"[^\x20-\x7e\n\t{_LETTERS}]")
-#: Words whose ids a worker remembers before it begins anew.
+#: Words whose ids a worker remembers. At half of them it begins anew and takes over those that it meets again.
 REMEMBERED = 800_000
 
 
@@ -84,6 +84,7 @@ class WordEncoder:
         )
         self.added = [t["content"] for t in made.get("added_tokens", [])]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -91,21 +92,30 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text as little-endian numbers of ``width`` bytes."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        by_word = [self.by_word and not _OTHER.search(t) and not any(a in t for a in self.added) for t in texts]
-        words = [_WORDS.findall(t) if plain else [] for t, plain in zip(texts, by_word)]
-        found = [list(map(self.known.get, w)) for w in words]
-        # One look-up for each word; only words that it does not find are gathered and encoded together.
-        gaps = [[i for i, ids in enumerate(f) if ids is None] if None in f else [] for f in found]
-        new = list({w[i] for w, g in zip(words, gaps) for i in g})
+        if len(self.known) > REMEMBERED // 2:
+            self.older, self.known = self.known, {}
+        out: list[bytes | None] = []
+        whole, open_texts = [], []
+        for i, text in enumerate(texts):
+            out.append(None)
+            if not self.by_word or _OTHER.search(text) or any(a in text for a in self.added):
+                whole.append(i)
+                continue
+            # Text by text, so that words are looked up while they are still in the processor's cache.
+            words = _WORDS.findall(text)
+            ids = list(map(self.known.get, words))
+            if None in ids:
+                open_texts.append((i, words, ids))
+            else:
+                out[i] = b"".join(ids)
+        # Only words that were not found are gathered, and encoded together.
+        new = {w for _, words, ids in open_texts for w, known in zip(words, ids) if known is None}
+        self.known.update((w, self.older[w]) for w in new & self.older.keys())
+        new = list(new - self.known.keys())
         if new:
             self.known.update(zip(new, self._whole(new)))
-            for w, f, g in zip(words, found, gaps):
-                for i in g:
-                    f[i] = self.known[w[i]]
-        out = [b"".join(f) for f in found]
-        whole = [i for i, plain in enumerate(by_word) if not plain]
+        for i, words, ids in open_texts:
+            out[i] = b"".join([self.known[w] if known is None else known for w, known in zip(words, ids)])
         for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
             out[i] = ids
         return out
@@ -226,5 +236,7 @@ def read_records(manifest: DataFrame, shuffle_seed: int | None = None) -> DataFr
     """
     importable(manifest.sparkSession)
 
-    files = manifest.select("file", "first_token")
-    return files.repartition("file").mapInArrow(lambda b: _read_files(b, shuffle_seed), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    files = manifest.select("part", "file", "first_token")
+    # A task for each file. The rows of a manifest are tiny, so a plain exchange would be merged into one task.
+    tasks = (manifest.agg(F.max("part")).first()[0] or 0) + 1
+    return files.repartitionById(tasks, "part").mapInArrow(lambda b: _read_files(b, shuffle_seed), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
