@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tablewright.functions.formats import as_text, float_text
 from tablewright.operators.longform import cells, fields_of, lookup, one_row_per_column
-from tablewright.types import DATETIME, epoch_micros, has_zone, is_float, is_integral, present, type_class
+from tablewright.types import DATETIME, col, epoch_micros, has_zone, is_float, is_integral, present, type_class
 
 
 # Texts longer than a digest are counted by digest.
@@ -140,13 +140,50 @@ def text_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[str, in
     return found
 
 
+#: Columns whose bounds are found in one scan; wider tables are read in groups of columns.
+_BOUNDED_COLUMNS = 40
+
+
+def _sample_order(field: T.StructField) -> Column:
+    """A value by which the samples of a column are ordered: numbers and times as such, other values as text."""
+    return _whole(field) if _is_whole(field.dataType) else _float(field) if is_float(field.dataType) else _string(field)
+
+
+def _upper_bounds(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, object]:
+    """For each column a value that at least ``limit`` distinct values do not exceed, or None if all of them are wanted.
+
+    Values are dealt by hash into twice as many classes as are wanted. The smallest values of different classes differ,
+    so the ``limit``-th smallest of these is a bound, and few values lie below it. A task passes on one value per class.
+    """
+    bounds: dict[str, object] = {}
+    classes = 2 * limit
+    for at in range(0, len(columns), _BOUNDED_COLUMNS):
+        group = columns[at : at + _BOUNDED_COLUMNS]
+        orders = [_sample_order(f) for f in fields_of(df, group)]
+        keyed = df.select(*[c for i, o in enumerate(orders) for c in (o.alias(f"v{i}"), F.pmod(F.xxhash64(o), F.lit(classes)).alias(f"h{i}"))])
+        least = keyed.agg(*[F.min(F.when(F.col(f"h{i}") == k, F.col(f"v{i}"))).alias(f"m{i}_{k}") for i in range(len(group)) for k in range(classes)]).first()
+        for i, name in enumerate(group):
+            met = sorted(v for k in range(classes) if (v := least[f"m{i}_{k}"]) is not None)
+            bounds[name] = met[limit - 1] if len(met) >= limit else None
+    return bounds
+
+
 def smallest_values(df: DataFrame, columns: Sequence[str], limit: int = 3) -> DataFrame:
-    """The ``limit`` smallest distinct values of each column as an array of texts: ``(cid, samples)``."""
-    order = Window.partitionBy("cid").orderBy("whole", "float", "string")
+    """The ``limit`` smallest distinct values of each column as an array of texts: ``(cid, samples)``.
+
+    A first scan bounds them, so that the second one exchanges only values that may be among them.
+    """
+    columns = list(columns)
+    bounds = _upper_bounds(df, columns, limit)
+    order = {f.name: _sample_order(f) for f in fields_of(df, columns)}
+    kept = df.select(
+        *[(col(n) if bounds[n] is None else F.when(order[n] <= F.lit(bounds[n]), col(n))).alias(n) for n in columns]
+    )
+    rank = Window.partitionBy("cid").orderBy("whole", "float", "string")
     first = (
-        value_frequencies(df, columns)
+        value_frequencies(kept, columns)
         .where(has_value())
-        .withColumn("rank", F.row_number().over(order))
+        .withColumn("rank", F.row_number().over(rank))
         .where(F.col("rank") <= limit)
     )
     listed = first.groupBy("cid").agg(

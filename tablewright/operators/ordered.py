@@ -41,11 +41,16 @@ class OrderedRows:
             .drop("__id")
         )
         self.rows = materialize(numbered)
+        self.ranges = self.rows._jdf.queryExecution().toRdd().getNumPartitions()
 
     def _with_range_table(self, rows: DataFrame, table: DataFrame) -> DataFrame:
-        """Attach a table with one row per range. The number of ranges is the number of shuffle partitions."""
+        """Attach a table with one row per range, of which there are at most ``MAX_RANGES``."""
         return rows.join(F.broadcast(table), _RANGE, "left")
 
+    def _apart(self) -> DataFrame:
+        """The rows with one partition for each range, as windows over ranges need them."""
+        return self.rows.repartitionById(self.ranges, _RANGE)
+
     def _earlier(self) -> Window:
         return Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
 
@@ -62,8 +67,8 @@ class OrderedRows:
 
     def with_running_sum(self, value: Column, name: str) -> DataFrame:
         """Sum of ``value`` over all rows up to and including the current one."""
-        rows = self.rows.withColumn("__value", value)
-        sums = rows.groupBy(_RANGE).agg(F.sum("__value").alias("__sum"))
+        rows = self._apart().withColumn("__value", value)
+        sums = self.rows.withColumn("__value", value).groupBy(_RANGE).agg(F.sum("__value").alias("__sum"))
         starts = sums.select(_RANGE, F.coalesce(F.sum("__sum").over(self._earlier()), F.lit(0)).alias("__start"))
         inside = Window.partitionBy(_RANGE).orderBy(_PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         running = self._with_range_table(rows.withColumn("__running", F.sum("__value").over(inside)), starts)
@@ -89,7 +94,7 @@ class OrderedRows:
             *[F.last(f"__last{i}", ignorenulls=True).over(self._earlier()).alias(f"__from_before{i}") for i in range(len(names))],
             *[F.last(f"__first{i}", ignorenulls=True).over(self._later()).alias(f"__from_after{i}") for i in range(len(names))],
         )
-        inside = self.rows.select(
+        inside = self._apart().select(
             "*",
             *[F.last(value[n], ignorenulls=True).over(back).alias(f"__back{i}") for i, n in enumerate(names)],
             *[F.last(value[n], ignorenulls=True).over(ahead).alias(f"__ahead{i}") for i, n in enumerate(names)],

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 # Settings the operators were written for. Shuffle partitions are left to the cluster: adaptive execution
 # merges small ones and splits skewed ones.
@@ -61,10 +61,35 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: Ranges that one sort may have. Each is a row in the small table that carries counts and values from range to range.
+MAX_RANGES = 1_000_000
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Size of the rows by one aggregate over them: lengths of texts, binaries and nested values, and fixed widths.
+
+    Columns of fixed width are not read for it. Nothing is taken from the optimizer, whose estimate of a join or of rows
+    that were never written can be wrong by any factor.
+    """
+    fixed, lengths = 16, []
+    for field in df.schema.fields:
+        value = F.col("`" + field.name.replace("`", "``") + "`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            lengths.append(F.coalesce(F.sum(F.octet_length(value)), F.lit(0)))
+        elif isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType, T.VariantType)):
+            lengths.append(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(value)))), F.lit(0)))
+        else:
+            fixed += 16 if isinstance(field.dataType, T.DecimalType) else 8
+    rows, text = df.agg(F.count(F.lit(1)), sum(lengths, F.lit(0)).cast("decimal(38,0)")).first()
+    return rows * (fixed + 8 * len(lengths)) + int(text)
+
+
 def range_partitions(df: DataFrame, target_bytes: int = 256 << 20) -> int | None:
     """Number of ranges for a sort when the configured shuffle partitions would be too big; otherwise ``None``."""
     configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = -(-estimated_bytes(df) // target_bytes)
+    wanted = -(-measured_bytes(df) // target_bytes)
+    if wanted > MAX_RANGES:
+        raise ValueError(f"{wanted} ranges of {target_bytes} bytes: allow larger ones")
     return wanted if wanted > configured else None
 
 

@@ -5,18 +5,17 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tablewright.functions.text import strip
 from tablewright.operators.typing import retype_text
+from tablewright.session import materialize
 from tablewright.types import col
 
 # Possessive quantifiers keep long texts from recursing.
 _LITERAL = r"'(?:[^']++|'')*+'"
 _QUOTED = rf'{_LITERAL}|"[^"]*+"|`[^`]*+`'
 _COMMENT = r"--[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/"
-# Anything up to a semicolon that is outside literals, quoted names and comments.
-_STATEMENT = rf"""(?s)((?:[^;'"`/-]++|{_QUOTED}|{_COMMENT}|/(?!\*)|-(?!-))++)"""
 _TUPLE = rf"\((?:[^()']++|{_LITERAL}|\([^()]*+\))*+\)"
 _ROW = rf"\(((?:[^()']++|{_LITERAL}|\([^()]*+\))*+)\)"
 _FIELD = rf"((?:{_LITERAL}|\([^()]*+\)|[^,'(])++)"
@@ -31,19 +30,105 @@ _CONSTRAINTS = {"primary", "unique", "constraint", "foreign", "check", "key", "i
 _TEXT_TYPES = ("char", "varchar", "nvarchar", "nchar", "text", "clob", "string", "uuid", "json", "enum", "longtext", "mediumtext", "tinytext")
 
 
-def _statements(spark: SparkSession, path) -> DataFrame:
-    """(file, place, sql): statements without comments, cut at semicolons outside literals and comments.
+# What a text can be inside of at some place, and how that begins: code, a literal, quoted names, a comment.
+_OPENERS = ["", "'", '"', "`", "/*"]
+_OPEN = r"""'(?:[^']++|'')*+\z|"[^"]*+\z|`[^`]*+\z|/\*(?:[^*]++|\*(?!/))*+\z"""
+#: A statement with its semicolon, from the end of the one before.
+_ENDED = rf"""(?s)\G((?:[^;'"`/-]++|{_QUOTED}|{_COMMENT}|/(?!\*)|-(?!-)|{_OPEN})*+);"""
+#: Bytes of a block, from line to line.
+BLOCK_BYTES = 1 << 20
+_SPLIT, _BLOCK = ["file", "start"], ["file", "start", "block"]
+
+
+def _opened(text: Column, state: int) -> Column:
+    return F.concat(F.lit(_OPENERS[state]), text) if state else text
+
+
+def _end_state(text: Column, state: int) -> Column:
+    """What the text leaves open if it begins in ``state``: the first opening mark that no closed one explains."""
+    left = F.regexp_replace(_opened(text, state), rf"(?s){_QUOTED}|{_COMMENT}", " ")
+    mark = F.regexp_extract(left, r"""(?s)('|"|`|/\*)""", 1)
+    return F.coalesce(*[F.when(mark == opener, F.lit(i)) for i, opener in enumerate(_OPENERS) if i], F.lit(0))
+
+
+def _blocks(spark: SparkSession, path, block_bytes: int) -> DataFrame:
+    """(file, start, block, text): runs of whole lines of about ``block_bytes`` inside the splits in which files are read."""
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"), "value",
+    )
+    before = Window.partitionBy(*_SPLIT).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.coalesce(F.sum(F.octet_length("value") + 1).over(before), F.lit(0))
+    numbered = lines.withColumn("block", F.floor(size / block_bytes).cast("long"))
+    held = F.array_sort(F.collect_list(F.struct("line", "value")))
+    return numbered.groupBy(*_BLOCK).agg(F.array_join(F.transform(held, lambda x: x["value"]), "\n").alias("text"))
 
-    A dump is one task, because only its beginning tells what is inside a literal; write large dumps as several files. A
-    text that ends inside a literal or comment raises.
+
+def _block_states(blocks: DataFrame) -> DataFrame:
+    """(file, start, block, state): what each block begins inside of.
+
+    A block maps each state at its beginning to one at its end, whatever comes before it. These maps are composed: over
+    the blocks of a split, then over the splits of a file, where one row stands for each. A file that ends inside a literal,
+    a quoted name or a comment raises.
     """
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    left = F.regexp_replace("value", _STATEMENT, "")
-    whole = F.when(left.rlike(r"^;*$"), F.regexp_extract_all("value", F.lit(_STATEMENT), 1)).otherwise(
-        F.raise_error(F.concat(F.lit("a literal or comment does not end in "), "file")).cast("array<string>")
+    states = range(len(_OPENERS))
+    step = F.array(*[_end_state(F.col("text"), s) for s in states])
+    maps = materialize(blocks.select(*_BLOCK, step.alias("step")))
+    listed = F.array_sort(F.collect_list(F.struct("block", "step")))
+    same = F.array(*[F.lit(s) for s in states])
+
+    def then(state: Column, step: Column) -> Column:
+        return F.transform(state, lambda s: F.element_at(step, s + 1))
+
+    splits = maps.groupBy(*_SPLIT).agg(listed.alias("blocks"))
+    splits = splits.withColumn("step", F.aggregate("blocks", same, lambda state, x: then(state, x["step"])))
+    begun = F.struct(F.lit(0).alias("state"), F.array().cast("array<struct<key: bigint, state: int>>").alias("seen"))
+
+    def walk(entries: str, key: str, first: Column) -> Column:
+        """The state before each entry, and after the last one."""
+        start = F.struct(first.alias("state"), begun["seen"].alias("seen"))
+        return F.aggregate(entries, start, lambda acc, x: F.struct(
+            F.element_at(x["step"], acc["state"] + 1).alias("state"),
+            F.concat(acc["seen"], F.array(F.struct(x[key].alias("key"), acc["state"].alias("state")))).alias("seen"),
+        ))
+
+    files = splits.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("start", "step"))).alias("splits"))
+    walked = files.select("file", walk("splits", "start", F.lit(0)).alias("way"))
+    ended = F.when(F.col("way.state") == 0, F.col("way.seen")).otherwise(
+        F.raise_error(F.concat(F.lit("a literal or comment does not end in "), "file")).cast("array<struct<key: bigint, state: int>>")
     )
+    starts = walked.select("file", F.inline(ended)).select("file", F.col("key").alias("start"), F.col("state").alias("first"))
+    placed = splits.join(starts, _SPLIT).select(*_SPLIT, walk("blocks", "block", F.col("first")).alias("way"))
+    return placed.select(*_SPLIT, F.inline("way.seen")).select(*_SPLIT, F.col("key").alias("block"), "state")
+
+
+def _statements(spark: SparkSession, path, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(file, place, sql): statements without comments, cut at semicolons outside literals and comments.
+
+    A file is read by as many tasks as it has splits. Blocks are cut once it is known what they begin inside of; a
+    statement that lies in several blocks is put together again. A text that ends inside a literal or comment raises.
+    """
+    blocks = materialize(_blocks(spark, path, block_bytes))
+    stated = blocks.join(_block_states(blocks), _BLOCK)
+    state = F.col("state")
+    text = F.concat(F.element_at(F.array(*map(F.lit, _OPENERS)), state + 1), "text")
+    ended = F.regexp_extract_all(text, F.lit(_ENDED), 1)
+    pieces = F.concat(ended, F.array(F.regexp_replace(text, _ENDED, "")))
+    # What opens a block in the middle of a literal was put in front of it only to read it.
+    bare = F.transform(pieces, lambda p, i: F.when(i == 0, F.substring(p, F.length(F.element_at(F.array(*map(F.lit, _OPENERS)), state + 1)) + 1, F.length(p))).otherwise(p))
+    cut = materialize(stated.select(*_BLOCK, bare.alias("pieces")))
+    # One row for each block of a file.
+    earlier = Window.partitionBy("file").orderBy("start", "block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = cut.select(*_BLOCK, (F.size("pieces") - 1).cast("long").alias("n")).select(*_BLOCK, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    placed = cut.join(bases, _BLOCK).select(
+        *_BLOCK, "base", (F.size("pieces") - 1).alias("last"), F.posexplode("pieces").alias("i", "piece")
+    ).withColumn("place", F.col("base") + F.col("i"))
+    inner = (F.col("i") > 0) & (F.col("i") < F.col("last"))
+    whole = placed.where(inner).select("file", "place", F.col("piece").alias("sql"))
+    held = F.array_sort(F.collect_list(F.struct("start", "block", "piece")))
+    joined = placed.where(~inner).groupBy("file", "place").agg(F.array_join(F.transform(held, lambda x: x["piece"]), "\n").alias("sql"))
     code = F.regexp_replace("sql", rf"(?s)({_QUOTED})|{_COMMENT}", "$1")
-    return texts.select("file", F.posexplode(whole).alias("place", "sql")).select("file", "place", strip(code).alias("sql")).where("sql <> ''")
+    return materialize(whole.unionByName(joined).select("file", "place", strip(code).alias("sql")).where("sql <> ''"))
 
 
 def _names(text: str) -> list[str]:

@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from tablewright.session import measured_bytes, range_partitions
 from tablewright.operators.missing import MissingValueFiller
 from tablewright.operators.ordered import OrderedRows
 from tablewright.operators.quantiles import centres, exact_quantiles
@@ -109,3 +110,42 @@ def test_mean_of_window_free_numbers(spark):
     values = [float(v) for v in range(101)]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     assert centres(df, ["x"], [0.5])["x"].mean == statistics.mean(values)
+
+
+def test_ranges_do_not_follow_the_optimizer(spark):
+    """Estimates of joins and of rows that were never written are no basis for the number of ranges."""
+    folder = "/root/testdata/sf0.01"
+    lineitem, orders, customer = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("lineitem", "orders", "customer"))
+    joined = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey).join(customer, orders.o_custkey == customer.c_custkey)
+    totals = lineitem.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("n"))
+    given = spark.createDataFrame([(i, "x" * (i % 5)) for i in range(50)], "a long, s string")
+    for df, keys in ((joined, ["l_orderkey", "l_linenumber"]), (totals, ["l_orderkey"]), (given, ["a"]), (given.where("false"), ["a"])):
+        rows = OrderedRows(df, keys)
+        assert rows.ranges <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+        numbers = rows.with_index("i").agg(F.count("i"), F.count_distinct("i"), F.min("i"), F.max("i")).first()
+        n = df.count()
+        assert tuple(numbers) == ((n, n, 0, n - 1) if n else (0, 0, None, None))
+
+
+def test_more_ranges_for_larger_rows(spark):
+    df = spark.range(4000).select("id", F.repeat(F.lit("x"), 1000).alias("text"))
+    size = measured_bytes(df)
+    assert 4_000_000 <= size <= 4_300_000
+    assert range_partitions(df, target_bytes=size // 9) == 10 and range_partitions(df) is None
+    with pytest.raises(ValueError):
+        range_partitions(df, target_bytes=1)
+
+
+def test_windows_meet_one_range_for_each_task(spark):
+    """Ranges are dealt by their number, so no two of them share a task."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = OrderedRows(spark.range(1000).withColumn("v", F.col("id") % 3), ["id"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert rows.ranges == 4
+    running = rows.with_running_sum(F.col("v"), "s")
+    plan = running._jdf.queryExecution().executedPlan().toString()
+    # Only the sums, one row for each range, are dealt by hash.
+    assert plan.count("shufflepartitionidpassthrough") == 1 and plan.count("hashpartitioning(__range") == 1
+    assert [r.s for r in running.orderBy("id").collect()][-1] == sum(i % 3 for i in range(1000))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators.ddl import SqlScript
 from tablewright.sinks.files import report_document, write_csv, write_json, write_report, write_sql
+from tablewright.sources import sqldump
 from tablewright.sources.delimited import detect_separator, read_delimited
 from tablewright.sources.files import list_files, read_any
 from tablewright.sources.nested import read_json, read_xml
@@ -194,3 +195,47 @@ def test_reports(spark, tmp_path):
     assert report_document(sections).first()[0] == '{"a":[{"x":1,"y":null}],"b":[]}'
     write_report(sections, str(tmp_path / "r"), info=spark.createDataFrame([("n", "t")], "key string, value string"))
     assert spark.read.json(str(tmp_path / "r" / "info")).count() == 1
+
+
+@pytest.mark.parametrize("split, block", [(64, 16), (1 << 20, 1 << 20)])
+def test_one_dump_over_many_splits(spark, tmp_path, split, block):
+    """Literals, names, comments, tuples and statements that cross splits and blocks give the rows of a dump read at once."""
+    rows = [(i, ["plain", "it's; (ok)", "two\nlines; -- no comment", "/* no comment */ '", 'a "quoted"; `name`', ""][i % 6] * (1 + i % 3)) for i in range(120)]
+    literal = lambda t: "'" + t.replace("'", "''") + "'"
+    dump = "-- it's; a comment\r\nCREATE TABLE t (a INT, b TEXT);\n/* a ' long;\n comment\n; */\n"
+    for n in range(0, 120, 5):
+        dump += "INSERT INTO t (a,\n b)\nVALUES " + ",\n".join(f"({a},\n {literal(b)})" for a, b in rows[n : n + 5]) + "; /* ; */ INSERT INTO \"o;\nther\" VALUES (1);\n"
+    (tmp_path / "d.sql").write_text(dump, newline="")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    opens = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        statements = sqldump._statements(spark, f"{tmp_path}/d.sql", block)
+        assert statements.count() == 49
+        blocks = sqldump._blocks(spark, f"{tmp_path}/d.sql", block)
+        assert blocks.select("start").distinct().count() >= min(90, len(dump.encode()) // split)
+        got = read_any(spark, f"{tmp_path}/d.sql", "sql")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.set("spark.sql.files.openCostInBytes", opens)
+    assert sorted(map(tuple, got.collect())) == sorted(rows)
+
+
+def test_dump_that_ends_inside_a_literal(spark, tmp_path):
+    (tmp_path / "d.sql").write_text("INSERT INTO t VALUES ('a');\nINSERT INTO t VALUES ('b);\n")
+    with pytest.raises(Exception, match="does not end"):
+        read_any(spark, f"{tmp_path}/d.sql", "sql")
+
+
+def test_quoted_line_breaks_are_not_broken_silently(spark, tmp_path, rows):
+    path = put(tmp_path / "q.csv", 'id,name,note\n1,"two\nlines",x\n2,"a, ""b""",y\n')
+    with pytest.raises(ValueError, match="multiline=True"):
+        read_delimited(spark, path)
+    assert rows(read_delimited(spark, path, multiline=True)) == [(1, "two\nlines", "x"), (2, 'a, "b"', "y")]
+    last = put(tmp_path / "last.csv", 'id,note\r\n1,"two\r\nlines"\r\n')
+    with pytest.raises(ValueError, match="multiline=True"):
+        read_delimited(spark, last)
+    # Quotes inside unquoted cells, closed cells, doubled quotes and empty cells are no open ones.
+    fine = put(tmp_path / "fine.csv", 'id,name,note\n1,5" pipe,"x"\n2,"",""""\n3,"a,b",c"\n')
+    assert read_delimited(spark, fine, types=False).count() == 3
