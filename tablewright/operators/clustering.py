@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
-from tablewright.session import spread
-from tablewright.types import NUMERIC, columns_of, number
+from tablewright.operators.deal import dealt
+from tablewright.types import NUMERIC, col, columns_of, number
 
 # Largest number of clusters tried, and the least number of rows.
 MAX_CLUSTERS = 10
 MIN_ROWS = 10
 SEED = 42
+#: Rounds after which a fit that still moves is taken as it is.
+MAX_ROUNDS = 300
 
 
 def choose_k(costs: Sequence[float], rule: str = "elbow") -> int:
@@ -40,12 +43,66 @@ def scaled_vectors(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     names = [c for c in (columns or columns_of(df, NUMERIC)) if c in columns_of(df, NUMERIC)]
     if len(names) < 2:
         raise ValueError("clustering needs two numeric columns")
-    values = spread(df.select(*[F.coalesce(number(df.schema[n]), F.lit(0.0)).alias(f"x{i}") for i, n in enumerate(names)]))
+    values = df.select(*[F.coalesce(number(df.schema[n]), F.lit(0.0)).alias(f"x{i}") for i, n in enumerate(names)])
+    values = dealt(values, df.count())
     vectors = VectorAssembler(inputCols=values.columns, outputCol="raw").transform(values)
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(vectors)
     return scaler.transform(vectors).drop("raw")
 
 
+@dataclass
+class Clustering:
+    """A fitted clustering at its fixpoint: every row belongs to the nearest centre, every centre is the mean of its rows."""
+
+    names: list[str]
+    k: int
+    cost: float
+    #: Numeric columns x0, x1, ... (missing as 0), their standardized vector ``features``, and ``prediction``.
+    assigned: DataFrame
+    #: Standardized centres.
+    centres: list[list[float]]
+    #: The scaled rows, persisted until ``release`` is called.
+    scaled: DataFrame
+
+    def release(self) -> None:
+        self.scaled.unpersist()
+
+    def assignments(self) -> DataFrame:
+        """The numeric columns of each row under their names, and ``cluster``. Rows are in no order; equal rows stay."""
+        return self.assigned.select(*[F.col(f"x{i}").alias(n) for i, n in enumerate(self.names)], F.col("prediction").alias("cluster"))
+
+    def centre_table(self) -> DataFrame:
+        """``(cluster, column, centre)``: the standardized centres, a row per cluster and column."""
+        rows = [(c, n, float(v)) for c, centre in enumerate(self.centres) for n, v in zip(self.names, centre)]
+        return self.assigned.sparkSession.createDataFrame(rows, "cluster int, column string, centre double")
+
+
+def fit_clusters(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    k: int | None = None,
+    max_k: int = MAX_CLUSTERS,
+    rule: str = "elbow",
+    seed: int = SEED,
+) -> Clustering:
+    """K-means with the given or the best number of clusters; the chosen fit goes on until no centre moves.
+
+    The scaled rows stay persisted for the result; its ``release`` ends that.
+    """
+    names = [c for c in (columns or columns_of(df, NUMERIC)) if c in columns_of(df, NUMERIC)]
+    data = scaled_vectors(df, names).persist(StorageLevel.MEMORY_AND_DISK)
+    total = data.count()
+    if total < MIN_ROWS:
+        data.unpersist()
+        raise ValueError(f"clustering needs {MIN_ROWS} rows, got {total}")
+    if k is None:
+        top = max(2, min(max_k, total // 2))
+        k = choose_k([KMeans(k=i, seed=seed).fit(data).summary.trainingCost for i in range(2, top + 1)], rule)
+    model = KMeans(k=k, seed=seed, tol=0.0, maxIter=MAX_ROUNDS).fit(data)
+    centres = [[float(v) for v in c] for c in model.clusterCenters()]
+    return Clustering(names, k, float(model.summary.trainingCost), model.transform(data), centres, data)
+
+
 def clusters(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -55,41 +112,63 @@ def clusters(
     seed: int = SEED,
 ) -> DataFrame:
     """``(cluster, k, size, percentage, column, mean_value, silhouette)``: a row per cluster and numeric column."""
-    names = [c for c in (columns or columns_of(df, NUMERIC)) if c in columns_of(df, NUMERIC)]
-    data = scaled_vectors(df, names).persist(StorageLevel.MEMORY_AND_DISK)
+    fit = fit_clusters(df, columns, k, max_k, rule, seed)
+    names, assigned = fit.names, fit.assigned.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        total = data.count()
-        if total < MIN_ROWS:
-            raise ValueError(f"clustering needs {MIN_ROWS} rows, got {total}")
-        if k is None:
-            top = max(2, min(max_k, total // 2))
-            tried = [KMeans(k=i, seed=seed).fit(data) for i in range(2, top + 1)]
-            k = choose_k([model.summary.trainingCost for model in tried], rule)
-            model = tried[k - 2]
-        else:
-            model = KMeans(k=k, seed=seed).fit(data)
-        assigned = model.transform(data).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            silhouette = silhouette_score(assigned)
-            means = assigned.groupBy("prediction").agg(
-                F.count(F.lit(1)).alias("size"), *[F.avg(f"x{i}").alias(f"x{i}") for i in range(len(names))]
-            )
-            rows = [
-                (r["prediction"], k, r["size"], r["size"] * 100.0 / total, name, r[f"x{i}"], silhouette)
-                for r in means.orderBy("prediction").collect()
-                for i, name in enumerate(names)
-            ]
-        finally:
-            assigned.unpersist()
+        score = silhouette_score(assigned)
+        means = assigned.groupBy("prediction").agg(
+            F.count(F.lit(1)).alias("size"), *[F.avg(f"x{i}").alias(f"x{i}") for i in range(len(names))]
+        ).orderBy("prediction").collect()
     finally:
-        data.unpersist()
+        assigned.unpersist()
+        fit.release()
+    total = sum(r["size"] for r in means)
+    rows = [
+        (r["prediction"], fit.k, r["size"], r["size"] * 100.0 / total, name, r[f"x{i}"], score)
+        for r in means
+        for i, name in enumerate(names)
+    ]
     return df.sparkSession.createDataFrame(
         rows, "cluster int, k int, size bigint, percentage double, column string, mean_value double, silhouette double"
     )
 
 
+def silhouettes(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
+    """``df`` with the silhouette of each row for the groups in ``label``, with squared Euclidean distance.
+
+    The mean squared distance of a row to a group follows from the group's size, sum and sum of squares, so one
+    aggregate with a row per group and one projection are all it takes. Missing numbers count as 0. A row that is alone in
+    its group has 0, as has every row if there is but one group; rows without label have none. The number of groups
+    must be small enough for a list in a query.
+    """
+    names = list(columns)
+    number_of = {n: F.coalesce(number(df.schema[n]), F.lit(0.0)) for n in names}
+    square = sum((number_of[n] * number_of[n] for n in names), F.lit(0.0))
+    groups = df.where(col(label).isNotNull()).groupBy(col(label).alias("label")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(square).alias("squares"), *[F.avg(number_of[n]).alias(f"m{i}") for i, n in enumerate(names)]
+    ).orderBy("label").collect()
+
+    def distance(g) -> Column:
+        inner = sum((number_of[n] * F.lit(g[f"m{i}"]) for i, n in enumerate(names)), F.lit(0.0))
+        return F.greatest(square - F.lit(2.0) * inner + F.lit(g["squares"]), F.lit(0.0))
+
+    own, others = F.lit(None).cast("double"), []
+    for g in groups:
+        mine = col(label) == F.lit(g["label"])
+        # Without the row itself, whose distance to itself is 0.
+        own = F.when(mine, distance(g) * F.lit(g["n"] / (g["n"] - 1.0)) if g["n"] > 1 else F.lit(None).cast("double")).otherwise(own)
+        others.append(F.when(~mine, distance(g)))
+    other = F.least(*others) if len(others) > 1 else F.lit(None).cast("double")
+    spread_out = F.greatest(own, other)
+    value = F.when(own.isNull() | other.isNull() | (spread_out == 0), 0.0).otherwise((other - own) / spread_out)
+    return df.withColumn("silhouette", F.when(col(label).isNotNull(), value))
+
+
 def silhouette_score(assigned: DataFrame) -> float:
-    """Silhouette with squared Euclidean distance, whose cost grows linearly with the rows; 0 for a single cluster."""
+    """Mean silhouette of a fit, with squared Euclidean distance between its vectors; 0 for a single cluster.
+
+    The same measure as :func:`silhouettes`, from vectors instead of columns.
+    """
     low, high = assigned.agg(F.min("prediction"), F.max("prediction")).first()
     if low == high:
         return 0.0

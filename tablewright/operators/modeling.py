@@ -9,8 +9,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
+from tablewright.operators.deal import dealt
 from tablewright.operators.quantiles import quantiles
-from tablewright.session import spread
 from tablewright.types import NUMERIC, columns_of, number
 
 # Number of targets, split, and size of the forest.
@@ -45,13 +45,14 @@ def predictive_models(
     """One forest per target with all other numeric columns as features: a row per (target, feature).
 
     Rows are assigned to training or test by a hash of their content, so a recomputed partition gets the same rows
-    again and equal rows never sit on both sides.
+    again and equal rows never sit on both sides. They are dealt to tasks by content as well, so the forest does not
+    depend on the cluster or on the partitions in which the rows come.
     """
     names = columns_of(df, NUMERIC)
     if len(names) < 2:
         raise ValueError("modeling needs two numeric columns")
     chosen = [t for t in (targets or names[:max_targets]) if t in names]
-    data = spread(_filled(df, names, exact))
+    data = dealt(_filled(df, names, exact), df.count())
     lot = F.pmod(F.xxhash64(F.lit(seed), *data.columns), F.lit(10_000))
     data = data.withColumn("train", lot < int(TRAIN_SHARE * 10_000)).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []

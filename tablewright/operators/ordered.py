@@ -41,7 +41,8 @@ class OrderedRows:
             .drop("__id")
         )
         self.rows = materialize(numbered)
-        self.ranges = self.rows._jdf.queryExecution().toRdd().getNumPartitions()
+        # A table without rows may have no partition at all.
+        self.ranges = max(1, self.rows._jdf.queryExecution().toRdd().getNumPartitions())
 
     def _with_range_table(self, rows: DataFrame, table: DataFrame) -> DataFrame:
         """Attach a table with one row per range, of which there are at most ``MAX_RANGES``."""

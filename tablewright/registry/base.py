@@ -56,6 +56,14 @@ VIEWS = {
     "consts": """
         SELECT l_orderkey, l_linenumber, l_quantity, CAST(5 AS DOUBLE) AS konst, CAST(NULL AS DOUBLE) AS empty
         FROM {lineitem}""",
+    # Four groups on a line, far apart beside what tells their rows apart. Every line item twice.
+    "planted": """
+        SELECT 1000 * (l_orderkey % 4) + l_discount AS u, 700 * (l_orderkey % 4) + 0.01 * (l_linenumber % 3) AS v FROM {lineitem}
+        UNION ALL SELECT 1000 * (l_orderkey % 4) + l_discount, 700 * (l_orderkey % 4) + 0.01 * (l_linenumber % 3) FROM {lineitem}""",
+    # Few rows, mostly empty texts.
+    "sparse": """
+        SELECT n_nationkey, CASE WHEN n_nationkey % 9 = 0 THEN n_name END AS name,
+          CASE WHEN n_nationkey % 8 = 0 THEN concat(n_name, '; ', n_name, '; ', n_name) END AS note FROM {nation}""",
     # A flag with gaps.
     "flags": """
         SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice > 200000 END AS is_big

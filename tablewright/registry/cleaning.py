@@ -115,23 +115,23 @@ def combine_shared_columns(spark, sf_dir):
 
 
 @query(
-    """SELECT r_regionkey::VARCHAR AS r_regionkey, r_name, NULL::VARCHAR AS label_quality, NULL::VARCHAR AS label_doc FROM region
-    UNION ALL SELECT DISTINCT NULL, NULL, quality::VARCHAR, doc_id::VARCHAR FROM labels"""
+    """SELECT r_regionkey::VARCHAR AS r_regionkey, r_name, NULL::VARCHAR AS doc_id, NULL::VARCHAR AS quality, NULL::VARCHAR AS toxic FROM region
+    UNION ALL SELECT DISTINCT NULL, NULL, doc_id::VARCHAR, quality::VARCHAR, toxic::VARCHAR FROM labels"""
 )
 def combine_disjoint_columns(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels").select(F.col("quality").alias("label_quality"), F.col("doc_id").alias("label_doc"))
-    combined = combine.combine_tables([table(spark, sf_dir, "region"), labels])
-    return combined.select(*[F.col(c).cast("string").alias(c) for c in ("r_regionkey", "r_name", "label_quality", "label_doc")])
+    combined = combine.combine_tables([table(spark, sf_dir, "region"), table(spark, sf_dir, "labels")])
+    return combined.select(*[F.col(c).cast("string").alias(c) for c in combined.columns])
 
 
 @query(
-    """SELECT doc_id AS id, text, 'documents' AS _source FROM documents
-    UNION ALL SELECT item_id, text, 'benchmark' FROM benchmark UNION ALL SELECT conv_id, text, 'conversations' FROM conversations"""
+    """SELECT doc_id::VARCHAR AS doc_id, text, lang, source, n_chars::VARCHAR AS n_chars, 'documents' AS _source, NULL AS item_id,
+      NULL AS conv_id, NULL AS turn, NULL AS role FROM documents
+    UNION ALL SELECT NULL, text, NULL, NULL, NULL, 'benchmark', item_id::VARCHAR, NULL, NULL, NULL FROM benchmark
+    UNION ALL SELECT NULL, text, NULL, NULL, NULL, 'conversations', NULL, conv_id::VARCHAR, turn::VARCHAR, role FROM conversations"""
 )
 def union_text_sources(spark, sf_dir):
-    ids = {"documents": "doc_id", "benchmark": "item_id", "conversations": "conv_id"}
-    sources = {n: table(spark, sf_dir, n).select(F.col(c).alias("id"), "text") for n, c in ids.items()}
-    return combine.union_sources(sources)
+    united = combine.union_sources({n: table(spark, sf_dir, n) for n in ("documents", "benchmark", "conversations")})
+    return united.select(*[F.col(c).cast("string").alias(c) for c in united.columns])
 
 
 # ---- missing values ----------------------------------------------------------------------------------------
@@ -383,14 +383,19 @@ def cleaned_part(spark, sf_dir):
 
 
 @query(
-    f"""WITH a AS (SELECT c_custkey AS id, 'XXX-XX-' || {_LAST4.format("c_name")} AS name, c_nationkey AS nation FROM customer),
-    b AS (SELECT s_suppkey AS id, 'XXX-XX-' || {_LAST4.format("s_name")} AS name, s_nationkey AS nation FROM supplier)
-    SELECT DISTINCT id, name, nation FROM (SELECT * FROM a UNION ALL SELECT * FROM b)"""
+    f"""WITH a AS (SELECT c_custkey AS id, 'XXX-XX-' || {_LAST4.format("c_name")} AS name, c_nationkey AS nation, c_acctbal AS price FROM customer),
+    fa AS ({_fence("price", "a")}),
+    b AS (SELECT s_suppkey AS id, 'XXX-XX-' || {_LAST4.format("s_name")} AS name, s_nationkey AS nation, s_acctbal AS price FROM supplier),
+    fb AS ({_fence("price", "b")}),
+    ca AS (SELECT id, name, nation, round(least(greatest(price, lo), hi), 6) AS price FROM a, fa),
+    cb AS (SELECT id, name, nation, round(least(greatest(price, lo), hi), 6) AS price FROM b, fb)
+    SELECT DISTINCT id, name, nation, price FROM (SELECT * FROM ca UNION ALL SELECT * FROM cb)"""
 )
 def cleaned_sources(spark, sf_dir):
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey").toDF("Key", "Name", "Nation")
-    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey").toDF("uid", "full name", "Nation")
+    """Customers and suppliers with all their columns; one source has a column more, which a union by name leaves out."""
+    customers = table(spark, sf_dir, "customer").toDF("Key", "Name", "Nation", "Amount", "Segment")
+    suppliers = table(spark, sf_dir, "supplier").toDF("uid", "full name", "Nation", "AMOUNT ")
     plan = CleaningPlan(CleaningOptions(order_by=["id"], near_duplicates=True))
     # Each source has its own key name, so they are cleaned under the standard names.
     named = {"customers": customers, "suppliers": suppliers}
-    return plan.clean_sources({name: naming.standardize_columns(df) for name, df in named.items()})
+    return rounded(plan.clean_sources({name: naming.standardize_columns(df) for name, df in named.items()}))

@@ -41,19 +41,24 @@ def column_counts_embeddings(spark, sf_dir):
     return rounded(profile.column_counts(table(spark, sf_dir, "embeddings")).drop("cid", "data_type", "category"))
 
 
+_ORDER_TYPES = dict(zip(ORDERS, ["bigint", "bigint", "string", "double", "timestamp_ntz", "string"]))
+_ORDER_CLASSES = {"bigint": "numeric", "double": "numeric", "string": "text", "timestamp_ntz": "datetime"}
+
+
+def _five_smallest(t: str, c: str) -> str:
+    return f"(SELECT string_agg(v::VARCHAR, ' | ' ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM {t} WHERE {c} IS NOT NULL ORDER BY 1 LIMIT 5))"
+
+
 @query(
-    """SELECT 'o_orderkey' AS "column", 'bigint' AS data_type, 'numeric' AS category, min(o_orderkey)::VARCHAR AS first_value
-    FROM orders_dirty
-    UNION ALL SELECT 'o_custkey', 'bigint', 'numeric', min(o_custkey)::VARCHAR FROM orders_dirty
-    UNION ALL SELECT 'o_orderstatus', 'string', 'text', min(o_orderstatus) FROM orders_dirty
-    UNION ALL SELECT 'o_totalprice', 'double', 'numeric', min(o_totalprice)::VARCHAR FROM orders_dirty
-    UNION ALL SELECT 'o_orderdate', 'timestamp_ntz', 'datetime', min(o_orderdate)::VARCHAR FROM orders_dirty
-    UNION ALL SELECT 'o_orderpriority', 'string', 'text', min(o_orderpriority) FROM orders_dirty"""
+    "\nUNION ALL ".join(
+        f"""SELECT '{c}' AS "column", '{kind}' AS data_type, '{_ORDER_CLASSES[kind]}' AS category, {_five_smallest("orders_dirty", c)} AS samples"""
+        for c, kind in _ORDER_TYPES.items()
+    )
 )
 def column_types_and_samples(spark, sf_dir):
     df = table(spark, sf_dir, "orders_dirty")
     kinds = profile.column_counts(df).select("cid", "column", "data_type", "category")
-    samples = profile.sample_values(df).select("cid", F.col("samples")[0].alias("first_value"))
+    samples = profile.sample_values(df).select("cid", F.array_join("samples", " | ").alias("samples"))
     return kinds.join(F.broadcast(samples), "cid").drop("cid")
 
 
@@ -270,14 +275,15 @@ def memory_usage_orders(spark, sf_dir):
 
 
 @query(
-    union_all(
-        f"""SELECT '<c>' AS "column", count(*) AS row_count, 6::BIGINT AS column_count, count(*) - count(<c>) AS missing_values,
-        count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM orders_dirty)) AS duplicate_rows FROM orders_dirty""",
-        ORDERS,
+    "\nUNION ALL ".join(
+        f"""SELECT '{c}' AS "column", '{kind}' AS data_type, count(*) AS row_count, 6::BIGINT AS column_count, count(*) - count({c}) AS missing_values,
+        ({_bytes_sql(c)})::BIGINT AS bytes, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM orders_dirty)) AS duplicate_rows
+        FROM orders_dirty"""
+        for c, kind in _ORDER_TYPES.items()
     )
 )
 def basic_info_orders(spark, sf_dir):
-    return overview.basic_info(table(spark, sf_dir, "orders_dirty")).drop("cid", "bytes", "data_type")
+    return overview.basic_info(table(spark, sf_dir, "orders_dirty")).drop("cid")
 
 
 @query(
@@ -532,7 +538,7 @@ def _detected_sql(t: str, columns: dict[str, tuple[str, str, str]]) -> str:
     return "\nUNION ALL ".join(
         f"""SELECT '{c}' AS "column", '{dtype}' AS data_type, '{kind}' AS category, count(*) - count({c}) AS null_count,
         round(100.0 * (count(*) - count({c})) / count(*), 6) AS null_pct, count(DISTINCT {c}) AS "distinct",
-        (SELECT string_agg(v::VARCHAR, ' | ' ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM {t} WHERE {c} IS NOT NULL ORDER BY 1 LIMIT 5)) AS samples,
+        {_five_smallest(t, c)} AS samples,
         {suggestion} AS suggested_type FROM {t}"""
         for c, (dtype, kind, suggestion) in columns.items()
     )
@@ -560,16 +566,19 @@ def detected_types_orders(spark, sf_dir):
     return rounded(found.withColumn("samples", F.array_join("samples", " | ")).drop("cid"))
 
 
-@query(
-    _detected_sql(
-        "lineitem",
-        {
-            "l_quantity": ("double", "numeric", "CASE WHEN bool_and(l_quantity % 1 = 0) THEN 'integer' END"),
-            "l_discount": ("double", "numeric", "CASE WHEN bool_and(l_discount % 1 = 0) THEN 'integer' END"),
-            "l_returnflag": ("string", "text", _category("l_returnflag")),
-        },
-    )
-)
+def _whole_floats(c: str) -> str:
+    return f"CASE WHEN bool_and(coalesce({c} % 1 = 0, false)) THEN 'integer' END"
+
+
+_LINE_TYPES = {
+    **dict.fromkeys(["l_orderkey", "l_partkey", "l_suppkey"], ("bigint", "numeric")), "l_linenumber": ("int", "numeric"),
+    **dict.fromkeys(["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ("double", "numeric")),
+    **dict.fromkeys(["l_returnflag", "l_linestatus"], ("string", "text")), "l_shipdate": ("timestamp_ntz", "datetime"),
+}
+_SUGGESTED = {"double": _whole_floats, "string": _category}
+
+
+@query(_detected_sql("lineitem", {c: (*kind, _SUGGESTED.get(kind[0], lambda c: "NULL")(c)) for c, kind in _LINE_TYPES.items()}))
 def detected_types_lineitem(spark, sf_dir):
-    found = detect_types(table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_returnflag"))
+    found = detect_types(table(spark, sf_dir, "lineitem"))
     return rounded(found.withColumn("samples", F.array_join("samples", " | ")).drop("cid"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.operators.ddl import SqlScript
-from tablewright.registry.base import query, rounded, table
+from tablewright.plans.analysis import AnalysisPlan
+from tablewright.registry.base import query, table
+from tablewright.registry.profiling import _ORDER_TYPES
 from tablewright.session import scratch_path
-from tablewright.sinks.files import report_document, write_csv, write_json, write_sql
+from tablewright.sinks.files import report_document, report_sections, write_csv, write_json, write_sql
 from tablewright.sources.files import read_any
 from tablewright.sources.texttables import table_from_text
 
@@ -152,10 +154,28 @@ def xml_long_header(spark, sf_dir):
     return read_any(spark, path, "xml", row_tag="rec")
 
 
-@query()
-def report_document_orders(spark, sf_dir):
-    from tablewright.operators.profile import column_counts
-    from tablewright.operators.quality import quality_assessment
+_REPORT_TEXT = """SELECT '$.' || key || '[' || place || '].' || field AS path, value FROM (
+    SELECT 'info' AS key, 0 AS place, 'name' AS field, 'orders' AS value UNION ALL SELECT 'info', 0, 'rows', count(*)::VARCHAR FROM orders_dirty
+    UNION ALL SELECT 'info', 0, 'columns', '6' UNION ALL SELECT 'options', 0, 'option', 'order_by' UNION ALL SELECT 'options', 0, 'value', 'o_orderkey'
+    UNION ALL SELECT 'schema', p, 'column', c FROM s UNION ALL SELECT 'schema', p, 'data_type', t FROM s
+    UNION ALL SELECT 'columns', p, 'null_count', n::VARCHAR FROM s)"""
+
 
+@query(
+    """WITH s AS ("""
+    + " UNION ALL ".join(
+        f"SELECT {i} AS p, '{c}' AS c, '{t}' AS t, count(*) - count({c}) AS n FROM orders_dirty" for i, (c, t) in enumerate(_ORDER_TYPES.items())
+    )
+    + ") " + _REPORT_TEXT
+)
+def report_document_orders(spark, sf_dir):
+    """The whole report (info, options, schema, all results of the analysis) as one document, and what is read back from it."""
     df = table(spark, sf_dir, "orders_dirty")
-    return report_document({"columns": rounded(column_counts(df)), "quality": rounded(quality_assessment(df))})
+    plan = AnalysisPlan(df, tie_break=["o_orderkey"])
+    document = report_document(report_sections(df, "orders", {"order_by": "o_orderkey"}, {**plan.sections, "insights": plan.insights()}))
+    fields = [("info", 0, f) for f in ("name", "rows", "columns")] + [("options", 0, f) for f in ("option", "value")]
+    fields += [(key, i, f) for i in range(len(df.columns)) for key, f in (("schema", "column"), ("schema", "data_type"), ("columns", "null_count"))]
+    paths = [f"$.{key}[{i}].{f}" for key, i, f in fields]
+    return document.select(F.explode(F.array(*[
+        F.struct(F.lit(p).alias("path"), F.get_json_object("document", p).alias("value")) for p in paths
+    ])).alias("r")).select("r.*")

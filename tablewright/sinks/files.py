@@ -40,6 +40,17 @@ def write_report(sections: Mapping[str, DataFrame], path: str, info: DataFrame |
         df.write.mode(mode).json(f"{path.rstrip('/')}/{name}")
 
 
+def report_sections(df: DataFrame, name: str, options: Mapping[str, str], results: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """All that a report of one table holds: ``info``, ``options``, ``schema``, then the results. Each has few rows."""
+    spark = df.sparkSession
+    info = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows", F.lit(len(df.columns)).alias("columns"))
+    listed = spark.createDataFrame([(str(k), str(v)) for k, v in options.items()], "option string, value string").coalesce(1)
+    schema = spark.createDataFrame(
+        [(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema.fields], "column string, data_type string, nullable boolean"
+    ).coalesce(1)
+    return {"info": info, "options": listed, "schema": schema, **results}
+
+
 def report_document(sections: Mapping[str, DataFrame]) -> DataFrame:
     """One row with one JSON document. Only for sections with a row per column or rule, never for data rows."""
     parts = [

@@ -1,12 +1,16 @@
 import datetime
 import decimal
+import random
+import statistics
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions import formats
 from tablewright.operators.adhoc import QuerySpec, checked_expression, needs_query, run_sql, with_expression
-from tablewright.operators.clustering import choose_k, clusters
+from tablewright.operators.clustering import choose_k, clusters, fit_clusters, silhouettes
+from tablewright.operators.deal import dealt, pieces_of
 from tablewright.operators.ddl import SqlScript, column_mapping
 from tablewright.operators.modeling import predictive_models
 from tablewright.plans.analysis import AnalysisPlan
@@ -164,3 +168,63 @@ def test_entry_points(spark):
 
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
     assert entry_points.entry(spark).count() == 6
+
+
+def test_forest_does_not_depend_on_partitions(spark):
+    rng = random.Random(1)
+    rows = [(float(rng.randint(0, 9)), rng.random(), float(i % 3)) for i in range(600)] + [(1.0, 0.5, 2.0)] * 300
+    rows = [(a, b, c, 3 * a + b) for a, b, c in rows]
+    found = []
+    for pieces in (1, 4, 8):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "a double, b double, c double, y double").repartition(pieces)
+        found.append([tuple(r) for r in predictive_models(df, targets=["y"]).orderBy("feature").collect()])
+    for other in found[1:]:
+        for one, two in zip(found[0], other):
+            assert one[:2] == two[:2] and one[2:5] == pytest.approx(two[2:5], rel=1e-9) and one[5:] == two[5:]
+
+
+def test_dealt_rows_follow_from_content(spark):
+    rows = [(i % 7, "x") for i in range(500)] + [(3, None)] * 400
+    shares = []
+    for pieces in (1, 5):
+        df = spark.createDataFrame(rows, "a int, s string").repartition(pieces)
+        told = dealt(df, 70_000).withColumn("p", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id())
+        shares.append(sorted((r.i, r.a, r.s or "") for r in told.collect()))
+    assert shares[0] == shares[1] and len(shares[0]) == 900
+    parts = Counter(i >> 33 for i, a, s in shares[0] if s == "")
+    assert len(parts) == 4 and max(parts.values()) < 200
+    assert [pieces_of(n) for n in (0, 1 << 14, 1 << 20, 1 << 40)] == [1, 1, 64, 1 << 20]
+
+
+def test_clustering_is_a_fixpoint(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(rng.gauss(c * 9, 1), rng.gauss(-c * 5, 1)) for c in range(3) for _ in range(200)], "a double, b double")
+    fit = fit_clusters(df)
+    assert fit.k == 3
+    rows = [(r.a, r.b, r.cluster) for r in fit.assignments().collect()]
+    means = [statistics.mean(x) for x in zip(*rows)][:2]
+    spreads = [statistics.stdev(x) for x in zip(*[r[:2] for r in rows])]
+    points = [((r[0] - means[0]) / spreads[0], (r[1] - means[1]) / spreads[1], r[2]) for r in rows]
+    for c, centre in enumerate(fit.centres):
+        own = [p for p in points if p[2] == c]
+        assert [statistics.mean(p[i] for p in own) for i in (0, 1)] == pytest.approx(centre, abs=1e-9)
+    far = [[(p[0] - c[0]) ** 2 + (p[1] - c[1]) ** 2 for c in fit.centres] for p in points]
+    assert all(d[p[2]] <= min(d) + 1e-12 for d, p in zip(far, points))
+    assert sum(d[p[2]] for d, p in zip(far, points)) == pytest.approx(fit.cost)
+    assert {(r.cluster, r.column) for r in fit.centre_table().collect()} == {(c, n) for c in range(3) for n in ("a", "b")}
+    fit.release()
+
+
+def test_silhouettes_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.gauss(i % 3, 1), rng.gauss(0, 1), "abc"[i % 3]) for i in range(60)] + [(60, 9.0, 9.0, "alone"), (61, 1.0, None, None)]
+    got = {r.i: r.silhouette for r in silhouettes(spark.createDataFrame(rows, "i int, x double, y double, g string"), ["x", "y"], "g").collect()}
+    square = lambda p, q: (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2
+    for p in rows[:60]:
+        near = {g: statistics.mean(square(p, q) for q in rows[:61] if q[3] == g and q[0] != p[0]) for g in ("a", "b", "c", "alone")}
+        a, b = near[p[3]], min(v for g, v in near.items() if g != p[3])
+        assert got[p[0]] == pytest.approx((b - a) / max(a, b), abs=1e-9)
+    assert got[60] == 0.0 and got[61] is None
+    one = spark.createDataFrame([(1.0, "g"), (2.0, "g")], "x double, g string")
+    assert [r.silhouette for r in silhouettes(one, ["x"], "g").collect()] == [0.0, 0.0]
