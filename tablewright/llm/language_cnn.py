@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,9 @@ WIDTHS, STRIDE = {2: 8, 4: 12, 6: 12}, 128
 #: Bounds of the training sample: documents, and windows of one document.
 MAX_DOCUMENTS, MAX_WINDOWS = 3000, 4
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Rows outside the training sample by whose scores doubtful texts are told; the share of rightly told ones below the
+#: limit; and how far below them a score must lie.
+CALIBRATION, DOUBTFUL, SLACK = 2000, 0.001, 0.9
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
@@ -98,7 +99,7 @@ def fit_language_model(labelled: DataFrame, max_documents: int = MAX_DOCUMENTS,
 
 def _tell(model: LanguageModel | None, texts: list[str | None], piece: int = 1 << 20) -> pd.DataFrame:
     names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    readable = [i for i, t in enumerate(texts) if model and t and _LETTER.search(t)]
+    readable = [i for i, t in enumerate(texts) if model and t]
     while readable:
         # About ``piece`` characters at a time, one text at least.
         sizes = np.cumsum([len(texts[i]) for i in readable])
@@ -120,7 +121,25 @@ def language_of(model: LanguageModel | None, text: Column) -> Column:
     def told(texts: pd.Series) -> pd.DataFrame:
         return _tell(model, texts.tolist())
 
-    return told(text)
+    # Letters are told apart by Spark, as in every filter of a query: digits, fractions and other numbers are none.
+    return told(F.when(text.rlike(r"\p{L}"), text))
+
+
+def least_share(labelled: DataFrame, model: LanguageModel, max_documents: int = MAX_DOCUMENTS, calibration: int = CALIBRATION) -> float:
+    """The score below which a text is in none of the languages that ``model`` learned from ``labelled``.
+
+    It is set by scores of labelled rows that the training sample did not hold: the ``calibration`` rows that follow it in
+    the order of their hashes, or the sample itself where there are no others. So it fits any number of languages. The
+    driver sees that many scores. Without a rightly told row there is no limit.
+    """
+    usable = labelled.where("lang IS NOT NULL AND length(text) > 0").select("doc_id", "lang", "text")
+    rows = hashed_sample(usable, ["doc_id", "text"], max_documents + calibration)
+    told = rows.select("draw", "lang", language_of(model, F.col("text")).alias("told"))
+    scores = told.select("draw", (F.col("lang") == F.col("told.lang_pred")).alias("right"), "told.score").limit(2 * (max_documents + calibration)).collect()
+    ordered = sorted((tuple(r) for r in scores))
+    held = ordered[max_documents:] or ordered
+    right = sorted(score for _, ok, score in held if ok)
+    return SLACK * right[int(DOUBTFUL * len(right))] if right else 0.0
 
 
 def predict_languages(documents: DataFrame, model: LanguageModel | None) -> DataFrame:

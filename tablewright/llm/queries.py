@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tablewright.llm.ann_forest import nearest_vectors
 from tablewright.llm.binary_packing import pack_by_powers
-from tablewright.llm.chat_events import DELTA, MESSAGE, fold_events, read_back, render
+from tablewright.llm.chat_events import DELETE, DELTA, EDIT, MESSAGE, REGENERATE, fold_events, read_back, render
 from tablewright.llm.language_cnn import fit_language_model, predict_languages
 from tablewright.llm.minhash import near_duplicates
 from tablewright.llm.poisson_mix import poisson_mix, with_positions
@@ -82,13 +82,23 @@ def op2_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = given.unionByName(extra).withColumn("message", place)
     half = F.floor(F.length("text") / 2).cast("int")
     rest = F.substring("text", half + 1, F.length("text"))
-    events = rows.select(
-        "conv_id", "message",
-        F.inline(F.array(
-            F.struct((2 * F.col("message")).alias("seq"), F.lit(MESSAGE).alias("kind"), "role", F.substring("text", F.lit(1), half).alias("text")),
-            F.struct((2 * F.col("message") + 1).alias("seq"), F.lit(DELTA).alias("kind"), "role", rest.alias("text")),
-        )),
+    begin = F.substring("text", F.lit(1), half)
+
+    def event(step: int, kind: str, text: Column) -> Column:
+        return F.struct((8 * F.col("message") + step).alias("seq"), F.lit(kind).alias("kind"), "role", text.alias("text"))
+
+    # Every turn has a first draft that is edited while it streams, and a generation that is thrown away. What counts
+    # is the last new beginning and what streams in after it. Every seventh turn is followed by one that is deleted.
+    log = F.array(
+        event(0, MESSAGE, F.lit("draft ")), event(1, DELTA, F.reverse(begin)), event(2, EDIT, F.concat(F.lit("edited "), rest)),
+        event(3, REGENERATE, F.lit("discarded ")), event(4, DELTA, F.lit("<|end|>")), event(5, REGENERATE, begin), event(6, DELTA, rest),
     )
+    events = rows.select("conv_id", "message", F.inline(log))
+    gone = rows.where("message % 7 = 0").select(
+        "conv_id", (-F.col("message")).alias("message"),
+        F.inline(F.array(event(7, MESSAGE, F.lit("unsent")), event(9, DELETE, F.lit("")))),
+    )
+    events = events.unionByName(gone)
     read = read_back(render(fold_events(events)))
     listed = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return read.select(
@@ -201,10 +211,16 @@ def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEAKS_SQL = r"""
     WITH docs AS (
       SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
-    items AS (
+    words AS (
       SELECT min(item_id) AS item_id, w FROM (
         SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
-        FROM benchmark) WHERE len(w) >= 13 GROUP BY w),
+        FROM benchmark) WHERE len(w) >= 1 GROUP BY w),
+    items AS (SELECT * FROM words WHERE len(w) >= 13),
+    short AS (
+      SELECT doc_id, item_id, p, len(i.w) AS n FROM (
+        SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS p FROM docs WHERE len(w) >= 5) d
+      JOIN (SELECT * FROM words WHERE len(w) BETWEEN 5 AND 12) i ON d.w[p + 1 : p + 5] = i.w[1:5] AND d.w[p + 1 : p + len(i.w)] = i.w
+      UNION ALL SELECT doc_id, item_id, 0, len(i.w) FROM docs d JOIN words i ON d.w = i.w WHERE len(i.w) < 5),
     doc_grams AS (SELECT doc_id, p, array_to_string(w[p + 1 : p + 4], ' ') AS g FROM (
       SELECT doc_id, w, unnest(range(0, len(w) - 3)) AS p FROM docs WHERE len(w) >= 13)),
     item_grams AS (SELECT item_id, p, array_to_string(w[p + 1 : p + 4], ' ') AS g FROM (
@@ -220,6 +236,8 @@ _LEAKS_SQL = r"""
     SELECT doc_id, item_id, CAST(min(s) AS INTEGER) AS first_word, CAST(max(s) + 13 AS INTEGER) AS end_word,
       CAST(max(same) AS INTEGER) AS same_words
     FROM compared WHERE same >= 11 GROUP BY doc_id, item_id
+    UNION ALL SELECT doc_id, item_id, CAST(min(p) AS INTEGER), CAST(max(p + n) AS INTEGER), CAST(max(n) AS INTEGER)
+    FROM short GROUP BY doc_id, item_id
 """
 
 

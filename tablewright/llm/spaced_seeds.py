@@ -4,6 +4,9 @@ A passage counts as leaked where ``WINDOW`` words of a document stand against as
 most ``SUBSTITUTIONS`` of them different. A seed is a fixed mask that hashes some places of a window and ignores the
 others; the masks below are such that every admissible window holds a place where one of them sees no substitution, so
 joining seed hashes finds every leak, and the windows around a hit are then compared word by word.
+
+Items of fewer words than a window allow no substitution: one of ``SHORT`` words and more leaks where all its words stand
+in a row (found by the hash of its first ``SHORT`` words), a still shorter one in a document of just these words.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tablewright.llm.batches import stored
 
 WINDOW, SUBSTITUTIONS = 13, 2
+#: Fewer words than these are too common in any text to be looked for inside of it.
+SHORT = 5
 #: Places that a mask compares. Found by search; a test checks all pairs of substitutions.
 MASKS = ((0, 1, 3, 8, 10, 11), (0, 1, 3, 4, 5, 7))
 #: Seeds of the benchmark that are broadcast at once; larger benchmarks are worked through in blocks.
@@ -55,22 +60,46 @@ def benchmark_overlaps(documents: DataFrame, items: DataFrame, keys: tuple[str,
     ``documents`` has ``keys`` and ``text``, ``items`` has ``item_id`` and ``text``; other columns are ignored. Items with
     equal words are one item, named by the smallest id. ``first_word`` to ``end_word`` (exclusive) are the word places of
     the document between the first and the last window that agrees, ``same_words`` the most equal words in one window.
-    Null, empty and short texts (fewer than ``WINDOW`` words) overlap with nothing. Documents that repeat all keys are
-    reported together. Keys may be null.
+    Items of fewer than ``WINDOW`` words count where all their words stand in a row; items of fewer than ``SHORT`` words
+    only where they are the whole document. Texts without words overlap with nothing. Documents that repeat all keys
+    are reported together. Keys may be null.
 
     Documents are read once per block of items; no text is shuffled, only what was found. A block of seeds has a fixed
     largest size, so its broadcast does not grow with either table.
     """
     known = items.select(F.col("item_id").cast("long").alias("item_id"), _word_codes(F.col("text")).alias("codes"))
-    known = stored(known.where(F.size("codes") >= WINDOW).groupBy("codes").agg(F.min("item_id").alias("item_id")), "items")
-    words = known.agg(F.sum(F.size("codes"))).first()[0] or 0
+    known = stored(known.where(F.size("codes") > 0).groupBy("codes").agg(F.min("item_id").alias("item_id")), "items")
+    words, shortest = known.agg(F.coalesce(F.sum(F.size("codes")), F.lit(0)), F.coalesce(F.min(F.size("codes")), F.lit(WINDOW))).first()
     blocks = max(1, -(-words * len(MASKS) // BLOCK_SEEDS))
     known = known.withColumn("block", F.pmod(F.xxhash64("codes"), F.lit(blocks)))
     texts = documents.select(*keys, _word_codes(F.col("text")).alias("codes"))
-    found = [_overlaps(texts, known.where(F.col("block") == block), keys) for block in range(blocks)]
+    parts = [known.where(F.col("block") == block) for block in range(blocks)]
+    long = F.size("codes") >= WINDOW
+    found = [_overlaps(texts, part.where(long), keys) for part in parts]
+    if shortest < WINDOW:
+        found += [_short_overlaps(texts, part.where(~long), keys) for part in parts]
     return reduce(DataFrame.unionByName, found)
 
 
+def _short_overlaps(texts: DataFrame, items: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The same columns for items of fewer than ``WINDOW`` words."""
+    def begins(codes: Column, place: Column) -> Column:
+        return F.xxhash64(*[F.get(codes, place + F.lit(at)) for at in range(SHORT)])
+
+    own = items.select("item_id", F.col("codes").alias("item_codes"))
+    seeds = own.where(F.size("item_codes") >= SHORT).withColumn("key", begins(F.col("item_codes"), F.lit(0)))
+    placed = texts.where(F.size("codes") >= SHORT).select(*keys, "codes", F.explode(F.sequence(F.lit(0), F.size("codes") - F.lit(SHORT))).alias("place"))
+    hits = placed.withColumn("key", begins(F.col("codes"), F.col("place"))).join(F.broadcast(seeds), "key")
+    inside = hits.where(F.slice("codes", F.col("place") + 1, F.size("item_codes")) == F.col("item_codes"))
+    tiny = own.where(F.size("item_codes") < SHORT).withColumn("key", F.xxhash64("item_codes"))
+    alone = texts.where(F.size("codes").between(1, SHORT - 1)).withColumn("key", F.xxhash64("codes")).join(F.broadcast(tiny), "key")
+    equal = alone.where(F.col("codes") == F.col("item_codes")).withColumn("place", F.lit(0))
+    wanted = [*keys, "item_id", "place", F.size("item_codes").alias("n")]
+    return inside.select(*wanted).unionByName(equal.select(*wanted)).groupBy(*keys, "item_id").agg(
+        F.min("place").alias("first_word"), F.max(F.col("place") + F.col("n")).alias("end_word"), F.max("n").alias("same_words")
+    )
+
+
 def _overlaps(texts: DataFrame, items: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     own = items.select("item_id", F.col("codes").alias("item_codes"))
     seeds = _seed_rows(items, "item_id").select("key", F.col("item_id"), F.col("place").alias("item_place"))

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from tablewright.llm.ann_forest import PrefixForest, nearest_vectors
 from tablewright.llm.bytecnn import ByteFilters
 from tablewright.llm.chat_events import Template, fold_events, read_back, render
-from tablewright.llm.language_cnn import fit_language_model, predict_languages
+from tablewright.llm.language_cnn import LanguageModel, fit_language_model, least_share, predict_languages
 from tablewright.llm.quality_cnn import fit_quality_model, score_quality
-from tablewright.llm.spaced_seeds import MASKS, SUBSTITUTIONS, WINDOW, benchmark_overlaps
+from tablewright.llm.spaced_seeds import MASKS, SHORT, SUBSTITUTIONS, WINDOW, benchmark_overlaps
 
 EVENTS = "conv_id long, seq long, kind string, message long, role string, text string, turns int"
 
@@ -74,6 +74,12 @@ def brute_leaks(documents, items):
     for doc, text in documents:
         d = words(text)
         for b, item in named.items():
+            if 0 < len(b) < WINDOW:
+                # A short item stands as it is; a very short one is the whole document.
+                at = [s for s in range(len(d) - len(b) + 1) if tuple(d[s : s + len(b)]) == b and (len(b) >= SHORT or len(d) == len(b))]
+                if at:
+                    out[doc, item] = (min(at), max(at) + len(b), len(b))
+                continue
             same = {
                 (s, i): sum(d[s + j] == b[i + j] for j in range(WINDOW))
                 for s in range(len(d) - WINDOW + 1) for i in range(len(b) - WINDOW + 1)
@@ -88,7 +94,8 @@ def test_leaks_against_brute_force(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 3)))
     items = [(i, " ".join(word() for _ in range(rng.randint(10, 30)))) for i in range(12)]
-    items += [(90, items[3][1].upper() + "!!"), (91, None), (92, ""), (93, "the " * 20)]
+    items += [(90, items[3][1].upper() + "!!"), (91, None), (92, ""), (93, "the " * 20), (94, "What is, the capital of Norway today?")]
+    items += [(95, "only four words here"), (96, "one"), (97, "a b a b a")]
     documents = []
     for i in range(60):
         text = [word() for _ in range(rng.randint(0, 30))]
@@ -97,6 +104,8 @@ def test_leaks_against_brute_force(spark):
             part[rng.randrange(len(part))] = word()
         documents.append((i, "... " * (i % 3) + " ".join(text + part[rng.randint(0, 6):]).title() + ",\n" + word()))
     documents += [(100, None), (101, ""), (102, "the " * 50), (103, items[2][1].replace(" ", " -- "))]
+    documents += [(104, "So: what is the capital of Norway today, what is the capital of Norway today?"), (105, "ONLY four words, here"),
+                  (106, "there are only four words here"), (107, "One!"), (108, "one one"), (109, "a b a b a b a"), (110, "what is the capital of Norway")]
     frame = spark.createDataFrame([(d, t, 1) for d, t in documents], "doc_id long, text string, item_id int")
     got = benchmark_overlaps(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id): (r.first_word, r.end_word, r.same_words) for r in got} == brute_leaks(documents, items)
@@ -218,3 +227,25 @@ def test_quality(spark):
     held = [r for r in rows if r[0] % 3 == 1]
     assert sum(by_id[i].predicted == quality for i, _, quality in held) >= 0.95 * len(held)
     assert by_id[900].score == by_id[901].score and all(r.predicted == (r.score >= 0.5) for r in got)
+
+
+def test_numbers_are_no_letters(spark):
+    rows = [(1, "½ ²"), (2, "Ⅷ"), (3, "③ 12"), (4, "é"), (5, None), (6, "")]
+    model = LanguageModel(ByteFilters.create({2: 4}, 128, 1), np.zeros((4, 1), np.float32), np.zeros(1, np.float32), ["xx"])
+    told = predict_languages(spark.createDataFrame(rows, "doc_id long, text string"), model)
+    assert {r.doc_id: r.lang_pred for r in told.collect()} == {1: "und", 2: "und", 3: "und", 4: "xx", 5: "und", 6: "und"}
+
+
+@pytest.mark.parametrize("number", [2, 4, 8])
+def test_foreign_texts_lie_below_the_limit(spark, number):
+    """The limit follows from labelled rows, so it acts with any number of languages and spares theirs."""
+    rng = random.Random(number)
+    alphabets = ["aeinrst ", "oumkl p", "bdefgh y", "ctvwxz i", "jqsdfu o", "mnbvca e", "plokij u", "hgfdst a"][:number]
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(60))
+    labelled = spark.createDataFrame([(i, text(alphabets[i % number]), f"l{i % number}") for i in range(800)], "doc_id long, text string, lang string")
+    model = fit_language_model(labelled, max_documents=400)
+    limit = least_share(labelled, model, max_documents=400, calibration=300)
+    told = predict_languages(labelled, model).toPandas()
+    assert 1 / number < limit < 1 and (told["score"] >= limit).mean() >= 0.99
+    mixed = spark.createDataFrame([(i, " ".join(text(a) for a in alphabets)) for i in range(10)], "doc_id long, text string")
+    assert (predict_languages(mixed, model).toPandas()["score"] < limit).mean() >= 0.9
