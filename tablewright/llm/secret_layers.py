@@ -39,6 +39,9 @@ _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}
 _ONE_UNICODE = re.compile(r"\\(?:u\{([0-9A-Fa-f]{1,6})\}|u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+={0,2})+")
+# Decoded bytes that are worth a look: a stretch of text as long as the shortest finding, or a compressed stream.
+_STRETCH = re.compile(rb"[\x20-\x7e\t\r\n]{12}")
+_PACKED = (b"\x1f\x8b\x08", b"BZh", b"\xfd7zXZ", b"x\x01", b"x\x9c", b"x\xda")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _TEXT_CONTROLS = dict.fromkeys(map(ord, "\t\r\n"))
 
@@ -279,7 +282,8 @@ def _base64_at(text: str, spans: Sequence[tuple[int, int]], flat: bool, streams:
     """The base64 that the spans of ``text`` make up together."""
     token = "".join(text[b:e] for b, e in spans).rstrip("=").replace("-", "+").replace("_", "/")
     if len(token) % 4 == 1:
-        return None
+        # One character carries no byte: it belongs to what follows.
+        token = token[:-1]
     try:
         data = base64.b64decode(token + "=" * (-len(token) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -306,6 +310,39 @@ def _single(pattern: re.Pattern, decode: Callable) -> Callable:
     return passes
 
 
+def _shifted(text: str, flat: bool, streams: _Streams) -> Iterator[list[_Hit]]:
+    """Base64 that begins inside a run: the alphabet holds letters and / - _ as well, so names and paths run into it.
+
+    Three more alignments find every text, behind what its beginning decodes to; only those that show a stretch of text
+    are followed. A compressed stream must be met at its first byte, so it is looked for behind every / - _ and at the
+    alignments.
+    """
+    runs = [m.span() for m in _BASE64.finditer(text)]
+    passes: list[list[_Hit]] = [[], [], []]
+    for begin, end in runs:
+        whole = _plain_bytes(text, begin, min(begin + 64, end))
+        if whole.startswith(_PACKED) or _STRETCH.match(whole):
+            # It begins where the run does, and was decoded there.
+            continue
+        starts = [begin + k for k in (1, 2, 3)]
+        packed = [*starts, *(i + 1 for i in range(begin + 3, end - 16) if text[i] in "/-_")]
+        packed = [i for i in packed if _plain_bytes(text, i, min(i + 16, end)).startswith(_PACKED)]
+        # The letters of a compressed stream show text at other alignments only by chance.
+        for start in packed or [i for i in starts if _STRETCH.search(_plain_bytes(text, i, end))]:
+            made = _base64_at(text, [(start, end)], flat, streams)
+            if made and made.text:
+                free = next((found for found in passes if not found or found[-1].end <= made.begin), None)
+                if free is None:
+                    passes.append(free := [])
+                free.append(made)
+    yield from (found for found in passes if found)
+
+
+def _plain_bytes(text: str, start: int, end: int) -> bytes:
+    token = text[start:end].rstrip("=").replace("-", "+").replace("_", "/")
+    return base64.b64decode(token[: len(token) // 4 * 4])
+
+
 def _wrapped(text: str, flat: bool, streams: _Streams) -> Iterator[list[_Hit]]:
     """Base64 over several lines of one width: with the shorter line after them, and without it.
 
@@ -341,6 +378,7 @@ _DECODERS = (
     ("%", _single(_PERCENT, _percent)),
     ("\\", _single(_UNICODE, _unicode)),
     ("", _single(_BASE64, lambda m, flat, streams: _base64_at(m.string, [m.span()], flat, streams))),
+    ("", _shifted),
     ("\n", _wrapped),
 )
 

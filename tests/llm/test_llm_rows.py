@@ -261,3 +261,34 @@ def test_mix_of_odd_tables(spark):
     with pytest.raises(ValueError):
         poisson_mix(spark.createDataFrame(rows, schema), {"a": -1.0})
     assert re.fullmatch("[0-9a-f]{32}", got[0].shuffle_key)
+
+
+@pytest.mark.parametrize("before", ["", "key-", "cfg=", "/data/", "https://h/a/", "x_", "A", "AB", "ABC", "path", "a-b_c/"])
+@pytest.mark.parametrize("after", ["", "/x", "A", " end", "=="])
+def test_base64_that_begins_inside_a_run(before, after):
+    """Names and paths are written in the letters of base64 and run into it."""
+    coded = base64.b64encode(b"and password=hunter2hunter2 is it").decode().rstrip("=" if after else "")
+    text = f"see {before}{coded}{after}"
+    found, closed = scan_layers(text)
+    assert closed == 0 and any(kind == 0 and depth > 0 for _, kind, _, depth in found)
+    start, _, end, _ = next(f for f in found if f[3] > 0)
+    assert 4 <= start <= 4 + len(before) + 8 and end <= len(text)
+
+
+def test_compressed_base64_inside_a_path():
+    coded = base64.b64encode(gzip.compress(b"x" * 50 + b" token: abcdefghijklmnop")).decode()
+    for before in ("/data/", "https://h/a/", "x_", "AB"):
+        found, closed = scan_layers(f"see {before}{coded} and more")
+        assert [(kind, depth) for _, kind, _, depth in found if depth] == [(0, 1)] and closed == 0
+
+
+def test_scan_against_the_plain_patterns():
+    """The findings of a text without coded layers are those of the patterns alone."""
+    rng = random.Random(12)
+    parts = ["password", "Token", "api_key", "=", ": ", '"', "'", "abcdefghijklmnop", "AKIA", "ABCDEFGHIJKLMN0123", "0123456789abcdef", " ", "\n", ".-", "x", "é", "apiKey"]
+    for _ in range(500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        want = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?a:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", text, re.I) if len(m[2]) >= 12]
+        want += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        want += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+        assert scan(text) == sorted(want)
