@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright.llm import ann_forest
 from tablewright.llm.ann_forest import PrefixForest, nearest_vectors
 from tablewright.llm.bytecnn import ByteFilters
 from tablewright.llm.chat_events import Template, fold_events, read_back, render
@@ -155,6 +156,46 @@ def test_nearest_vectors_recall_ties_and_odd_rows(spark):
     assert nearest_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
+def test_grouped_vectors_are_found_in_the_sorted_trees_alone(spark, monkeypatch):
+    """Six near vectors in each of 300 groups, and one group of 300 that share most strings, over several ranges."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((301, 32))
+    group = np.array([i % 300 for i in range(1800)] + [300] * 300)
+    vectors = (centres[group] + np.where(group == 300, 0.002, 0.3)[:, None] * rng.standard_normal((2100, 32))).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    real, seen = ann_forest._not_done, []
+
+    def watched(points, runs, found, k):
+        left = real(points, runs, found, k)
+        pairs = runs.select("point", F.explode("keys")).distinct().count()
+        seen.append((points.count(), left.count(), pairs))
+        return left
+
+    monkeypatch.setattr(ann_forest, "_not_done", watched)
+    kept = {}
+    for range_rows in (1 << 17, 4000):
+        got = nearest_vectors(frame, F.col("vec_id") % 20 == 0, candidates=576, range_rows=range_rows).collect()
+        kept[range_rows] = sorted((r.query_id, r.rank, r.vec_id) for r in got)
+    whole = vectors.astype(np.float64)
+    whole /= np.sqrt((whole**2).sum(axis=1, keepdims=True))
+    hits = sum(len({v for q, _, v in kept[4000] if q == i} & set(np.argsort(-(whole @ whole[i]))[1:6].tolist())) for i in range(0, 2100, 20))
+    assert len(kept[4000]) == 5 * 105 and hits >= 0.9 * 5 * 105
+    for points, left, pairs in seen:
+        # All but the large group are done, and what they opened is a small part of the rows.
+        assert points == 105 and left <= 25 and pairs < 0.25 * points * 2100
+    # Where ranges end changes nothing: their edges have the neighbouring rows.
+    assert kept[4000] == kept[1 << 17]
+
+
+def test_the_depth_follows_from_the_cosine():
+    assert ann_forest.sufficient_depth(-1.0, 48, 48) == 0 and ann_forest.sufficient_depth(1.0, 48, 48) == 48
+    depths = [ann_forest.sufficient_depth(c, 48, 48) for c in (0.0, 0.3, 0.6, 0.9, 0.99)]
+    assert depths == sorted(depths)
+    for c, d in zip((0.0, 0.3, 0.6, 0.9), depths):
+        shared = 1 - np.arccos(c) / np.pi
+        assert (1 - shared**d) ** 48 <= ann_forest.MISS < (1 - shared ** (d + 1)) ** 48
+
+
 def test_the_ascent_opens_the_longest_sufficient_prefix():
     rng = np.random.default_rng(1)
     vectors = rng.standard_normal((500, 8))
