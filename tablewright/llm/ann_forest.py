@@ -238,33 +238,36 @@ def _compared(entries: DataFrame, points: DataFrame, runs: DataFrame, n_shards:
     """(point, vec_id, score) of the entries that the points opened, the ``k`` + 1 nearest of each shard."""
     dealt = F.pmod(F.xxhash64("key"), F.lit(n_shards)).alias("shard")
     pairs = runs.select("point", F.explode("keys").alias("key")).select(dealt, "point", "key")
-    no_vector, no_ids = F.lit(None).cast("array<double>").alias("vector"), F.lit(None).cast("array<long>").alias("ids")
-    none = F.lit(0).cast("long")
+    # One row for what a point opened in a shard: rows of single pairs cost more than comparing them.
+    opened = pairs.groupBy("shard", "point").agg(F.collect_set("key").alias("keys")).join(points, "point")
+    no_ids = F.array().cast("array<long>")
     everything = (
-        entries.select(dealt, F.lit("entry").alias("what"), none.alias("point"), "key", "vector", "ids")
-        .unionByName(pairs.select("shard", F.lit("pair").alias("what"), "point", "key", no_vector, no_ids))
-        .unionByName(pairs.select("shard", "point").distinct().join(points, "point").select(
-            "shard", F.lit("point").alias("what"), "point", none.alias("key"), "vector", no_ids))
+        entries.select(dealt, F.lit(False).alias("asked"), F.col("key").alias("name"), "vector", "ids", no_ids.alias("keys"))
+        .unionByName(opened.select("shard", F.lit(True).alias("asked"), F.col("point").alias("name"), "vector", no_ids.alias("ids"), "keys"))
     )
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        held, queries, pairs = (frame[frame["what"] == what] for what in ("entry", "point", "pair"))
-        pairs = pairs[["point", "key"]].drop_duplicates()
-        held, queries = held.assign(e=np.arange(len(held))), queries.assign(q=np.arange(len(queries)))
+        asked = frame["asked"].to_numpy(bool)
+        queries, held = frame[asked], frame[~asked]
+        if queries.empty or held.empty:
+            return _found([])
+        held = pd.DataFrame({"key": held["name"].to_numpy(), "e": np.arange(len(held)), "vector": held["vector"].to_numpy(), "ids": held["ids"].to_numpy()})
+        points, opened = queries["name"].to_numpy(), queries["keys"].to_numpy()
+        pairs = pd.DataFrame({"q": np.repeat(np.arange(len(queries)), [len(keys) for keys in opened]), "key": np.concatenate(opened)})
         # Vectors that differ under one key are all compared.
-        pairs = pairs.merge(held[["key", "e"]], on="key").merge(queries[["point", "q"]], on="point")
+        pairs = pairs.merge(held[["key", "e"]], on="key")
         a, b = held["vector"].to_numpy(), queries["vector"].to_numpy()
         width, asked = np.array([len(v) for v in a], int), np.array([len(v) for v in b], int)
         ids, out = held["ids"].to_numpy(), []
         pairs = pairs[width[pairs["e"]] == asked[pairs["q"]]].sort_values("q", kind="stable")
         starts = np.append(np.flatnonzero(np.diff(pairs["q"], prepend=-1)), len(pairs))
-        point, e, q = (pairs[c].to_numpy() for c in ("point", "e", "q"))
+        e, q = pairs["e"].to_numpy(), pairs["q"].to_numpy()
         for start, end in zip(starts, starts[1:]):
             step = max(1, CELLS // max(1, asked[q[start]]))
             scores = np.concatenate([
                 cosines(np.stack(a[e[i : min(i + step, end)]]).astype(np.float64), np.asarray(b[q[start]], np.float64))
                 for i in range(start, end, step)])
-            out += [(int(point[start]), i, s) for i, s in _listed(e[start:end], scores, ids, k)]
+            out += [(int(points[q[start]]), i, s) for i, s in _listed(e[start:end], scores, ids, k)]
         return _found(out)
 
     return everything.groupBy("shard").applyInPandas(compare, "point long, vec_id long, score double")
