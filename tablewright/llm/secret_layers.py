@@ -17,9 +17,11 @@ import lzma
 import re
 import string
 import zlib
+from array import array
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
-from itertools import chain
+from dataclasses import dataclass, field
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -53,11 +55,16 @@ _SLICE = 1 << 16
 _CODED = string.ascii_letters + string.digits + "+/_-"
 
 
+def _names_secret(text: str) -> bool:
+    # By parts: lower case of a text with other letters than ASCII takes twelve bytes a character on the way.
+    parts = (text[i : i + PIECE + 8].lower() for i in range(0, len(text), PIECE))
+    return any(word in part for part in parts for word in _WORDS)
+
+
 def scan(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the plain findings, in order."""
     found = []
-    lower = text.lower()
-    if any(word in lower for word in _WORDS):
+    if _names_secret(text):
         found += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 12]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
@@ -65,13 +72,79 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-@dataclass
+@dataclass(slots=True)
 class _Layer:
+    """A text, and where its characters come from.
+
+    It is made of stretches, each copied from the layer above or decoded there. Only their beginnings are held, with the
+    place of a copy or the decoded stretch's own places, so a long line takes no more than its text. Places are looked
+    up through the layers above when something is found. They never fall, so the last character of a span has its largest
+    end. Where all characters come from one ``span`` of the original, that is all there is.
+    """
+
     text: str
-    starts: list[int]
-    ends: list[int]
-    decoded: list[bool]
-    depth: int
+    depth: int = 0
+    above: _Layer | None = None
+    begins: array = field(default_factory=lambda: array("q"))
+    places: list[int | _Places] = field(default_factory=list)
+    decoded: list[tuple[int, int]] = field(default_factory=list)
+    span: tuple[int, int] | None = None
+    first: int | None = None
+
+    def add(self, length: int, place: int | _Places) -> None:
+        """A further stretch: copied from ``place`` on, or decoded."""
+        if not length:
+            return
+        begin = self.size()
+        self.begins[-1:] = array("q", [begin, begin + length])
+        self.places.append(place)
+        stretches = [(0, length)] if not isinstance(place, int) else self.above.decoded_in(place, place + length)
+        for b, e in stretches:
+            if self.decoded and self.decoded[-1][1] == begin + b:
+                b, _ = self.decoded.pop()
+                b -= begin
+            self.decoded.append((begin + b, begin + e))
+
+    def size(self) -> int:
+        return self.begins[-1] if self.begins else 0
+
+    def decoded_in(self, begin: int, end: int) -> list[tuple[int, int]]:
+        """Decoded stretches between two places, counted from the first one."""
+        if self.span:
+            return [(0, end - begin)]
+        found = []
+        for i in range(bisect_right(self.decoded, begin, key=lambda stretch: stretch[1]), len(self.decoded)):
+            b, e = self.decoded[i]
+            if b >= end:
+                break
+            found.append((max(b, begin) - begin, min(e, end) - begin))
+        return found
+
+    def start(self, at: int) -> int:
+        """Where the character begins in the original."""
+        layer = self
+        while layer.above is not None or layer.span:
+            if at == 0 and layer.first is not None:
+                return layer.first
+            if layer.span:
+                return layer.span[0]
+            k = bisect_right(layer.begins, at) - 1
+            place, within = layer.places[k], at - layer.begins[k]
+            at = place + within if isinstance(place, int) else place.start(within)
+            layer = layer.above
+        return at
+
+    def end(self, at: int) -> int:
+        """Where the character ends in the original."""
+        layer = self
+        while layer.above is not None or layer.span:
+            if layer.span:
+                return layer.span[1]
+            k = bisect_right(layer.begins, at) - 1
+            place, within = layer.places[k], at - layer.begins[k]
+            at = place + within if isinstance(place, int) else place.last(within)
+            layer = layer.above
+        return at + 1
 
 
 def _opener(data: bytes) -> Callable | None:
@@ -225,60 +298,120 @@ def _readable(text: str) -> bool:
     return text.translate(_TEXT_CONTROLS).isprintable()
 
 
-@dataclass
+class _Places:
+    """Where the characters of a decoded stretch were written, if it is one span that cannot be told apart."""
+
+    __slots__ = ("begin", "until")
+
+    def __init__(self, begin: int, until: int):
+        self.begin, self.until = begin, until
+
+    def start(self, at: int) -> int:
+        return self.begin
+
+    def last(self, at: int) -> int:
+        return self.until - 1
+
+
+class _Written(_Places):
+    """Places in a text of bytes that were written with ``many`` characters for ``few`` bytes, those at ``at``."""
+
+    __slots__ = ("text", "at", "many", "few", "_before")
+
+    _STEP = 1 << 12
+
+    def __init__(self, text: str, at: Sequence[int], many: int, few: int):
+        self.text, self.at, self.many, self.few, self._before = text, at, many, few, None
+
+    def _bytes(self, count: int) -> int:
+        """How many bytes the first ``count`` characters are."""
+        if self.text.isascii():
+            return count
+        if self._before is None:
+            parts = (self.text[i : i + self._STEP] for i in range(0, len(self.text), self._STEP))
+            self._before = array("q", accumulate((_size(part) for part in parts), initial=0))
+        k = count // self._STEP
+        return self._before[k] + _size(self.text[k * self._STEP : count])
+
+    def start(self, at: int) -> int:
+        return self.at[self._bytes(at) * self.many // self.few]
+
+    def last(self, at: int) -> int:
+        return self.at[-(-self._bytes(at + 1) * self.many // self.few) - 1]
+
+
+class _Units(_Places):
+    """Places of characters each written by an escape of its own."""
+
+    __slots__ = ("begins", "ends")
+
+    def __init__(self, begins: array, ends: array):
+        self.begins, self.ends = begins, ends
+
+    def start(self, at: int) -> int:
+        return self.begins[at]
+
+    def last(self, at: int) -> int:
+        return self.ends[at] - 1
+
+
+class _Joined:
+    """The places of several spans, one after another."""
+
+    def __init__(self, spans: Sequence[tuple[int, int]]):
+        self.spans = spans
+        self.before = array("q", accumulate((e - b for b, e in spans), initial=0))
+
+    def __getitem__(self, at: int) -> int:
+        k = bisect_right(self.before, at) - 1
+        return self.spans[k][0] + at - self.before[k]
+
+
+def _size(text: str) -> int:
+    return len(text.encode("utf-8", "surrogateescape"))
+
+
+@dataclass(slots=True)
 class _Hit:
-    """A decoded stretch: its text and, for each character, the span it came from. ``more`` are further pieces of it."""
+    """A decoded stretch: its text and the places its characters came from. ``more`` are further pieces of it."""
 
     begin: int
     end: int
     text: str
-    starts: Sequence[int]
-    ends: Sequence[int]
+    places: _Places
     more: Iterator[str] = ()
 
 
-def _hit(
-    data: bytes, at: Sequence[int], end: int, per_byte: tuple[int, int], flat: bool, streams: _Streams
-) -> _Hit:
-    """Bytes that were written with the characters at the positions ``at``, as many as the ratio ``per_byte`` says.
-
-    Where ``flat``, the source is itself one span, and no positions are made.
-    """
+def _hit(data: bytes, at: Sequence[int], end: int, per_byte: tuple[int, int], streams: _Streams) -> _Hit:
+    """Bytes that were written with the characters at the positions ``at``, as many as the ratio ``per_byte`` says."""
     chunks, whole = _peeled(data, streams)
     if whole:
         texts = _texts(chunks)
-        text = next(texts)
-        return _Hit(at[0], end, text, _Same(at[0]), _Same(end), texts)
+        return _Hit(at[0], end, next(texts), _Places(at[0], end), texts)
     text = data.decode("utf-8", "surrogateescape")
-    if flat:
-        return _Hit(at[0], end, text, _Same(at[0]), _Same(end))
-    many, few = per_byte
-    starts, ends, done = [], [], 0
-    for c in text:
-        starts.append(at[done * many // few])
-        done += len(c.encode("utf-8", "surrogateescape"))
-        ends.append(at[-(-done * many // few) - 1] + 1)
-    return _Hit(at[0], end, text, starts, ends)
+    return _Hit(at[0], end, text, _Written(text, at, *per_byte))
 
 
-def _percent(m: re.Match, flat: bool, streams: _Streams) -> _Hit:
-    return _hit(bytes.fromhex(m[0].replace("%", "")), range(m.start(), m.end()), m.end(), (3, 1), flat, streams)
+def _percent(m: re.Match, streams: _Streams) -> _Hit:
+    return _hit(bytes.fromhex(m[0].replace("%", "")), range(m.start(), m.end()), m.end(), (3, 1), streams)
 
 
-def _unicode(m: re.Match, flat: bool, streams: _Streams) -> _Hit:
-    units = []
+def _unicode(m: re.Match, streams: _Streams) -> _Hit:
+    codes, begins, ends = array("q"), array("q"), array("q")
     for one in _ONE_UNICODE.finditer(m[0]):
         code = int(next(g for g in one.groups() if g), 16)
-        begin, end = m.start() + one.start(), m.start() + one.end()
-        if units and 0xDC00 <= code < 0xE000 and 0xD800 <= units[-1][0] < 0xDC00:
-            high, first, _ = units.pop()
-            code, begin = 0x10000 + ((high - 0xD800) << 10) + code - 0xDC00, first
-        units.append((code, begin, end))
-    text = "".join(chr(code) if code <= 0x10FFFF else "\ufffd" for code, _, _ in units)
-    return _Hit(m.start(), m.end(), text, [b for _, b, _ in units], [e for _, _, e in units])
+        if codes and 0xDC00 <= code < 0xE000 and 0xD800 <= codes[-1] < 0xDC00:
+            codes[-1] = 0x10000 + ((codes[-1] - 0xD800) << 10) + code - 0xDC00
+            ends[-1] = m.start() + one.end()
+            continue
+        codes.append(code)
+        begins.append(m.start() + one.start())
+        ends.append(m.start() + one.end())
+    text = "".join(chr(code) if code <= 0x10FFFF else "\ufffd" for code in codes)
+    return _Hit(m.start(), m.end(), text, _Units(begins, ends))
 
 
-def _base64_at(text: str, spans: Sequence[tuple[int, int]], flat: bool, streams: _Streams) -> _Hit | None:
+def _base64_at(text: str, spans: Sequence[tuple[int, int]], streams: _Streams) -> _Hit | None:
     """The base64 that the spans of ``text`` make up together."""
     token = "".join(text[b:e] for b, e in spans).rstrip("=").replace("-", "+").replace("_", "/")
     if len(token) % 4 == 1:
@@ -288,8 +421,8 @@ def _base64_at(text: str, spans: Sequence[tuple[int, int]], flat: bool, streams:
         data = base64.b64decode(token + "=" * (-len(token) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
-    at = range(*spans[0]) if flat or len(spans) == 1 else [i for b, e in spans for i in range(b, e)]
-    return _hit(data, at, spans[-1][1], (4, 3), flat, streams)
+    at = range(*spans[0]) if len(spans) == 1 else _Joined(spans)
+    return _hit(data, at, spans[-1][1], (4, 3), streams)
 
 
 def _single(pattern: re.Pattern, decode: Callable) -> Callable:
@@ -298,10 +431,10 @@ def _single(pattern: re.Pattern, decode: Callable) -> Callable:
     They are kept apart, so a run that only looks coded does not hide the plain text beside another run.
     """
 
-    def passes(text: str, flat: bool, streams: _Streams) -> Iterator[list[_Hit]]:
+    def passes(text: str, streams: _Streams) -> Iterator[list[_Hit]]:
         whole, part = [], []
         for m in pattern.finditer(text):
-            made = decode(m, flat, streams)
+            made = decode(m, streams)
             if made and made.text:
                 (whole if _readable(made.text) else part).append(made)
         yield whole
@@ -310,7 +443,7 @@ def _single(pattern: re.Pattern, decode: Callable) -> Callable:
     return passes
 
 
-def _shifted(text: str, flat: bool, streams: _Streams) -> Iterator[list[_Hit]]:
+def _shifted(text: str, streams: _Streams) -> Iterator[list[_Hit]]:
     """Base64 that begins inside a run: the alphabet holds letters and / - _ as well, so names and paths run into it.
 
     Three more alignments find every text, behind what its beginning decodes to; only those that show a stretch of text
@@ -329,7 +462,7 @@ def _shifted(text: str, flat: bool, streams: _Streams) -> Iterator[list[_Hit]]:
         packed = [i for i in packed if _plain_bytes(text, i, min(i + 16, end)).startswith(_PACKED)]
         # The letters of a compressed stream show text at other alignments only by chance.
         for start in packed or [i for i in starts if _STRETCH.search(_plain_bytes(text, i, end))]:
-            made = _base64_at(text, [(start, end)], flat, streams)
+            made = _base64_at(text, [(start, end)], streams)
             if made and made.text:
                 free = next((found for found in passes if not found or found[-1].end <= made.begin), None)
                 if free is None:
@@ -343,7 +476,7 @@ def _plain_bytes(text: str, start: int, end: int) -> bytes:
     return base64.b64decode(token[: len(token) // 4 * 4])
 
 
-def _wrapped(text: str, flat: bool, streams: _Streams) -> Iterator[list[_Hit]]:
+def _wrapped(text: str, streams: _Streams) -> Iterator[list[_Hit]]:
     """Base64 over several lines of one width: with the shorter line after them, and without it.
 
     The line after the last full one may as well be other text.
@@ -365,7 +498,7 @@ def _wrapped(text: str, flat: bool, streams: _Streams) -> Iterator[list[_Hit]]:
             lines = [t.span()] if full and full >= 16 else []
     passes: list[list[_Hit]] = []
     for spans in blocks:
-        made = _base64_at(text, spans, flat, streams)
+        made = _base64_at(text, spans, streams)
         if made and made.text:
             free = next((found for found in passes if found[-1].end <= made.begin), None)
             if free is None:
@@ -377,7 +510,7 @@ def _wrapped(text: str, flat: bool, streams: _Streams) -> Iterator[list[_Hit]]:
 _DECODERS = (
     ("%", _single(_PERCENT, _percent)),
     ("\\", _single(_UNICODE, _unicode)),
-    ("", _single(_BASE64, lambda m, flat, streams: _base64_at(m.string, [m.span()], flat, streams))),
+    ("", _single(_BASE64, lambda m, streams: _base64_at(m.string, [m.span()], streams))),
     ("", _shifted),
     ("\n", _wrapped),
 )
@@ -389,28 +522,21 @@ def _decode_lines(layer: _Layer, found: list[_Hit]) -> Iterator[_Layer]:
     hits: list[_Hit] = []
 
     def built(first: int, last: int) -> _Layer:
-        if isinstance(layer.starts, _Same):
-            chars, here = [], first
-            for hit in hits:
-                chars += [text[here : hit.begin], hit.text]
-                here = hit.end
-            # All of it came from one span, so what stands beside the hits may count as decoded.
-            return _Layer("".join([*chars, text[here:last]]), layer.starts, layer.ends, layer.decoded, layer.depth + 1)
-        chars, starts, ends, decoded, here = [], [], [], [], first
-        for hit in [*hits, _Hit(last, last, "", [], [])]:
+        chars, here = [], first
+        # Where all of it came from one span, so did what stands beside the hits.
+        new = _Layer("", layer.depth + 1, layer) if not layer.span else _Layer("", layer.depth + 1, span=layer.span)
+        for hit in hits:
             chars += [text[here : hit.begin], hit.text]
-            starts += layer.starts[here : hit.begin]
-            ends += layer.ends[here : hit.begin]
-            decoded += layer.decoded[here : hit.begin]
-            if isinstance(hit.starts, _Same):
-                starts += [layer.starts[hit.begin]] * len(hit.text)
-                ends += [max(layer.ends[hit.begin : hit.end])] * len(hit.text)
-            else:
-                starts += [layer.starts[s] for s in hit.starts]
-                ends += [layer.ends[e - 1] for e in hit.ends]
-            decoded += [True] * len(hit.text)
+            if not new.span:
+                new.add(hit.begin - here, here)
+                new.add(len(hit.text), hit.places)
             here = hit.end
-        return _Layer("".join(chars), starts, ends, decoded, layer.depth + 1)
+        chars.append(text[here:last])
+        if not new.span:
+            new.add(last - here, here)
+        new.text = "".join(chars)
+        new.first = new.start(0) if new.text else 0
+        return new
 
     for hit in found:
         if hit.begin > line_end:
@@ -418,8 +544,9 @@ def _decode_lines(layer: _Layer, found: list[_Hit]) -> Iterator[_Layer]:
                 yield built(at, line_end)
             hits = []
             at = text.rfind("\n", 0, hit.begin) + 1
-        line_end = text.find("\n", hit.end)
-        line_end = len(text) if line_end < 0 else line_end
+        if hit.end > line_end:
+            line_end = text.find("\n", hit.end)
+            line_end = len(text) if line_end < 0 else line_end
         hits.append(hit)
         last = None
         for piece in hit.more:
@@ -427,12 +554,12 @@ def _decode_lines(layer: _Layer, found: list[_Hit]) -> Iterator[_Layer]:
             if last is None:
                 yield built(at, hit.end)
             else:
-                begin, end = _Same(layer.starts[hit.begin]), _Same(max(layer.ends[hit.begin : hit.end]))
-                yield _Layer(last, begin, end, _Same(True), layer.depth + 1)
+                begin, end = layer.start(hit.begin), layer.end(hit.end - 1)
+                yield _Layer(last, layer.depth + 1, span=(begin, end), first=begin)
             last = piece
         if last is not None:
             at = hit.begin
-            hits = [_Hit(hit.begin, hit.end, last, hit.starts, hit.ends)]
+            hits = [_Hit(hit.begin, hit.end, last, hit.places)]
     if hits:
         yield built(at, line_end)
 
@@ -445,23 +572,21 @@ def scan_layers(text: str) -> tuple[list[tuple[int, int, int, int]], int]:
     A finding that a layer repeats at the same place is reported once, at its smallest depth.
     """
     depths = {span: 0 for span in scan(text)}
-    # The plain text stands for itself: positions are made only for the lines that decode.
-    root = _Layer(text, range(len(text)), range(1, len(text) + 1), _Never(), 0)
     seen, streams = {_digest(text)}, _Streams()
-    work = [_decoded(root, streams)]
+    work = [_decoded(_Layer(text), streams)]
     while work:
         new = next(work[-1], None)
         if new is None:
             work.pop()
             continue
-        origin = (_digest(new.text), new.starts[0] if new.text else 0)
+        origin = (_digest(new.text), new.first)
         if origin in seen:
             continue
         seen.add(origin)
         work.append(_decoded(new, streams))
         for start, kind, end in scan(new.text):
-            if any(new.decoded[start:end]):
-                span = (new.starts[start], kind, max(new.ends[start:end]))
+            if new.decoded_in(start, end):
+                span = (new.start(start), kind, new.end(end - 1))
                 depths[span] = min(depths.get(span, new.depth), new.depth)
     return sorted((s, k, e, d) for (s, k, e), d in depths.items()), streams.closed()
 
@@ -473,27 +598,10 @@ def _digest(text: str) -> bytes:
 def _decoded(layer: _Layer, streams: _Streams) -> Iterator[_Layer]:
     for mark, passes in _DECODERS:
         if mark in layer.text:
-            for found in passes(layer.text, isinstance(layer.starts, _Same), streams):
+            for found in passes(layer.text, streams):
                 yield from _decode_lines(layer, found)
 
 
-class _Same:
-    """One value at every place."""
-
-    def __init__(self, value):
-        self.value = value
-
-    def __getitem__(self, at: int | slice):
-        return [self.value] if isinstance(at, slice) else self.value
-
-
-class _Never:
-    """As many ``False`` as asked for."""
-
-    def __getitem__(self, part: slice) -> list[bool]:
-        return [False] * max(0, part.stop - part.start)
-
-
 def find_secrets(documents: DataFrame) -> DataFrame:
     """(doc_id, findings, n_closed) for each row of ``documents`` (doc_id, text).
 

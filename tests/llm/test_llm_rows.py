@@ -8,6 +8,8 @@ import lzma
 import math
 import random
 import re
+import time
+import tracemalloc
 import urllib.parse
 import zlib
 from collections import Counter
@@ -292,3 +294,30 @@ def test_scan_against_the_plain_patterns():
         want += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
         want += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
         assert scan(text) == sorted(want)
+
+
+def test_secret_layers_of_a_long_line_take_no_more_than_a_few_copies_of_it():
+    filler = "function(a,b){return a+b} é; " * 20_000
+    text = filler + "password%3Dhunter2hunter2; " + filler + "%20" + base64.b64encode(b"x token=abcdef0123456789").decode()
+    text += filler
+    tracemalloc.start()
+    try:
+        found, closed = scan_layers(text)
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    spans = [text[s:e] for s, _, e, _ in found]
+    assert "password%3Dhunter2hunter2" in spans and not closed
+    assert any(len(filler) * 2 < s and d for s, _, _, d in found)
+    assert peak < 20 * len(text)
+
+
+def test_secret_layers_with_many_escapes_in_one_line_are_linear():
+    def took(n):
+        text = "a%20b;" * n + "password%3Dhunter2hunter2"
+        start = time.process_time()
+        assert scan_layers(text)[0][-1][0] == 6 * n
+        return time.process_time() - start
+
+    took(1_000)
+    assert took(160_000) < 40 * max(took(10_000), 0.05)
