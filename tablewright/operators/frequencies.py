@@ -7,12 +7,14 @@ third of the table arrives as one row per map task), and answers all of them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tablewright.functions.formats import as_text, float_text
 from tablewright.operators.longform import cells, fields_of, lookup, one_row_per_column
+from tablewright.session import materialize
 from tablewright.types import DATETIME, col, epoch_micros, has_zone, is_float, is_integral, present, type_class
 
 
@@ -140,6 +142,60 @@ def text_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[str, in
     return found
 
 
+def moment(micros: str) -> Column:
+    """Microseconds since 1970 as a timestamp without zone."""
+    seconds = f"make_dt_interval(0, 0, 0, cast({micros} / 1000000BD AS decimal(18, 6)))"
+    return F.expr(f"TIMESTAMP_NTZ'1970-01-01 00:00:00' + {seconds}")
+
+
+def top_error(tracked: int) -> float:
+    """The share of the rows that a value outside the list of frequent values can have at most.
+
+    A sketch that tracks that many values has a table of a power of two of places, each value may be counted wrong by 3.5
+    rows in so many, and is listed when even its least possible count lies above that error.
+    """
+    places = 1 << math.ceil(math.log2(tracked / 0.75))
+    return 2 * 3.5 / places
+
+
+def verified_modes(df: DataFrame, columns: Sequence[str], tracked: int = 10_000) -> dict[str, tuple[str, int]]:
+    """As :func:`text_modes`, without an exchange of all values where one value is frequent.
+
+    A sketch of fixed size per task names the values that may be the most frequent; a second scan counts these alone. The
+    result is exact if the best count lies above what any other value can have. Columns where it does not (every value is
+    rare) are counted in full.
+    """
+    columns = list(columns)
+    if not columns:
+        return {}
+    texts = cells(df, columns, {"string": _digest, "hashed": _is_long}).where(F.col("string").isNotNull())
+    # The accumulated items are the digests; at most one in ``top_error`` rows is listed.
+    sketches = texts.groupBy("cid").agg(
+        F.count(F.lit(1)).alias("rows"), F.expr(f"approx_top_k_accumulate(string, {tracked})").alias("sketch")
+    )
+    listed = sketches.select("cid", "rows", F.explode(F.expr(f"approx_top_k_estimate(sketch, {tracked})")).alias("top"))
+    # An estimate is never too low, and too high by half the error at most.
+    best = Window.partitionBy("cid")
+    close = listed.withColumn("most", F.max("top.count").over(best)).where(
+        F.col("top.count") >= F.col("most") - F.ceil(F.col("rows") * top_error(tracked) / 2)
+    )
+    candidates = materialize(close.select("cid", F.col("top.item").alias("string"), "rows"))
+    # There are at most 1 / top_error candidates in a column.
+    counted = texts.join(F.broadcast(candidates), ["cid", "string"]).groupBy("cid", "string").agg(
+        F.count(F.lit(1)).alias("n"), F.first("hashed").alias("hashed"), F.first("rows").alias("rows")
+    )
+    ranked = counted.withColumn("most", F.max("n").over(best)).where(F.col("n") == F.col("most"))
+    sure = materialize(ranked.where(F.col("n") > F.col("rows") * top_error(tracked)))
+    winners = sure.groupBy("cid").agg(F.min("string").alias("text"), F.max("n").alias("n"), F.bool_or("hashed").alias("hashed")).collect()
+    found = {columns[r["cid"]]: (r["text"], r["n"]) for r in winners}
+    if any(r["hashed"] for r in winners):
+        whole = cells(df, columns, {"string": _digest, "text": _string}).join(F.broadcast(sure.select("cid", "string")), ["cid", "string"])
+        for r in whole.groupBy("cid").agg(F.min("text").alias("text")).collect():
+            found[columns[r["cid"]]] = (r["text"], found[columns[r["cid"]]][1])
+    rest = [c for c in columns if c not in found]
+    return {**found, **(text_modes(df, rest) if rest else {})}
+
+
 #: Columns whose bounds are found in one scan; wider tables are read in groups of columns.
 _BOUNDED_COLUMNS = 40
 

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import anomalies as anomaly_rules
 from tablewright.operators import distribution, outliers, overview, profile, quality
+from tablewright.operators.frequencies import verified_modes
 from tablewright.operators.quantiles import approximate_quantiles, exact_quantiles
+from tablewright.operators.states import DISTINCT_ERROR, RANK_ERROR, merged_states, profile_of, profile_state
 from tablewright.operators.typing import detect_types, suggest_types
 from tablewright.registry.base import query, rounded, table, union_all
 
@@ -351,6 +353,50 @@ def sketched_quantiles_lineitem(spark, sf_dir):
     return counted.select(F.inline(F.array(*map(F.col, counted.columns))))
 
 
+@query(
+    union_all(
+        """SELECT '<c>' AS "column", count(*) AS row_count, count(<c>) AS non_null, min(<c>)::DOUBLE AS min, max(<c>)::DOUBLE AS max,
+        round(avg(<c>), 3) AS mean, round(stddev_samp(<c>), 3) AS std, count(*) FILTER (WHERE <c> = 0) AS zero_count,
+        count(*) FILTER (WHERE <c> < 0) AS negative_count, true AS distinct_within, true AS median_within FROM lineitem""",
+        LINE_NUMBERS,
+    )
+)
+def merged_profile_lineitem(spark, sf_dir):
+    """A profile from the states of four parts of the table, with its sketches held against the rows."""
+    df = table(spark, sf_dir, "lineitem")
+    parts = [profile_state(df.where(F.col("l_orderkey") % 4 == k), LINE_NUMBERS) for k in range(4)]
+    found = profile_of(merged_states(*parts), [0.5])
+    exact = profile.column_counts(df, LINE_NUMBERS).select("column", F.col("distinct").alias("exact"))
+    medians = {r["column"]: r["quantiles"][0] for r in found.select("column", "quantiles").collect()}
+    ranks = df.agg(*[
+        F.struct(
+            F.lit(c).alias("column"),
+            ((F.count_if(F.col(c) < m) <= (0.5 + RANK_ERROR) * F.count(c) + 1)
+             & (F.count_if(F.col(c) <= m) >= (0.5 - RANK_ERROR) * F.count(c) - 1)).alias("median_within"),
+        ).alias(f"r{i}")
+        for i, (c, m) in enumerate(medians.items())
+    ])
+    ranks = ranks.select(F.inline(F.array(*map(F.col, ranks.columns))))
+    near = F.abs(F.col("distinct") - F.col("exact")) <= F.lit(DISTINCT_ERROR) * F.col("exact") + 1
+    joined = found.join(F.broadcast(exact), "column").join(F.broadcast(ranks), "column")
+    kept = ["column", "row_count", "non_null", "min", "max", "mean", "std", "zero_count", "negative_count"]
+    return rounded(joined.select(*kept, near.alias("distinct_within"), "median_within"), mean=3, std=3)
+
+
+@query(
+    union_all(
+        """SELECT '<c>' AS "column", <c> AS most_frequent, n AS most_frequent_count
+        FROM (SELECT <c>, count(*) AS n FROM documents WHERE <c> IS NOT NULL GROUP BY <c> ORDER BY n DESC, <c> LIMIT 1)""",
+        DOC_TEXTS,
+    )
+)
+def verified_modes_documents(spark, sf_dir):
+    """Most frequent values, named by a sketch and counted after it; rare ones are counted in full."""
+    found = verified_modes(table(spark, sf_dir, "documents"), DOC_TEXTS)
+    rows = [(name, *found.get(name, (None, 0))) for name in DOC_TEXTS]
+    return spark.createDataFrame(rows, "column string, most_frequent string, most_frequent_count bigint")
+
+
 # The series of the asymptotic p value, from d and n.
 _KS_P = """CASE WHEN d * sqrt(n) < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, list_sum(list_transform(range(1, 101),
     lambda k: CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2 * k * k * n * d * d))))) END"""
