@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -18,8 +21,13 @@ from tablewright.types import NUMERIC, col, columns_of, number
 MAX_CLUSTERS = 10
 MIN_ROWS = 10
 SEED = 42
-#: Rounds after which a fit that still moves is taken as it is.
-MAX_ROUNDS = 300
+#: Rounds of the fits among which k is chosen, and the move of a centre below which they stop.
+TRIED_ROUNDS, TRIED_MOVE = 20, 1e-4
+#: Rounds after which a fit that still moves is taken as it is, and the move below which a centre stands still. Spreads are
+#: 1, so one row that changes its group moves a centre further up to 10**9 rows; sums in another order move it less.
+MAX_ROUNDS, STILL = 300, 1e-10
+#: Tasks of a round for each core. A piece of the deal is too small for a task of its own.
+_TASKS = 3
 
 
 def choose_k(costs: Sequence[float], rule: str = "elbow") -> int:
@@ -38,16 +46,90 @@ def choose_k(costs: Sequence[float], rule: str = "elbow") -> int:
     return bends.index(max(bends)) + 3 if bends else 2
 
 
-def scaled_vectors(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """The numeric columns (missing as 0) and their standardized vector (mean 0, sample spread 1)."""
-    names = [c for c in (columns or columns_of(df, NUMERIC)) if c in columns_of(df, NUMERIC)]
+def _scaling(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, PipelineModel]:
+    """The named numeric columns as x0, x1, ... (missing as 0), and the step that adds their standardized vector."""
     if len(names) < 2:
         raise ValueError("clustering needs two numeric columns")
     values = df.select(*[F.coalesce(number(df.schema[n]), F.lit(0.0)).alias(f"x{i}") for i, n in enumerate(names)])
-    values = dealt(values, df.count())
-    vectors = VectorAssembler(inputCols=values.columns, outputCol="raw").transform(values)
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(vectors)
-    return scaler.transform(vectors).drop("raw")
+    values = dealt(values, df.count()).persist(StorageLevel.MEMORY_AND_DISK)
+    assembler = VectorAssembler(inputCols=values.columns, outputCol="raw")
+    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
+    return values, PipelineModel([assembler, scaler.fit(assembler.transform(values))])
+
+
+def _nearest(scaler: PipelineModel) -> Callable[[pa.RecordBatch, dict], Iterator[tuple]]:
+    """Standardizes a batch, and gives for each set of centres its key, the rows, their nearest centres and distances."""
+    mean, spread = (np.array(v) for v in (scaler.stages[1].mean, scaler.stages[1].std))
+    factor = np.divide(1.0, spread, out=np.zeros_like(spread), where=spread != 0)
+
+    def nearest(batch, sets):
+        rows = np.column_stack([batch.column(f"x{i}").to_numpy(zero_copy_only=False) for i in range(len(mean))])
+        rows = (rows - mean) * factor
+        for key, centres in sets.items():
+            # The square of the row itself is the same for all centres.
+            near = (centres * centres).sum(axis=1) - 2 * (rows @ centres.T)
+            best = near.argmin(axis=1)
+            apart = rows - centres[best]
+            yield key, rows, best, np.einsum("ij,ij->i", apart, apart)
+
+    return nearest
+
+
+def _rounds(
+    values: DataFrame, scaler: PipelineModel, sets: dict[int, np.ndarray], limit: int, move: float
+) -> dict[int, tuple[np.ndarray, float, bool]]:
+    """Lloyd's rounds for several sets of centres at once: ``(centres, cost, whether they stand still)`` of each.
+
+    One pass over the rows serves all sets that still move; a task sends counts, sums and cost for each centre. A centre
+    without rows stays. The cost is that of the last assignment, as in MLlib.
+    """
+    nearest = _nearest(scaler)
+    tasks = _TASKS * values.sparkSession.sparkContext.defaultParallelism
+    input_rows = values.coalesce(tasks)
+    done: dict[int, tuple[np.ndarray, float, bool]] = {k: (c, 0.0, False) for k, c in sets.items()}
+    for _ in range(limit):
+        open_sets = {k: c for k, (c, _, still) in done.items() if not still}
+        if not open_sets:
+            break
+
+        def sums(batches: Iterator[pa.RecordBatch], open_sets=open_sets) -> Iterator[pa.RecordBatch]:
+            total = {k: np.zeros((c.shape[0], c.shape[1] + 2)) for k, c in open_sets.items()}
+            for batch in batches:
+                for k, rows, best, squares in nearest(batch, open_sets):
+                    part = total[k]
+                    member = (best[:, None] == np.arange(len(part))).astype(np.float64)
+                    part[:, :-2] += member.T @ rows
+                    part[:, -2] += member.sum(axis=0)
+                    part[:, -1] += squares @ member
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["k", "sums"])
+
+        parts = input_rows.mapInArrow(sums, "k int, sums binary").collect()
+        for k, old in open_sets.items():
+            width = old.shape[1] + 2
+            total = sum(np.frombuffer(r["sums"]).reshape(-1, width) for r in parts if r["k"] == k)
+            count = total[:, -2:-1]
+            new = np.divide(total[:, :-2], count, out=old.copy(), where=count > 0)
+            done[k] = new, float(total[:, -1].sum()), bool((((new - old) ** 2).sum(axis=1) <= move * move).all())
+    return done
+
+
+def _assigned(values: DataFrame, scaler: PipelineModel, centres: np.ndarray) -> DataFrame:
+    """The rows with their standardized vector and the nearest centre."""
+    nearest = _nearest(scaler)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, best, _ in nearest(batch, {0: centres}):
+                yield batch.append_column("prediction", pa.array(best, pa.int32()))
+
+    schema = ", ".join([*[f"{c} double" for c in values.columns], "prediction int"])
+    return scaler.transform(values.mapInArrow(told, schema)).drop("raw")
+
+
+def scaled_vectors(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """The numeric columns (missing as 0) and their standardized vector (mean 0, sample spread 1)."""
+    values, scaler = _scaling(df, [c for c in (columns or columns_of(df, NUMERIC)) if c in columns_of(df, NUMERIC)])
+    return scaler.transform(values).drop("raw")
 
 
 @dataclass
@@ -61,11 +143,11 @@ class Clustering:
     assigned: DataFrame
     #: Standardized centres.
     centres: list[list[float]]
-    #: The scaled rows, persisted until ``release`` is called.
-    scaled: DataFrame
+    #: The numeric columns alone, persisted until ``release`` is called.
+    values: DataFrame
 
     def release(self) -> None:
-        self.scaled.unpersist()
+        self.values.unpersist()
 
     def assignments(self) -> DataFrame:
         """The numeric columns of each row under their names, and ``cluster``. Rows are in no order; equal rows stay."""
@@ -87,20 +169,25 @@ def fit_clusters(
 ) -> Clustering:
     """K-means with the given or the best number of clusters; the chosen fit goes on until no centre moves.
 
-    The scaled rows stay persisted for the result; its ``release`` ends that.
+    The numeric columns stay persisted for the result; its ``release`` ends that.
     """
     names = [c for c in (columns or columns_of(df, NUMERIC)) if c in columns_of(df, NUMERIC)]
-    data = scaled_vectors(df, names).persist(StorageLevel.MEMORY_AND_DISK)
-    total = data.count()
+    values, scaler = _scaling(df, names)
+    total = values.count()
     if total < MIN_ROWS:
-        data.unpersist()
+        values.unpersist()
         raise ValueError(f"clustering needs {MIN_ROWS} rows, got {total}")
+    # Not persisted: MLlib then keeps vectors as it reads them, instead of decoding all rows in every pass.
+    vectors = scaler.transform(values).drop("raw")
+    tried = [k] if k else range(2, max(2, min(max_k, total // 2)) + 1)
+    # Without rounds MLlib gives the centres from which it would begin.
+    starts = {i: np.array(KMeans(k=i, seed=seed, maxIter=0).fit(vectors).clusterCenters()) for i in tried}
+    found = _rounds(values, scaler, starts, TRIED_ROUNDS, TRIED_MOVE)
     if k is None:
-        top = max(2, min(max_k, total // 2))
-        k = choose_k([KMeans(k=i, seed=seed).fit(data).summary.trainingCost for i in range(2, top + 1)], rule)
-    model = KMeans(k=k, seed=seed, tol=0.0, maxIter=MAX_ROUNDS).fit(data)
-    centres = [[float(v) for v in c] for c in model.clusterCenters()]
-    return Clustering(names, k, float(model.summary.trainingCost), model.transform(data), centres, data)
+        k = choose_k([found[i][1] for i in tried], rule)
+    # The chosen fit goes on from where it stands.
+    centres, cost, _ = _rounds(values, scaler, {k: found[k][0]}, MAX_ROUNDS - TRIED_ROUNDS, STILL)[k]
+    return Clustering(names, k, cost, _assigned(values, scaler, centres), centres.tolist(), values)
 
 
 def clusters(

@@ -4,12 +4,14 @@ import random
 import statistics
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
 from tablewright.functions import formats
 from tablewright.operators.adhoc import QuerySpec, checked_expression, needs_query, run_sql, with_expression
-from tablewright.operators.clustering import choose_k, clusters, fit_clusters, silhouettes
+from tablewright.operators.clustering import STILL, _rounds, _scaling, choose_k, clusters, fit_clusters, silhouettes
 from tablewright.operators.deal import dealt, pieces_of
 from tablewright.operators.ddl import SqlScript, column_mapping
 from tablewright.operators.modeling import predictive_models
@@ -197,6 +199,22 @@ def test_dealt_rows_follow_from_content(spark):
     assert [pieces_of(n) for n in (0, 1 << 14, 1 << 20, 1 << 40)] == [1, 1, 64, 1 << 20]
 
 
+def test_rounds_are_those_of_mllib_and_end(spark):
+    # Four groups of rows whose sums differ in their last bits with the order of the tasks.
+    df = spark.range(40_000).repartition(40).selectExpr("1000 * (id % 4) + (id % 11) / 100D AS a", "700 * (id % 4) + 0.01 * (id % 3) AS b")
+    fit = fit_clusters(df, max_k=6)
+    assert fit.k == 4 and sorted(r["count"] for r in fit.assignments().groupBy("cluster").count().collect()) == [10_000] * 4
+    fit.release()
+    values, scaler = _scaling(df, ["a", "b"])
+    vectors = scaler.transform(values)
+    starts = {k: np.array(KMeans(k=k, seed=42, maxIter=0).fit(vectors).clusterCenters()) for k in (2, 4, 5)}
+    for k, (centres, cost, _) in _rounds(values, scaler, starts, 20, 1e-4).items():
+        theirs = KMeans(k=k, seed=42).fit(vectors)
+        assert np.allclose(centres, theirs.clusterCenters()) and abs(cost - theirs.summary.trainingCost) < 1e-6 * (1 + cost)
+    assert all(still for _, _, still in _rounds(values, scaler, starts, 60, STILL).values())
+    values.unpersist()
+
+
 def test_clustering_is_a_fixpoint(spark):
     rng = random.Random(2)
     df = spark.createDataFrame([(rng.gauss(c * 9, 1), rng.gauss(-c * 5, 1)) for c in range(3) for _ in range(200)], "a double, b double")
