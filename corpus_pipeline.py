@@ -36,15 +36,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in a language that the model knows; null texts, texts without letters and doubtful ones go.
 
     The model learns from rows of ``docs`` with text and ``lang``; a text is doubtful if its score lies well below those
-    of labelled rows outside the training sample (:func:`least_share`), however many languages there are. Without labelled
-    rows nothing can be told, and only texts without letters go. Repeated rows are told alike, all columns stay.
+    of all labelled rows outside the training sample (:func:`least_share`), however many languages there are. Every row is
+    told once and stored with its score. Without labelled rows nothing can be told, and only texts without letters go.
+    Repeated rows are told alike, all columns stay.
     """
     model = fit_language_model(docs)
     rows = docs.withColumn("__letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).where("__letters").drop("__letters")
     if model is None:
         return rows
-    told = rows.withColumn("__told", language_of(model, F.col("text")))
-    known = (F.col("__told.lang_pred") != UNKNOWN) & (F.col("__told.score") >= least_share(docs, model))
+    told = stored(rows.withColumn("__told", language_of(model, F.col("text"))), "told")
+    known = (F.col("__told.lang_pred") != UNKNOWN) & (F.col("__told.score") >= least_share(told, model, told="__told"))
     return told.where(known).drop("__told")
 
 

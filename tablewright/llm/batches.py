@@ -47,12 +47,17 @@ def utf8_values(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def sample_limit(df: DataFrame, keys: list[str], rows: int) -> int | None:
+    """The ``rows``-th smallest hash of ``keys``, the largest one in a smaller table. Only hashes are sorted."""
+    return df.select(F.xxhash64(*keys).alias("draw")).orderBy("draw").limit(rows).agg(F.max("draw")).first()[0]
+
+
 def hashed_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
     """The ``rows`` rows with the smallest hash of ``keys``, with that hash as ``draw``.
 
-    Only hashes are sorted; the threshold they give is a filter on the next scan. Rows with equal keys are equally
-    placed, so repeated ones at the threshold may add to the number.
+    :func:`sample_limit` is a filter on the next scan. Rows with equal keys are equally placed, so repeated ones at the
+    limit may add to the number.
     """
     drawn = df.withColumn("draw", F.xxhash64(*keys))
-    threshold = drawn.select("draw").orderBy("draw").limit(rows).agg(F.max("draw")).first()[0]
+    threshold = sample_limit(df, keys, rows)
     return drawn.where(F.lit(False) if threshold is None else F.col("draw") <= threshold)

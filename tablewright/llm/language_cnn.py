@@ -9,17 +9,18 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablewright.llm.batches import hashed_sample, importable, pieces, utf8_values
+from tablewright.llm.batches import hashed_sample, importable, pieces, sample_limit, utf8_values
 from tablewright.llm.bytecnn import Adam, ByteFilters, sample_windows
+from tablewright.operators.quantiles import exact_quantiles
 
 #: Filters by width, bytes of half a window.
 WIDTHS, STRIDE = {2: 8, 4: 12, 6: 12}, 128
 #: Bounds of the training sample: documents, and windows of one document.
 MAX_DOCUMENTS, MAX_WINDOWS = 3000, 4
 UNKNOWN = "und"
-#: Rows outside the training sample by whose scores doubtful texts are told; the share of rightly told ones below the
-#: limit; and how far below them a score must lie.
-CALIBRATION, DOUBTFUL, SLACK = 2000, 0.001, 0.9
+#: Doubtful texts are told by scores of labelled rows outside the training sample: the share of rightly told ones below the
+#: limit, and how far below them a score must lie.
+DOUBTFUL, SLACK = 0.001, 0.9
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
@@ -30,6 +31,8 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 class LanguageModel:
     def __init__(self, filters: ByteFilters, dense: np.ndarray, offset: np.ndarray, languages: list[str]):
         self.filters, self.dense, self.offset, self.languages = filters, dense, offset, languages
+        #: The largest hash of a row that it learned from.
+        self.learned: int | None = None
 
     @staticmethod
     def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: int = 6, seed: int = 5) -> "LanguageModel":
@@ -94,7 +97,9 @@ def fit_language_model(labelled: DataFrame, max_documents: int = MAX_DOCUMENTS,
     languages = sorted({lang for lang, _ in pairs})
     windows = np.frombuffer(b"".join(w for _, w in pairs), np.uint8).reshape(-1, length)
     labels = np.array([languages.index(lang) for lang, _ in pairs])
-    return LanguageModel.train(windows, labels, languages)
+    model = LanguageModel.train(windows, labels, languages)
+    model.learned = sample_limit(usable, ["doc_id", "text"], max_documents)
+    return model
 
 
 def _tell(model: LanguageModel | None, texts: list[str | None], piece: int = 1 << 20) -> pd.DataFrame:
@@ -125,21 +130,34 @@ def language_of(model: LanguageModel | None, text: Column) -> Column:
     return told(F.when(text.rlike(r"\p{L}"), text))
 
 
-def least_share(labelled: DataFrame, model: LanguageModel, max_documents: int = MAX_DOCUMENTS, calibration: int = CALIBRATION) -> float:
+def least_share(
+    labelled: DataFrame, model: LanguageModel, max_documents: int = MAX_DOCUMENTS, calibration: int | None = None, told: str | None = None
+) -> float:
     """The score below which a text is in none of the languages that ``model`` learned from ``labelled``.
 
-    It is set by scores of labelled rows that the training sample did not hold: the ``calibration`` rows that follow it in
-    the order of their hashes, or the sample itself where there are no others. So it fits any number of languages. The
-    driver sees that many scores. Without a rightly told row there is no limit.
+    It is set by the scores of all labelled rows that the training sample (as the model tells, else of ``max_documents``
+    rows) did not hold, or of the sample itself where there are no others. So it fits any number of languages. Without a rightly told row there is no
+    limit. ``told`` names a column with the result of :func:`language_of`, if rows have one already; with ``calibration``
+    only so many rows that follow the sample in the order of their hashes are asked.
     """
-    usable = labelled.where("lang IS NOT NULL AND length(text) > 0").select("doc_id", "lang", "text")
-    rows = hashed_sample(usable, ["doc_id", "text"], max_documents + calibration)
-    told = rows.select("draw", "lang", language_of(model, F.col("text")).alias("told"))
-    scores = told.select("draw", (F.col("lang") == F.col("told.lang_pred")).alias("right"), "told.score").limit(2 * (max_documents + calibration)).collect()
-    ordered = sorted((tuple(r) for r in scores))
-    held = ordered[max_documents:] or ordered
-    right = sorted(score for _, ok, score in held if ok)
-    return SLACK * right[int(DOUBTFUL * len(right))] if right else 0.0
+    usable = labelled.where("lang IS NOT NULL AND length(text) > 0")
+    usable = usable.select("doc_id", "lang", "text", *([F.col(f"`{told}`").alias("told")] if told else []))
+    learned = sample_limit(usable, ["doc_id", "text"], max_documents) if model.learned is None else model.learned
+    if learned is None:
+        return 0.0
+    rows = usable.withColumn("draw", F.xxhash64("doc_id", "text"))
+    others = rows.where(F.col("draw") > learned)
+    if calibration is not None:
+        last = others.select("draw").orderBy("draw").limit(calibration).agg(F.max("draw")).first()[0]
+        others = others.where(F.col("draw") <= F.lit(last))
+    held = rows.where(F.col("draw") <= learned) if others.isEmpty() else others
+    scored = held.select("lang", *(["told"] if told else [language_of(model, F.col("text")).alias("told")]))
+    right = scored.where(F.col("lang") == F.col("told.lang_pred")).select(F.col("told.score").alias("score"))
+    count = right.count()
+    if not count:
+        return 0.0
+    # The score of that rank itself, not one between two rows.
+    return SLACK * exact_quantiles(right, ["score"], [int(DOUBTFUL * count) / max(1, count - 1)])["score"][0]
 
 
 def predict_languages(documents: DataFrame, model: LanguageModel | None) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tablewright.llm import ann_forest
 from tablewright.llm.ann_forest import PrefixForest, nearest_vectors
@@ -290,3 +290,16 @@ def test_foreign_texts_lie_below_the_limit(spark, number):
     assert 1 / number < limit < 1 and (told["score"] >= limit).mean() >= 0.99
     mixed = spark.createDataFrame([(i, " ".join(text(a) for a in alphabets)) for i in range(10)], "doc_id long, text string")
     assert (predict_languages(mixed, model).toPandas()["score"] < limit).mean() >= 0.9
+
+
+def test_the_limit_follows_from_all_labelled_rows(spark):
+    """The lowest scores lie behind the first thousands of hashes, where a bounded number of rows does not reach."""
+    rows = spark.range(6000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "'xx' AS lang")
+    rows = rows.withColumn("draw", F.xxhash64("doc_id", "text"))
+    scored = rows.withColumn("seen", F.struct(F.lit("xx").alias("lang_pred"), (0.9 - 0.4 * F.percent_rank().over(Window.orderBy("draw"))).alias("score")))
+    model = LanguageModel(ByteFilters.create({2: 4}, 128, 1), np.zeros((4, 1), np.float32), np.zeros(1, np.float32), ["xx"])
+    draws = sorted((r.draw, r.seen.score) for r in scored.select("draw", "seen").collect())
+    model.learned = draws[999][0]
+    rest = sorted(score for _, score in draws[1000:])
+    assert abs(least_share(scored, model, told="seen") - 0.9 * rest[5]) < 1e-9
+    assert least_share(scored.where("false"), model, told="seen") == 0.0
