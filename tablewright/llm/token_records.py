@@ -11,6 +11,7 @@ the manifest, written by Spark, names those of the attempts that counted.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import uuid
@@ -71,6 +72,8 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        # A task has one core. Threads of the library's own would only wait for each other beside the other tasks.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import lzma
 import math
+import os
 import random
 import re
 import time
@@ -23,7 +24,7 @@ from tablewright.llm import secret_layers
 from tablewright.llm.poisson_mix import poisson_mix, shuffled, with_positions
 from tablewright.llm.secret_layers import find_secrets, scan, scan_layers
 from tablewright.llm.splitters import RANGES, range_shards
-from tablewright.llm.token_records import encoder, frame, read_frame, read_records, write_records
+from tablewright.llm.token_records import WordEncoder, encoder, frame, read_frame, read_records, write_records
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -321,3 +322,12 @@ def test_secret_layers_with_many_escapes_in_one_line_are_linear():
 
     took(1_000)
     assert took(160_000) < 40 * max(took(10_000), 0.05)
+
+
+def test_word_encoder_starts_no_threads(monkeypatch):
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "true")
+    WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "true"
