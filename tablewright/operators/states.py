@@ -21,6 +21,7 @@ from tablewright.functions.formats import as_text
 from tablewright.operators.frequencies import _LONG_TEXT, moment, top_error
 from tablewright.operators.longform import cells, fields_of, lookup, no_nan, one_row_per_column, percent
 from tablewright.operators.profile import TEXT_FLAGS
+from tablewright.session import materialize
 from tablewright.types import DATETIME, NUMERIC, TEXT, col, epoch_micros, present, require_columns, type_class
 
 #: Base-2 logarithm of the registers of the distinct sketch, and three standard errors of its estimate.
@@ -116,7 +117,8 @@ def merged_states(*states: DataFrame) -> DataFrame:
     """
     if not states:
         raise ValueError("no states to merge")
-    rows = reduce(DataFrame.unionByName, states)
+    # Kept, since their mean and their moments are two passes: a state may be a scan of its table.
+    rows = materialize(reduce(DataFrame.unionByName, states))
     n = F.col("n").cast("double")
     # Only states are moved: first their common mean, then moments around it.
     means = rows.groupBy("column").agg(F.try_divide(F.sum(n * F.col("mean")), F.sum(n)).alias("all_mean"))

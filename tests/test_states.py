@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright.operators.frequencies import text_modes, top_error, verified_modes
 from tablewright.operators.states import DISTINCT_ERROR, RANK_ERROR, TRACKED, merged_states, profile_of, profile_state
@@ -114,3 +115,19 @@ def test_verified_modes_are_the_modes(spark):
     assert verified_modes(df, names, tracked=20) == text_modes(df, names)
     assert verified_modes(df.limit(0), names) == text_modes(df.limit(0), names)
     assert verified_modes(df, []) == {}
+
+
+def test_merged_states_read_their_tables_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def met(v):
+        read.add(1)
+        return v
+
+    told = F.udf(met, "bigint").asNondeterministic()
+    parts = [spark.range(start, start + 50).select(told("id").alias("id")) for start in (0, 50)]
+    merged = merged_states(*map(profile_state, parts))
+    for _ in range(2):
+        row = profile_of(merged).first()
+        assert (row["row_count"], row["min"], row["max"], row["mean"]) == (100, 0.0, 99.0, 49.5)
+    assert read.value == 100
