@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tablewright.functions import formats
 from tablewright.operators.adhoc import QuerySpec, checked_expression, needs_query, run_sql, with_expression
 from tablewright.operators.clustering import STILL, _rounds, _scaling, choose_k, clusters, fit_clusters, silhouettes
-from tablewright.operators.deal import dealt, pieces_of
+from tablewright.operators.deal import _numbered, dealt, pieces_of
 from tablewright.operators.ddl import SqlScript, column_mapping
 from tablewright.operators.modeling import predictive_models
 from tablewright.plans.analysis import AnalysisPlan
@@ -199,6 +199,15 @@ def test_dealt_rows_follow_from_content(spark):
     assert [pieces_of(n) for n in (0, 1 << 14, 1 << 20, 1 << 40)] == [1, 1, 64, 1 << 20]
 
 
+def test_copies_of_few_rows_are_made_in_many_tasks(spark):
+    df = spark.range(150_000).select((F.col("id") % 2).alias("a"), F.when(F.col("id") >= 0, None).cast("string").alias("s"))
+    df = df.unionAll(spark.sql("SELECT 5L, 'x' UNION ALL SELECT 5L, 'x' UNION ALL SELECT 6L, 'y'"))
+    made = _numbered(df, 150_003).withColumn("p", F.spark_partition_id())
+    by_row = {r["a"]: r[1:] for r in made.groupBy("a").agg(F.count("*"), F.countDistinct("__i"), F.max("__i")).collect()}
+    assert by_row == {0: (75_000,) * 3, 1: (75_000,) * 3, 5: (2,) * 3, 6: (1,) * 3}
+    assert made.groupBy("p").count().agg(F.max("count")).first()[0] < 60_000
+
+
 def test_rounds_are_those_of_mllib_and_end(spark):
     # Four groups of rows whose sums differ in their last bits with the order of the tasks.
     df = spark.range(40_000).repartition(40).selectExpr("1000 * (id % 4) + (id % 11) / 100D AS a", "700 * (id % 4) + 0.01 * (id % 3) AS b")
