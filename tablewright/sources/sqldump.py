@@ -32,6 +32,7 @@ _TEXT_TYPES = ("char", "varchar", "nvarchar", "nchar", "text", "clob", "string",
 
 # What a text can be inside of at some place, and how that begins: code, a literal, quoted names, a comment.
 _OPENERS = ["", "'", '"', "`", "/*"]
+_CLOSERS = ["", "'", '"', "`", "*/"]
 _OPEN = r"""'(?:[^']++|'')*+\z|"[^"]*+\z|`[^`]*+\z|/\*(?:[^*]++|\*(?!/))*+\z"""
 #: A statement with its semicolon, from the end of the one before.
 _ENDED = rf"""(?s)\G((?:[^;'"`/-]++|{_QUOTED}|{_COMMENT}|/(?!\*)|-(?!-)|{_OPEN})*+);"""
@@ -48,7 +49,9 @@ def _end_state(text: Column, state: int) -> Column:
     """What the text leaves open if it begins in ``state``: the first opening mark that no closed one explains."""
     left = F.regexp_replace(_opened(text, state), rf"(?s){_QUOTED}|{_COMMENT}", " ")
     mark = F.regexp_extract(left, r"""(?s)('|"|`|/\*)""", 1)
-    return F.coalesce(*[F.when(mark == opener, F.lit(i)) for i, opener in enumerate(_OPENERS) if i], F.lit(0))
+    end = F.coalesce(*[F.when(mark == opener, F.lit(i)) for i, opener in enumerate(_OPENERS) if i], F.lit(0))
+    # What is not closed anywhere in the text stays open; few blocks hold marks of every kind.
+    return F.when(text.contains(_CLOSERS[state]), end).otherwise(F.lit(state)) if state else end
 
 
 def _blocks(spark: SparkSession, path, block_bytes: int) -> DataFrame:

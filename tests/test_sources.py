@@ -239,3 +239,32 @@ def test_quoted_line_breaks_are_not_broken_silently(spark, tmp_path, rows):
     # Quotes inside unquoted cells, closed cells, doubled quotes and empty cells are no open ones.
     fine = put(tmp_path / "fine.csv", 'id,name,note\n1,5" pipe,"x"\n2,"",""""\n3,"a,b",c"\n')
     assert read_delimited(spark, fine, types=False).count() == 3
+
+
+def test_block_states_of_texts_without_closing_marks(spark):
+    """A text that closes nothing stays inside of what it began in; all others are read through, mark by mark."""
+    ab, r = ["'", '"', "`", "/*", "*/", "/", "*", "--", "\n", "a"], random.Random(3)
+    texts = ["", "/", "*/", "a", "it"] + ["".join(r.choices(ab, k=r.randrange(7))) for _ in range(300)]
+
+    def brute(text, state):
+        i = 0
+        while i < len(text):
+            closer = ("", "'", '"', "`", "*/")[state]
+            if state:
+                if text.startswith(closer, i):
+                    state, i = 0, i + len(closer)
+                else:
+                    i += 1
+            elif text.startswith("--", i):
+                end = text.find("\n", i)
+                i = len(text) if end < 0 else end
+            else:
+                mark = next((k for k in (1, 2, 3, 4) if text.startswith(("", "'", '"', "`", "/*")[k], i)), 0)
+                state, i = mark, i + (2 if mark == 4 else 1)
+        return state
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = df.select("t", F.array(*[sqldump._end_state(F.col("t"), s) for s in range(5)]).alias("ends")).collect()
+    assert [list(r.ends) for r in found] == [[brute(r.t, s) for s in range(5)] for r in found]
+    for state in range(1, 5):
+        assert "contains" in str(sqldump._end_state(F.col("t"), state))
