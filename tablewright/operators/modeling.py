@@ -23,14 +23,17 @@ MIN_ROWS = 10
 MODEL_SCHEMA = "target string, feature string, importance double, r2_score double, rmse double, train_rows bigint, test_rows bigint, model_type string"
 
 
-def _filled(df: DataFrame, names: Sequence[str], exact: bool) -> DataFrame:
-    """All numeric columns as doubles, gaps filled with the median; columns without any value get 0."""
-    medians = quantiles(df, names, [0.5], exact)
-    values = [
-        F.coalesce(number(df.schema[n]), F.lit(medians[n][0] if medians[n][0] is not None else 0.0)).alias(f"x{i}")
-        for i, n in enumerate(names)
-    ]
-    return df.select(*values)
+def _filled(df: DataFrame, names: Sequence[str], exact: bool) -> tuple[DataFrame, int]:
+    """All numeric columns as doubles, gaps filled with the median, and the number of rows.
+
+    Columns without any value get 0. Only columns with gaps are searched for their median.
+    """
+    values = [number(df.schema[n]) for n in names]
+    rows, *held = df.agg(F.count(F.lit(1)), *[F.count(v) for v in values]).first()
+    gaps = [n for n, k in zip(names, held) if k < rows]
+    medians = quantiles(df, gaps, [0.5], exact) if gaps else {}
+    fills = [medians[n][0] if n in medians and medians[n][0] is not None else 0.0 for n in names]
+    return df.select(*[F.coalesce(v, F.lit(f)).alias(f"x{i}") for i, (v, f) in enumerate(zip(values, fills))]), rows
 
 
 def predictive_models(
@@ -52,7 +55,7 @@ def predictive_models(
     if len(names) < 2:
         raise ValueError("modeling needs two numeric columns")
     chosen = [t for t in (targets or names[:max_targets]) if t in names]
-    data = dealt(_filled(df, names, exact), df.count())
+    data = dealt(*_filled(df, names, exact))
     lot = F.pmod(F.xxhash64(F.lit(seed), *data.columns), F.lit(10_000))
     data = data.withColumn("train", lot < int(TRAIN_SHARE * 10_000)).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []

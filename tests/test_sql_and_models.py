@@ -10,6 +10,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
 from tablewright.functions import formats
+from tablewright.operators import modeling
 from tablewright.operators.adhoc import QuerySpec, checked_expression, needs_query, run_sql, with_expression
 from tablewright.operators.clustering import STILL, _rounds, _scaling, choose_k, clusters, fit_clusters, silhouettes
 from tablewright.operators.deal import _numbered, dealt, pieces_of
@@ -186,6 +187,21 @@ def test_forest_does_not_depend_on_partitions(spark):
             assert one[:2] == two[:2] and one[2:5] == pytest.approx(two[2:5], rel=1e-9) and one[5:] == two[5:]
 
 
+def test_only_columns_with_gaps_are_searched_for_medians(spark, monkeypatch):
+    nan = float("nan")
+    rows = [(1, 1.0, 5.0, None), (2, None, 1.0, None), (3, 4.0, nan, None), (4, 9.0, 2.0, None)]
+    df = spark.createDataFrame(rows, "whole int, nulls double, nans double, bare bigint")
+    real, asked = modeling.quantiles, []
+    monkeypatch.setattr(modeling, "quantiles", lambda df, names, *more: asked.append(list(names)) or real(df, names, *more))
+    filled, n = modeling._filled(df, df.columns, True)
+    assert asked == [["nulls", "nans", "bare"]] and n == 4
+    assert sorted(map(tuple, filled.collect())) == [(1, 1, 5, 0), (2, 4, 1, 0), (3, 4, 2, 0), (4, 9, 2, 0)]
+    filled, n = modeling._filled(df, ["whole"], True)
+    assert len(asked) == 1 and n == 4 and sorted(r.x0 for r in filled.collect()) == [1, 2, 3, 4]
+    empty, n = modeling._filled(df.limit(0), df.columns, True)
+    assert len(asked) == 1 and n == 0 and empty.columns == ["x0", "x1", "x2", "x3"] and empty.count() == 0
+
+
 def test_dealt_rows_follow_from_content(spark):
     rows = [(i % 7, "x") for i in range(500)] + [(3, None)] * 400
     shares = []
