@@ -13,8 +13,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tablewright.llm.batches import importable
-
 #: Ranges per shard, sampled keys per range, and how much fuller than planned a range may be.
 RANGES, SAMPLES, OVERFULL = 64, 16, 4
 #: Equal texts stay in one shard when together they are no more than this part of a shard.
@@ -22,33 +20,30 @@ TOGETHER = 1 / 50
 _LOWEST = -(1 << 63)
 
 
+def _longs(values: list[int]) -> Column:
+    """A constant array, written as one text: an expression for each number would take the driver long."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 class Splitters:
     """Sorted (hash, id) keys; a row belongs to the range numbered by how many splitters are at or below it."""
 
     def __init__(self, keys: list[tuple[int, int]]):
         self.keys = sorted(set(keys))
-        self.hashes = np.array([h for h, _ in self.keys], np.int64)
-        self.ids = np.array([i for _, i in self.keys], np.int64)
-
-    def ranges(self, hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        low = np.searchsorted(self.hashes, hashes, "left")
-        high = np.searchsorted(self.hashes, hashes, "right")
-        out = high.copy()
-        # Only where a text is so frequent that splitters lie between its ids, the id decides.
-        for at in np.unique(low[high - low > 1]):
-            rows = (low == at) & (high - low > 1)
-            stop = int(high[rows][0])
-            out[rows] = at + np.searchsorted(self.ids[at:stop], ids[rows], "right")
-        return out.astype(np.int32)
 
     def column(self) -> Column:
-        splitters = self
+        """The range of a row by binary search, in Spark itself: rows need not wait beside a Python worker."""
+        if not self.keys:
+            return F.lit(0)
+        hashes, ids = _longs([h for h, _ in self.keys]), _longs([i for _, i in self.keys])
+        steps = [1 << bit for bit in reversed(range(len(self.keys).bit_length()))]
 
-        @F.pandas_udf("int")
-        def of(h: pd.Series, i: pd.Series) -> pd.Series:
-            return pd.Series(splitters.ranges(h.to_numpy(np.int64), i.to_numpy(np.int64)))
+        def further(place: Column, step: Column) -> Column:
+            # Beyond the last splitter ``get`` gives null, and the place stays.
+            h, i = F.get(hashes, place + step - 1), F.get(ids, place + step - 1)
+            return F.when((h < F.col("__hash")) | ((h == F.col("__hash")) & (i <= F.col("__id"))), place + step).otherwise(place)
 
-        return of("__hash", "__id")
+        return F.coalesce(F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), further), F.lit(0))
 
 
 def _quantiles(sample: pd.DataFrame, step: float) -> list[tuple[int, int]]:
@@ -81,7 +76,6 @@ def range_shards(rows: DataFrame, text_hash: Column, row_id: Column, size: Colum
     times shards * RANGES * SAMPLES numbers, whatever the input. Existing columns stay; ``shard`` and ``slot`` are
     replaced. An empty table stays empty.
     """
-    importable(rows.sparkSession)
     kept = [c for c in rows.columns if c not in ("shard", "slot")]
     keyed = rows.select(
         *[F.col(f"`{c}`") for c in kept],
@@ -106,11 +100,9 @@ def range_shards(rows: DataFrame, text_hash: Column, row_id: Column, size: Colum
         if cut.keys == splitters.keys:
             break
         splitters = cut
-    offsets = rows.sparkSession.createDataFrame(
-        [(int(r), int(b), int(n)) for r, b, n in zip(
-            ranges["__range"], ranges["bytes"].cumsum() - ranges["bytes"], ranges["n"].cumsum() - ranges["n"])],
-        "__range int, __bytes long, __rows long",
-    )
+    bytes_in, rows_in = np.zeros((2, len(splitters.keys) + 1), np.int64)
+    bytes_in[ranges["__range"]], rows_in[ranges["__range"]] = ranges["bytes"], ranges["n"]
+    offsets = (np.cumsum(bytes_in) - bytes_in).tolist(), (np.cumsum(rows_in) - rows_in).tolist()
     counts = _placed(narrow, splitters, offsets, total, shards).groupBy("shard").agg(F.count("*").alias("n")).collect()
     by_shard = {r["shard"]: r["n"] for r in counts}
     firsts = np.concatenate([[0], np.cumsum([by_shard.get(s, 0) for s in range(shards)])[:-1]])
@@ -119,14 +111,18 @@ def range_shards(rows: DataFrame, text_hash: Column, row_id: Column, size: Colum
     return placed.select(*[F.col(f"`{c}`") for c in kept], "shard", (F.col("__place") - first).cast("long").alias("slot"))
 
 
-def _placed(rows: DataFrame, splitters: Splitters, offsets: DataFrame, total: int, shards: int) -> DataFrame:
-    """Rows with their place in the order of all rows and their shard, which is where their middle byte falls."""
-    ranged = rows.withColumn("__range", splitters.column()).join(F.broadcast(offsets), "__range")
+def _placed(rows: DataFrame, splitters: Splitters, offsets: tuple[list[int], list[int]], total: int, shards: int) -> DataFrame:
+    """Rows with their place in the order of all rows and their shard, which is where their middle byte falls.
+
+    ``offsets`` are the bytes and the rows before each range.
+    """
+    ranged = rows.withColumn("__range", splitters.column())
     order = Window.partitionBy("__range").orderBy("__hash", "__id", "__size")
     group = Window.partitionBy("__range", "__hash")
-    begin = F.col("__bytes") + F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")
+    bytes_before, rows_before = (F.get(_longs(before), F.col("__range")) for before in offsets)
+    begin = bytes_before + F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")
     placed = ranged.withColumn("__begin", begin).withColumn(
-        "__place", F.col("__rows") + F.row_number().over(order) - 1
+        "__place", rows_before + F.row_number().over(order) - 1
     )
     placed = placed.withColumn("__group_size", F.sum("__size").over(group)).withColumn("__group_begin", F.min("__begin").over(group))
     together = F.col("__group_size") <= F.lit(int(total * TOGETHER / shards))

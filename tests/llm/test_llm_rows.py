@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tablewright.llm import secret_layers
 from tablewright.llm.poisson_mix import poisson_mix, shuffled, with_positions
 from tablewright.llm.secret_layers import find_secrets, scan, scan_layers
-from tablewright.llm.splitters import RANGES, range_shards
+from tablewright.llm.splitters import RANGES, Splitters, range_shards
 from tablewright.llm.token_records import WordEncoder, encoder, frame, read_frame, read_records, write_records
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -215,6 +215,23 @@ def test_shards_are_even_and_gapless(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_ranges_are_found_without_python_workers(spark):
+    rng = random.Random(5)
+    low, high = -(1 << 63), (1 << 63) - 1
+    for n in (0, 1, 2, 7, 8, 700):
+        # Some hashes fill several splitters, the first of which has the lowest id.
+        hashes = [rng.choice([low, -1, 0, high, rng.randint(low, high)]) for _ in range(n)]
+        keys = [(h, low) for h in hashes] + [(h, rng.randint(-3, 3)) for h in hashes[::2]]
+        rows = [(rng.choice([low, -1, 0, high, *hashes]), rng.choice([low, high, rng.randint(-4, 4)])) for _ in range(60)]
+        found = spark.createDataFrame(rows, "__hash long, __id long").select("__hash", "__id", Splitters(keys).column().alias("n"))
+        assert [(r[0], r[1]) for r in found.collect()] == rows
+        assert [r.n for r in found.collect()] == [sum(k <= row for k in set(keys)) for row in rows]
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.col("id").cast("int") % 50).alias("text"))
+    placed = range_shards(docs, F.xxhash64("text"), F.col("doc_id"), F.octet_length("text") + 1, shards=4)
+    # Whole rows, texts included, were held in the executor beside a worker that was only asked for their range.
+    assert "Python" not in placed._jdf.queryExecution().toString()
+
+
 def test_shards_of_few_repeated_and_no_rows(spark):
     assert sharded(spark, []) == []
     assert [r.slot for r in sharded(spark, [(1, "x", None)])] == [0]
