@@ -11,7 +11,7 @@ in a row (found by the hash of its first ``SHORT`` words), a still shorter one i
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -32,26 +32,31 @@ def _word_codes(text: Column) -> Column:
     return F.array_remove(codes, F.xxhash64(F.lit("")))
 
 
-def _seeds(codes: Column, place: Column) -> Column:
-    """One key per mask for the words at ``place`` (from 0); null where a mask does not fit."""
-    def key(number: int, mask: tuple[int, ...]) -> Column:
-        words = [F.get(codes, place + F.lit(at)) for at in mask]
-        return F.when(place + F.lit(mask[-1]) < F.size(codes), F.xxhash64(F.lit(number), *words))
+_SHORTEST = min(mask[-1] + 1 for mask in MASKS)
 
-    return F.array(*[
-        F.struct(F.lit(mask[-1] + 1).alias("span"), key(number, mask).alias("key")) for number, mask in enumerate(MASKS)
-    ])
 
+def _seed_rows(rows: DataFrame, *keep: str) -> DataFrame:
+    """A row for each place and mask: (*keep, codes, place, span, key).
 
-_SHORTEST = min(mask[-1] + 1 for mask in MASKS)
+    One number stands for a place and a mask, so what is made for each seed are plain numbers and no structs. Short rows
+    have no sequence; a filter on their size would be pushed below ``codes``, which then is worked out twice.
+    """
+    masks = len(MASKS)
+    numbers = F.sequence(F.lit(0), (F.size("codes") - F.lit(_SHORTEST)) * F.lit(masks) + F.lit(masks - 1))
+    numbered = rows.select(*keep, "codes", F.explode(F.when(F.size("codes") >= WINDOW, numbers)).alias("number"))
+    mask = F.col("number") % F.lit(masks)
+    placed = numbered.withColumn("mask", mask).withColumn("place", ((F.col("number") - mask) / F.lit(masks)).cast("int"))
 
+    def of_mask(value) -> Column:
+        """``value(number, places)`` of the row's own mask."""
+        chosen = value(masks - 1, MASKS[-1])
+        for i in range(masks - 1):
+            chosen = F.when(F.col("mask") == i, value(i, MASKS[i])).otherwise(chosen)
+        return chosen
 
-def _seed_rows(rows: DataFrame, *keep: str) -> DataFrame:
-    """A row for each place and mask: (*keep, codes, place, span, key)."""
-    placed = rows.where(F.size("codes") >= WINDOW).select(
-        *keep, "codes", F.explode(F.sequence(F.lit(0), F.size("codes") - F.lit(_SHORTEST))).alias("place")
-    )
-    return placed.select(*keep, "codes", "place", F.inline(_seeds(F.col("codes"), F.col("place")))).where("key IS NOT NULL")
+    fitting = placed.withColumn("span", of_mask(lambda i, at: F.lit(at[-1] + 1))).where(F.col("place") + F.col("span") <= F.size("codes"))
+    key = of_mask(lambda i, at: F.xxhash64(F.lit(i), *[F.get("codes", F.col("place") + F.lit(a)) for a in at]))
+    return fitting.select(*keep, "codes", "place", "span", key.alias("key"))
 
 
 def benchmark_overlaps(documents: DataFrame, items: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -65,7 +70,7 @@ def benchmark_overlaps(documents: DataFrame, items: DataFrame, keys: tuple[str,
     are reported together. Keys may be null.
 
     Documents are read once per block of items; no text is shuffled, only what was found. A block of seeds has a fixed
-    largest size, so its broadcast does not grow with either table.
+    largest size, so its broadcast does not grow with either table; several blocks are worked through one after the other.
     """
     known = items.select(F.col("item_id").cast("long").alias("item_id"), _word_codes(F.col("text")).alias("codes"))
     known = stored(known.where(F.size("codes") > 0).groupBy("codes").agg(F.min("item_id").alias("item_id")), "items")
@@ -75,9 +80,11 @@ def benchmark_overlaps(documents: DataFrame, items: DataFrame, keys: tuple[str,
     texts = documents.select(*keys, _word_codes(F.col("text")).alias("codes"))
     parts = [known.where(F.col("block") == block) for block in range(blocks)]
     long = F.size("codes") >= WINDOW
-    found = [_overlaps(texts, part.where(long), keys) for part in parts]
+    jobs = [partial(_overlaps, texts, part.where(long), keys) for part in parts]
     if shortest < WINDOW:
-        found += [_short_overlaps(texts, part.where(~long), keys) for part in parts]
+        jobs += [partial(_short_overlaps, texts, part.where(~long), keys) for part in parts]
+    # In one query all blocks would be held at once by every executor.
+    found = [job() if blocks == 1 else stored(job(), "found") for job in jobs]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -88,7 +95,8 @@ def _short_overlaps(texts: DataFrame, items: DataFrame, keys: tuple[str, ...]) -
 
     own = items.select("item_id", F.col("codes").alias("item_codes"))
     seeds = own.where(F.size("item_codes") >= SHORT).withColumn("key", begins(F.col("item_codes"), F.lit(0)))
-    placed = texts.where(F.size("codes") >= SHORT).select(*keys, "codes", F.explode(F.sequence(F.lit(0), F.size("codes") - F.lit(SHORT))).alias("place"))
+    places = F.when(F.size("codes") >= SHORT, F.sequence(F.lit(0), F.size("codes") - F.lit(SHORT)))
+    placed = texts.select(*keys, "codes", F.explode(places).alias("place"))
     hits = placed.withColumn("key", begins(F.col("codes"), F.col("place"))).join(F.broadcast(seeds), "key")
     inside = hits.where(F.slice("codes", F.col("place") + 1, F.size("item_codes")) == F.col("item_codes"))
     tiny = own.where(F.size("item_codes") < SHORT).withColumn("key", F.xxhash64("item_codes"))

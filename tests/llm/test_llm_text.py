@@ -125,6 +125,17 @@ def test_leaks_in_blocks_and_in_empty_tables(spark, monkeypatch):
     assert benchmark_overlaps(spark.createDataFrame([], schema), items).count() == 0
 
 
+def test_words_are_split_once_and_blocks_are_not_held_together(spark, monkeypatch):
+    """A second split of each text, a struct for each seed, or the seeds of all blocks at once fill an executor."""
+    text = " ".join(f"w{i}" for i in range(20))
+    documents = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"{text} {i}") for i in range(9)], "item_id long, text string")
+    plan = lambda: benchmark_overlaps(documents, items)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan().count("split(") == 1 and "inline(" not in plan() and "Join" in plan()
+    monkeypatch.setattr("tablewright.llm.spaced_seeds.BLOCK_SEEDS", 100)
+    assert "Join" not in plan()
+
+
 def test_nearest_vectors_recall_ties_and_odd_rows(spark):
     rng = np.random.default_rng(7)
     centres = rng.standard_normal((30, 16))
