@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from tablewright.session import scratch_path
-
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, when it is not installed on their path."""
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if _ROOT not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, known]))
+from pyspark.sql import DataFrame, functions as F
 
+from tablewright.session import importable, scratch_path  # noqa: F401
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: the lineage is cut, and a lost executor loses nothing."""

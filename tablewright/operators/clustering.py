@@ -8,13 +8,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tablewright.operators.deal import dealt
+from tablewright.operators.starts import parallel_starts
 from tablewright.types import NUMERIC, col, columns_of, number
 
 # Largest number of clusters tried, and the least number of rows.
@@ -57,14 +57,24 @@ def _scaling(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, PipelineMo
     return values, PipelineModel([assembler, scaler.fit(assembler.transform(values))])
 
 
-def _nearest(scaler: PipelineModel) -> Callable[[pa.RecordBatch, dict], Iterator[tuple]]:
-    """Standardizes a batch, and gives for each set of centres its key, the rows, their nearest centres and distances."""
+def _scaled(scaler: PipelineModel) -> Callable[[pa.RecordBatch], np.ndarray]:
+    """Standardizes a batch."""
     mean, spread = (np.array(v) for v in (scaler.stages[1].mean, scaler.stages[1].std))
     factor = np.divide(1.0, spread, out=np.zeros_like(spread), where=spread != 0)
 
-    def nearest(batch, sets):
+    def scaled(batch):
         rows = np.column_stack([batch.column(f"x{i}").to_numpy(zero_copy_only=False) for i in range(len(mean))])
-        rows = (rows - mean) * factor
+        return (rows - mean) * factor
+
+    return scaled
+
+
+def _nearest(scaler: PipelineModel) -> Callable[[pa.RecordBatch, dict], Iterator[tuple]]:
+    """Standardizes a batch, and gives for each set of centres its key, the rows, their nearest centres and distances."""
+    scaled = _scaled(scaler)
+
+    def nearest(batch, sets):
+        rows = scaled(batch)
         for key, centres in sets.items():
             # The square of the row itself is the same for all centres.
             near = (centres * centres).sum(axis=1) - 2 * (rows @ centres.T)
@@ -177,11 +187,8 @@ def fit_clusters(
     if total < MIN_ROWS:
         values.unpersist()
         raise ValueError(f"clustering needs {MIN_ROWS} rows, got {total}")
-    # Not persisted: MLlib then keeps vectors as it reads them, instead of decoding all rows in every pass.
-    vectors = scaler.transform(values).drop("raw")
     tried = [k] if k else range(2, max(2, min(max_k, total // 2)) + 1)
-    # Without rounds MLlib gives the centres from which it would begin.
-    starts = {i: np.array(KMeans(k=i, seed=seed, maxIter=0).fit(vectors).clusterCenters()) for i in tried}
+    starts = parallel_starts(values, _scaled(scaler), tried, seed, _TASKS * df.sparkSession.sparkContext.defaultParallelism)
     found = _rounds(values, scaler, starts, TRIED_ROUNDS, TRIED_MOVE)
     if k is None:
         k = choose_k([found[i][1] for i in tried], rule)

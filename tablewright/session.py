@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -19,6 +20,9 @@ RECOMMENDED_CONF = {
 }
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
 def build_session(app: str = "tablewright", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -28,6 +32,13 @@ def build_session(app: str = "tablewright", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, when it is not installed on their path."""
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if _ROOT not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, known]))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it in ``spark.checkpoint.dir``.
 

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from tablewright.functions import formats
 from tablewright.operators import modeling
 from tablewright.operators.adhoc import QuerySpec, checked_expression, needs_query, run_sql, with_expression
-from tablewright.operators.clustering import STILL, _rounds, _scaling, choose_k, clusters, fit_clusters, silhouettes
+from tablewright.operators.clustering import STILL, _rounds, _scaled, _scaling, choose_k, clusters, fit_clusters, silhouettes
 from tablewright.operators.deal import _numbered, dealt, pieces_of
 from tablewright.operators.ddl import SqlScript, column_mapping
 from tablewright.operators.modeling import predictive_models
+from tablewright.operators.starts import Draws, parallel_starts
 from tablewright.plans.analysis import AnalysisPlan
 
 
@@ -141,6 +142,32 @@ def test_clusters_find_the_planted_blobs(spark):
     assert sorted({r["cluster"]: r["size"] for r in found}.values()) == [100, 100, 100]
 
 
+def test_starts_are_those_of_mllib(spark):
+    java = spark.sparkContext._jvm.org.apache.spark.util.random.XORShiftRandom(77)
+    draws = Draws(77)
+    assert [java.nextDouble() for _ in range(50)] == [*draws.take(20), *draws.take(30)]
+    for rows, pieces, kinds in ((40_000, None, 1_000_003), (3_000, 7, 1_000_003), (3_000, 3, 5)):
+        df = spark.range(rows).selectExpr(f"double(id * id % {kinds} % 9973) a", f"double(id % {kinds} % 101) b", f"id % {kinds} % 13 c")
+        values, scaler = _scaling(df, df.columns)
+        if pieces:
+            values = values.repartition(pieces, "x0", "x1", "x2").sortWithinPartitions("x0", "x1", "x2").persist()
+        found = parallel_starts(values, _scaled(scaler), (2, 6), 42, 2)
+        for k, centres in found.items():
+            wanted = np.array(KMeans(k=k, seed=42, maxIter=0).fit(scaler.transform(values)).clusterCenters())
+            assert centres.shape == wanted.shape and np.abs(centres - wanted).max() < 1e-9
+        values.unpersist()
+
+
+def test_starts_share_their_passes(spark):
+    df = spark.range(400).selectExpr("id % 97 a", "id % 89 b")
+    spark.sparkContext.setJobGroup("starts", "fit")
+    try:
+        fit_clusters(df).release()
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("starts")) < 70
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
 def test_choice_of_k():
     costs = [100.0, 20.0, 15.0, 12.0, 11.5]
     assert choose_k(costs) == 3
