@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tablewright.operators.deal import dealt
+from tablewright.operators.forest import Forest, grown_forests, predictions
 from tablewright.operators.quantiles import quantiles
 from tablewright.types import NUMERIC, columns_of, number
 
@@ -62,26 +61,24 @@ def predictive_models(
     try:
         sizes = data.agg(F.count_if("train"), F.count_if(~F.col("train"))).first()
         if sum(sizes) >= MIN_ROWS and sizes[0] and sizes[1] > 1:
-            for target in chosen:
-                rows += _one_model(data, names, target, sizes, seed, trees, depth)
+            columns = [c for c in data.columns if c != "train"]
+            places = [names.index(t) for t in chosen]
+            forests, thresholds = grown_forests(data.where("train").select(*columns), sizes[0], places, trees, depth, seed)
+            for forest, (n, squares, variance) in zip(forests, _scores(data.where("NOT train").select(*columns), forests, thresholds)):
+                r2, rmse = 1 - squares / (n * variance) if variance else 0.0, (squares / n) ** 0.5
+                rows += [
+                    (names[forest.target], names[c], float(share), float(r2), float(rmse), *sizes, "RandomForest")
+                    for c, share in zip(forest.features, forest.importances())
+                ]
     finally:
         data.unpersist()
     return df.sparkSession.createDataFrame(rows, MODEL_SCHEMA)
 
 
-def _one_model(data, names, target, sizes, seed, trees, depth) -> list[tuple]:
-    label = f"x{names.index(target)}"
-    features = [(n, f"x{i}") for i, n in enumerate(names) if n != target]
-    vectors = VectorAssembler(inputCols=[c for _, c in features], outputCol="features").transform(data)
-    vectors = vectors.select("features", F.col(label).alias("label"), "train")
-    forest = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed)
-    model = forest.fit(vectors.where("train"))
-    scored = model.transform(vectors.where("NOT train"))
-    error = F.col("label") - F.col("prediction")
-    n, squares, variance = scored.agg(F.count("*"), F.sum(error * error), F.var_pop("label")).first()
-    r2, rmse = 1 - squares / (n * variance) if variance else 0.0, (squares / n) ** 0.5
-    importances = model.featureImportances.toArray()
-    return [
-        (target, name, float(importances[i]), float(r2), float(rmse), sizes[0], sizes[1], "RandomForest")
-        for i, (name, _) in enumerate(features)
-    ]
+def _scores(rows: DataFrame, forests: list[Forest], thresholds: list) -> list[tuple[int, float, float]]:
+    """Rows, squared error and variance of each target over the rows."""
+    figures = []
+    for i in range(len(forests)):
+        error = F.col(f"label{i}") - F.col(f"prediction{i}")
+        figures.append(F.struct(F.count("*"), F.sum(error * error), F.var_pop(f"label{i}")))
+    return [tuple(s) for s in predictions(rows, forests, thresholds).agg(*figures).first()]

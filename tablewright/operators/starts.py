@@ -96,8 +96,23 @@ class Draws:
         return ((high << np.uint64(27)) + low).astype(np.float64) * 2.0**-53
 
 
-class _JavaRandom:
-    """java.util.Random, for the few draws among candidates."""
+def xorshift_int(seed: int) -> int:
+    """The first whole number of Spark's generator."""
+    drawn = _moved(_hashed_seed(seed)) & _M32
+    return drawn - (1 << 32) if drawn >> 31 else drawn
+
+
+def xorshift_doubles(seed: int) -> Iterator[float]:
+    """The same doubles as :class:`Draws`, one by one, where few are needed."""
+    state = _hashed_seed(seed)
+    while True:
+        high = state = _moved(state)
+        state = _moved(state)
+        yield (((high & (1 << 26) - 1) << 27) + (state & (1 << 27) - 1)) * 2.0**-53
+
+
+class JavaRandom:
+    """java.util.Random, where few draws are needed."""
 
     def __init__(self, seed: int):
         self._state = (seed ^ 0x5DEECE66D) & (1 << 48) - 1
@@ -109,6 +124,10 @@ class _JavaRandom:
     def double(self) -> float:
         return ((self._next(26) << 27) + self._next(27)) * 2.0**-53
 
+    def long(self) -> int:
+        high, low = self._next(32), self._next(32)
+        return ((high << 32) + (low - (1 << 32) if low >> 31 else low)) & _M64
+
     def below(self, bound: int) -> int:
         bits = self._next(31)
         if bound & -bound == bound:
@@ -125,7 +144,7 @@ def _squares(rows: np.ndarray, centre: np.ndarray) -> np.ndarray:
 
 def _picked(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     """``k`` centres from weighted candidates: k-means++, then rounds until no candidate changes its centre."""
-    random = _JavaRandom(0)
+    random = JavaRandom(0)
 
     def drawn(masses) -> int:
         target, sum_, at = random.double() * sum(masses), 0.0, 0
@@ -163,8 +182,7 @@ def parallel_starts(
     spark = values.sparkSession
     names = values.columns
     importable(spark)
-    draw = _moved(_hashed_seed(seed)) & _M32
-    draw = draw - (1 << 32) if draw >> 31 else draw
+    draw = xorshift_int(seed)
     first = values._jdf.toJavaRDD().takeSample(False, 1, draw)[0]
     row = pa.RecordBatch.from_pydict({n: [first.getDouble(i)] for i, n in enumerate(names)})
     start = scaled(row)[0]

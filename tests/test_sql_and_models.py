@@ -7,6 +7,8 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from tablewright.functions import formats
@@ -15,6 +17,7 @@ from tablewright.operators.adhoc import QuerySpec, checked_expression, needs_que
 from tablewright.operators.clustering import STILL, _rounds, _scaled, _scaling, choose_k, clusters, fit_clusters, silhouettes
 from tablewright.operators.deal import _numbered, dealt, pieces_of
 from tablewright.operators.ddl import SqlScript, column_mapping
+from tablewright.operators.forest import grown_forests, predictions
 from tablewright.operators.modeling import predictive_models
 from tablewright.operators.starts import Draws, parallel_starts
 from tablewright.plans.analysis import AnalysisPlan
@@ -133,6 +136,35 @@ def test_forest_finds_the_planted_signal(spark):
     assert found[0]["train_rows"] + found[0]["test_rows"] == 600
 
 
+def test_forests_are_those_of_mllib(spark):
+    """All targets grow in the same passes; trees and importances are MLlib's."""
+    df = spark.range(23_000).selectExpr("id % 1009 * 1.5 AS a", "id * id % 977 AS b", "IF(id % 3 = 0, id % 7, 0) AS c", "4 AS d", "id % 1009 + id * id % 977 AS e")
+    names = [f"x{i}" for i in range(5)]
+    rows = df.select(*[F.col(c).cast("double").alias(n) for c, n in zip(df.columns, names)])
+    rows = rows.repartition(3, *names).sortWithinPartitions(*names).persist()
+    forests, thresholds = grown_forests(rows, 23_000, [0, 2, 4], 6, 4, 42)
+    told = predictions(rows, forests, thresholds)
+    for i, target in enumerate((0, 2, 4)):
+        inputs = [n for n in names if n != names[target]]
+        vectors = VectorAssembler(inputCols=inputs, outputCol="features").transform(rows)
+        model = RandomForestRegressor(labelCol=names[target], numTrees=6, maxDepth=4, seed=42).fit(vectors)
+        assert np.abs(model.featureImportances.toArray() - forests[i].importances()).max() < 1e-9
+        wanted = model.transform(vectors).agg(F.sum("prediction"), F.sum(F.col("prediction") * F.col(names[target]))).first()
+        got = told.agg(F.sum(f"prediction{i}"), F.sum(F.col(f"prediction{i}") * F.col(f"label{i}"))).first()
+        assert tuple(got) == pytest.approx(tuple(wanted), rel=1e-9)
+    rows.unpersist()
+
+
+def test_targets_share_their_passes(spark):
+    df = spark.range(400).selectExpr("id % 97 a", "id % 89 b", "id % 83 c")
+    spark.sparkContext.setJobGroup("forests", "fit")
+    try:
+        assert len({r["target"] for r in predictive_models(df).collect()}) == 3
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("forests")) < 30
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
 def test_clusters_find_the_planted_blobs(spark):
     df = spark.range(0, 300).select(
         ((F.col("id") % 3) * 100 + F.rand(1)).alias("x"), ((F.col("id") % 3) * (F.col("id") % 3) * 50 + F.rand(2)).alias("y")
